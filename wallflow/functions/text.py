@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -82,7 +83,7 @@ def _accent_tables() -> tuple[str, str, str, tuple[str, ...]]:
 def _expand(c: Column) -> Column:
     """Replace the characters that decompose into several (ligatures, Hangul)."""
     _, _, wide, expansions = _accent_tables()
-    table = F.array(*[F.lit(e) for e in expansions])
+    table = F.split(F.lit("\x00".join(expansions)), "\x00")
 
     def one(ch: Column) -> Column:
         n = F.ascii(ch) - F.lit(_HANGUL_FIRST)
@@ -126,6 +127,13 @@ def cli_value(c: Column) -> Column:
     )
 
 
+def constant_cli_value(value: str) -> str:
+    """``cli_value`` of a constant that has no accents."""
+    if re.fullmatch(f"{BARE}|{CIDR}", value):
+        return value
+    return '"' + value.replace('"', '\\"') + '"'
+
+
 def split_names(c: Column) -> Column:
     """Comma list to array: trimmed, blanks dropped, order kept."""
     return F.filter(F.transform(F.split(c, ","), strip_ws), lambda x: x != "")
@@ -148,7 +156,10 @@ def sorted_list(c: Column) -> Column:
     )
 
 
-def capped_name(c: Column, limit: int = 64) -> Column:
+NAME_LIMIT = 64
+
+
+def capped_name(c: Column, limit: int = NAME_LIMIT) -> Column:
     """Names over ``limit`` characters keep ``limit - 3`` and end in dots."""
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - 3), F.lit("..."))).otherwise(c)
 

@@ -24,9 +24,11 @@ from wallflow.functions.fields import (
 )
 from wallflow.functions.net import host_object_name
 from wallflow.functions.text import (
+    NAME_LIMIT,
     base_form,
     capped_name,
     cli_value,
+    constant_cli_value,
     first_of_list,
     python_quoted,
     strip_accents,
@@ -48,13 +50,24 @@ FILTER, NAT = "FILTER", "NAT"
 _DEFAULT_NAME = {FILTER: "FilterRule-", NAT: "NatRule-"}
 
 
+def _auto_base(prefix: str, kind: str) -> str:
+    return base_form((prefix + _DEFAULT_NAME[kind]).replace("\n", " ").strip())
+
+
 def _auto_name(prefix: str, kind: str, position: Column) -> Column:
     """``rulename=`` token of a rule that has neither a name nor a comment."""
-    base = base_form((prefix + _DEFAULT_NAME[kind]).replace("\n", " ").strip())
-    name = capped_name(F.concat(F.lit(base), F.format_string("%04d", position)))
+    name = capped_name(F.concat(F.lit(_auto_base(prefix, kind)), F.format_string("%04d", position)))
     return F.concat(F.lit("rulename="), cli_value(name))
 
 
+def _auto_width(prefix: str, kind: str, digits: int) -> int:
+    """Length of that token and of a position with this many digits."""
+    name = _auto_base(prefix, kind) + "0" * max(digits, 4)
+    if len(name) > NAME_LIMIT:
+        name = name[: NAME_LIMIT - 3] + "..."
+    return len(" rulename=") + len(constant_cli_value(name)) + digits
+
+
 def _spaced(c: Column) -> Column:
     """Length a part adds to a command, its leading blank included."""
     return F.when(c == "", F.lit(0)).otherwise(F.length(c) + 1)
@@ -69,8 +82,7 @@ def _fits_digits(prefix: str, kinds: list[str]) -> Column:
     for kind in kinds:
         auto = F.lit(0)
         for digits in range(1, MAX_DIGITS + 1):
-            token = _auto_name(prefix, kind, F.lit(10 ** (digits - 1)).cast("long"))
-            auto = auto + (room >= F.length(token) + 1 + digits).cast("int")
+            auto = auto + (room >= _auto_width(prefix, kind, digits)).cast("int")
         fits = F.when(F.col("name_auto") & (F.col("kind") == kind), auto).otherwise(fits)
     return fits
 
