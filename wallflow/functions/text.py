@@ -118,13 +118,15 @@ def strip_accents(c: Column) -> Column:
     )
 
 
+def quoted_unless_bare(clean: Column) -> Column:
+    """Quotes around trimmed text without accents, unless it needs none."""
+    quoted = F.concat(F.lit('"'), F.replace(clean, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.regexp_replace(quoted, _QUOTED_BARE_VALUE, "$1")
+
+
 def cli_value(c: Column) -> Column:
     """A value as it stands on a command line: bare when safe, else quoted."""
-    clean = strip_ws(strip_accents(c))
-    quoted = F.concat(F.lit('"'), F.replace(clean, F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return F.when(c.rlike(_BARE_VALUE), c).otherwise(
-        F.regexp_replace(quoted, _QUOTED_BARE_VALUE, "$1")
-    )
+    return F.when(c.rlike(_BARE_VALUE), c).otherwise(quoted_unless_bare(strip_ws(strip_accents(c))))
 
 
 def constant_cli_value(value: str) -> str:

@@ -13,11 +13,6 @@ from wallflow.operators.joins import lookup_join
 OBJECT, INTERFACE = "OBJECT", "INTERFACE"
 
 _NO_NAMES = "array<string>"
-_REFERENCES = "array<struct<kind:string,name:string>>"
-
-
-def _as_references(names: Column, kind: str) -> Column:
-    return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
 
 
 def references(rules: DataFrame) -> Column:
@@ -26,18 +21,24 @@ def references(rules: DataFrame) -> Column:
     A whole value ``any`` names nothing; neither does a whole address, network
     or range in an object field. Inside a list such texts count as names.
     """
-    arrays = []
-    for fields, kind in ((OBJECT_FIELDS, OBJECT), (INTERFACE_FIELDS, INTERFACE)):
-        for field in fields:
-            if not has_field(rules, field):
-                continue
-            value = field_value(rules, field)
-            exempt = (value == "") | (F.lower(value) == "any")
-            if kind == OBJECT:
-                exempt = exempt | is_ip_or_network(value)
-            names = F.when(exempt, F.array().cast(_NO_NAMES)).otherwise(split_names(value))
-            arrays.append(_as_references(names, kind))
-    return F.array_distinct(F.concat(F.array().cast(_REFERENCES), *arrays))
+    entries = [
+        F.struct(F.lit(kind).alias("kind"), field_value(rules, field).alias("value"))
+        for kind, fields in ((OBJECT, OBJECT_FIELDS), (INTERFACE, INTERFACE_FIELDS))
+        for field in fields
+        if has_field(rules, field)
+    ]
+    if not entries:
+        return F.array().cast("array<struct<kind:string,name:string>>")
+
+    def names(entry: Column) -> Column:
+        exempt = (F.lower(entry["value"]) == "any") | (
+            (entry["kind"] == OBJECT) & is_ip_or_network(entry["value"])
+        )
+        listed = F.when(exempt, F.array().cast(_NO_NAMES)).otherwise(split_names(entry["value"]))
+        return F.transform(listed, lambda n: F.struct(entry["kind"].alias("kind"), n.alias("name")))
+
+    given = F.filter(F.array(*entries), lambda e: e["value"] != "")
+    return F.array_distinct(F.flatten(F.transform(given, names)))
 
 
 def known_names(objects: DataFrame | None, interfaces: DataFrame | None, hosts: DataFrame | None = None) -> DataFrame:
@@ -55,9 +56,9 @@ def known_names(objects: DataFrame | None, interfaces: DataFrame | None, hosts:
 
 def needed_names(rules: DataFrame) -> DataFrame:
     """One row per rule and name it needs: ``_row``, ``kind``, ``name``."""
-    return rules.select("_row", F.explode(references(rules)).alias("_ref")).select(
-        "_row", F.col("_ref.kind").alias("kind"), F.col("_ref.name").alias("name")
-    )
+    # explode() would have Spark infer a size filter and so evaluate the array twice.
+    refs = rules.select("_row", F.explode_outer(references(rules)).alias("_ref"))
+    return refs.select("_row", F.col("_ref.kind").alias("kind"), F.col("_ref.name").alias("name")).dropna()
 
 
 def missing_references(rules: DataFrame, known: DataFrame) -> DataFrame:

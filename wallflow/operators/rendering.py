@@ -31,6 +31,7 @@ from wallflow.functions.text import (
     constant_cli_value,
     first_of_list,
     python_quoted,
+    quoted_unless_bare,
     strip_accents,
     strip_ws,
 )
@@ -57,7 +58,7 @@ def _auto_base(prefix: str, kind: str) -> str:
 def _auto_name(prefix: str, kind: str, position: Column) -> Column:
     """``rulename=`` token of a rule that has neither a name nor a comment."""
     name = capped_name(F.concat(F.lit(_auto_base(prefix, kind)), F.format_string("%04d", position)))
-    return F.concat(F.lit("rulename="), cli_value(name))
+    return F.concat(F.lit("rulename="), quoted_unless_bare(name))
 
 
 def _auto_width(prefix: str, kind: str, digits: int) -> int:
@@ -68,6 +69,20 @@ def _auto_width(prefix: str, kind: str, digits: int) -> int:
     return len(" rulename=") + len(constant_cli_value(name)) + digits
 
 
+def _entry(token: str, value: Column) -> Column:
+    return F.struct(F.lit(f"{token}=").alias("token"), value.alias("value"))
+
+
+def _joined_tokens(entries: Column) -> Column:
+    """``token=value`` texts of the entries that have a value.
+
+    One lambda serves all fields. With an expression per field the plan grows
+    so large that Catalyst needs longer for it than Spark for the data.
+    """
+    given = F.filter(entries, lambda e: e["value"].isNotNull())
+    return F.array_join(F.transform(given, lambda e: F.concat(e["token"], cli_value(e["value"]))), " ")
+
+
 def _spaced(c: Column) -> Column:
     """Length a part adds to a command, its leading blank included."""
     return F.when(c == "", F.lit(0)).otherwise(F.length(c) + 1)
@@ -128,10 +143,9 @@ def command_parts(
         action.alias("_action"),
     )
 
-    def token(field: str) -> Column:
+    def entry(field: str) -> Column:
         value = F.col(f"_v_{field}")
-        given = value != ""
-        shown = value
+        given, shown = value != "", value
         if field == "action":
             given, shown = given & (F.col("kind") == FILTER), F.col("_action")
         elif field == "service":
@@ -142,8 +156,10 @@ def command_parts(
             shown = first_of_list(value)
         if field in HOST_HEADERS:
             shown = F.when(F.col(f"_created_{field}"), host_object_name(value)).otherwise(value)
-        return F.when(given, F.concat(F.lit(f"{FIELD_TOKENS[field]}="), cli_value(shown)))
+        return _entry(FIELD_TOKENS[field], F.when(given, shown))
 
+    comment = F.when((F.col("_name") != "") & (F.col("_comment") != ""), F.col("_comment"))
+    entries = F.array(_entry("comment", comment), *[entry(f) for f in fields])
     slot = F.coalesce(F.col("_slot_number"), F.lit(default_slot)).cast("string")
     head = F.concat(
         F.lit("CONFIG FILTER RULE INSERT index="),
@@ -153,10 +169,7 @@ def command_parts(
         ),
     )
     name = F.when(F.col("_full_name") == "", F.lit("")).otherwise(
-        F.concat(F.lit("rulename="), cli_value(capped_name(F.col("_full_name"))))
-    )
-    comment = F.when(
-        (F.col("_name") != "") & (F.col("_comment") != ""), F.concat(F.lit("comment="), cli_value(F.col("_comment")))
+        F.concat(F.lit("rulename="), quoted_unless_bare(strip_ws(capped_name(F.col("_full_name")))))
     )
     error = F.when(
         (F.col("_slot") != "") & F.col("_slot_number").isNull(), F.concat(F.lit(BAD_SLOT), python_quoted(F.col("_slot")))
@@ -171,7 +184,7 @@ def command_parts(
         "kind",
         head.alias("cmd_head"),
         F.coalesce(name, F.lit("")).alias("cmd_name"),
-        F.concat_ws(" ", comment, *[token(f) for f in fields]).alias("cmd_rest"),
+        _joined_tokens(entries).alias("cmd_rest"),
         F.col("_full_name").isNull().alias("name_auto"),
         error.alias("error"),
     )

@@ -59,7 +59,8 @@ def checked_rules(
     original = F.when(F.col("error").isNotNull() | (F.col("fits_digits") < MAX_DIGITS), F.col("_original"))
     parts = parts.withColumn("original", original)
     carrier = F.array(F.struct(F.lit(_RULE).alias("kind"), F.col("_row").cast("string").alias("name")))
-    needs = parts.select("*", F.explode(F.concat(carrier, F.col("_references"))).alias("_need"))
+    # Never empty; explode() would only add an inferred filter on the whole array.
+    needs = parts.select("*", F.explode_outer(F.concat(carrier, F.col("_references"))).alias("_need"))
     is_rule = F.col("_need.kind") == _RULE
     needs = needs.select(
         "_row",
