@@ -13,7 +13,7 @@ from wallflow.operators.joins import lookup_join
 def host_addresses(rules: DataFrame) -> DataFrame:
     """Distinct ``ip`` over the four address groups of every row."""
     groups = F.array(*[pick(rules, headers) for headers in HOST_HEADERS.values()])
-    return rules.select(F.explode(groups).alias("ip")).filter(is_host_ip(F.col("ip"))).distinct()
+    return rules.select(F.explode_outer(groups).alias("ip")).filter(is_host_ip(F.col("ip"))).distinct()
 
 
 def host_objects(rules: DataFrame) -> DataFrame:
@@ -60,8 +60,8 @@ def created_test(rules: DataFrame, hosts: DataFrame | None) -> tuple[DataFrame,
         return rules, certain
     values = F.array(*[pick(rules, headers_of(f)) for f in shadowed])
     unsure = rules.select(
-        "_row", F.explode(F.array_distinct(F.filter(values, is_host_ip))).alias("ip"), offered.alias("_offered")
-    ).filter(~F.array_contains("_offered", F.col("ip")))
+        "_row", F.explode_outer(F.array_distinct(F.filter(values, is_host_ip))).alias("ip"), offered.alias("_offered")
+    ).filter(F.col("ip").isNotNull() & ~F.array_contains("_offered", F.col("ip")))
     found = lookup_join(unsure.drop("_offered"), hosts.select("ip"), ["ip"], "left_semi", "_row")
     per_row = found.groupBy("_row").agg(F.collect_set("ip").alias("_hosts"))
     rules = rules.join(per_row, "_row", "left")

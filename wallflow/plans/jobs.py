@@ -62,7 +62,7 @@ def append_suggestions(
 
     ``only_complete`` leaves out those that use unknown names.
     """
-    found = suggest_rules(flows, _known(flows.sparkSession, objects, interfaces), **options)
+    found = materialise(suggest_rules(flows, _known(flows.sparkSession, objects, interfaces), **options), "suggested")
     chosen = found.filter("size(missing) = 0") if only_complete else found
     text = scripts.suggested_rule_lines(chosen, generated_at=_now(generated_at))
     write_lines(text, f"{out}/generated_rules_from_logs", mode="append")

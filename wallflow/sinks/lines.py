@@ -24,7 +24,7 @@ def block(df: DataFrame, part: int, order: str, *lines: Column) -> DataFrame:
     """One or more lines per row; a null line is left out."""
     numbered = [F.struct(F.lit(i).alias("sub"), line.alias("line")) for i, line in enumerate(lines)]
     return (
-        df.select(F.col(order).cast("long").alias("ord"), F.explode(F.array(*numbered)).alias("l"))
+        df.select(F.col(order).cast("long").alias("ord"), F.explode_outer(F.array(*numbered)).alias("l"))
         .select(F.lit(part).alias("part"), "ord", "l.sub", "l.line")
         .filter(F.col("line").isNotNull())
     )
