@@ -19,8 +19,8 @@ WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 BARE = "[a-zA-Z0-9_.-]+"
 _BARE_VALUE = f"^(?:{BARE}|{CIDR})\\z"
 _QUOTED_BARE_VALUE = f'^"({BARE}|{CIDR})"\\z'
-_ASCII = "^[\\x00-\\x7F]*\\z"
 
+_EUROPEAN_END = "\u0250"
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 _LEAD = "".join(chr(0x1100 + i) for i in range(19))
 _VOWEL = "".join(chr(0x1161 + i) for i in range(21))
@@ -106,18 +106,35 @@ def _expand(c: Column) -> Column:
 def strip_accents(c: Column) -> Column:
     """NFKD decomposition without its combining marks.
 
-    ASCII text passes through; most other text needs a single ``translate``;
-    only text with ligatures, fractions or Hangul is taken apart.
+    ASCII text passes through. Text that a small table of European letters
+    turns into ASCII needs nothing more. The rest goes through the full table,
+    and only text with ligatures, fractions or Hangul is taken apart. Lookups
+    use ``translate``, which hashes; a regex class of a thousand characters
+    would try them one by one.
     """
     swap_from, swap_to, wide, _ = _accent_tables()
-    has_wide = f"[{chr(_HANGUL_FIRST)}-{chr(_HANGUL_LAST)}{wide}]"
+    near = [(a, b) for a, b in zip(swap_from, swap_to) if a < _EUROPEAN_END]
+    european = F.translate(c, "".join(a for a, _ in near), "".join(b for _, b in near))
+    has_wide = c.rlike(f"[{chr(_HANGUL_FIRST)}-{chr(_HANGUL_LAST)}]") | (
+        F.length(F.translate(c, wide, "")) < F.length(c)
+    )
     return (
-        F.when(c.rlike(_ASCII), c)
-        .when(~c.rlike(has_wide), F.translate(c, swap_from, swap_to))
+        F.when(_is_ascii(c), c)
+        .when(_is_ascii(european), european)
+        .when(~has_wide, F.translate(c, swap_from, swap_to))
         .otherwise(_expand(F.translate(c, swap_from, swap_to)))
     )
 
 
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def is_bare(c: Column) -> Column:
+    """The value needs neither cleaning nor quotes."""
+    return c.rlike(_BARE_VALUE)
+
+
 def quoted_unless_bare(clean: Column) -> Column:
     """Quotes around trimmed text without accents, unless it needs none."""
     quoted = F.concat(F.lit('"'), F.replace(clean, F.lit('"'), F.lit('\\"')), F.lit('"'))
@@ -126,7 +143,7 @@ def quoted_unless_bare(clean: Column) -> Column:
 
 def cli_value(c: Column) -> Column:
     """A value as it stands on a command line: bare when safe, else quoted."""
-    return F.when(c.rlike(_BARE_VALUE), c).otherwise(quoted_unless_bare(strip_ws(strip_accents(c))))
+    return F.when(is_bare(c), c).otherwise(quoted_unless_bare(strip_ws(strip_accents(c))))
 
 
 def constant_cli_value(value: str) -> str:

@@ -30,6 +30,7 @@ from wallflow.functions.text import (
     cli_value,
     constant_cli_value,
     first_of_list,
+    is_bare,
     python_quoted,
     quoted_unless_bare,
     strip_accents,
@@ -69,18 +70,14 @@ def _auto_width(prefix: str, kind: str, digits: int) -> int:
     return len(" rulename=") + len(constant_cli_value(name)) + digits
 
 
-def _entry(token: str, value: Column) -> Column:
-    return F.struct(F.lit(f"{token}=").alias("token"), value.alias("value"))
+def _quoted_values(values: list[Column]) -> Column:
+    """The values that cannot stand bare, cleaned and quoted; null for the others.
 
-
-def _joined_tokens(entries: Column) -> Column:
-    """``token=value`` texts of the entries that have a value.
-
-    One lambda serves all fields. With an expression per field the plan grows
-    so large that Catalyst needs longer for it than Spark for the data.
+    One lambda serves all fields. With such an expression per field the plan
+    grows so large that Catalyst needs longer for it than Spark for the data.
     """
-    given = F.filter(entries, lambda e: e["value"].isNotNull())
-    return F.array_join(F.transform(given, lambda e: F.concat(e["token"], cli_value(e["value"]))), " ")
+    special = F.array(*[F.when(~is_bare(v), v) for v in values])
+    return F.transform(special, lambda v: F.when(v.isNotNull(), cli_value(v)))
 
 
 def _spaced(c: Column) -> Column:
@@ -143,23 +140,34 @@ def command_parts(
         action.alias("_action"),
     )
 
-    def entry(field: str) -> Column:
+    def shown(field: str) -> Column:
+        """Text of a field in the command; null where the rule does not show it."""
         value = F.col(f"_v_{field}")
-        given, shown = value != "", value
+        given, text = value != "", value
         if field == "action":
-            given, shown = given & (F.col("kind") == FILTER), F.col("_action")
+            given, text = given & (F.col("kind") == FILTER), F.col("_action")
         elif field == "service":
             given = given & (F.col("kind") == FILTER)
         elif field in NAT_ONLY_FIELDS:
             given = given & (F.col("kind") == NAT)
         if field == "ip_proto":
-            shown = first_of_list(value)
+            text = first_of_list(value)
         if field in HOST_HEADERS:
-            shown = F.when(F.col(f"_created_{field}"), host_object_name(value)).otherwise(value)
-        return _entry(FIELD_TOKENS[field], F.when(given, shown))
+            text = F.when(F.col(f"_created_{field}"), host_object_name(value)).otherwise(value)
+        return F.when(given, text)
 
+    # Second stage: the texts that are shown. Third: those that need quotes.
     comment = F.when((F.col("_name") != "") & (F.col("_comment") != ""), F.col("_comment"))
-    entries = F.array(_entry("comment", comment), *[entry(f) for f in fields])
+    tokens = {"comment": comment, **{f: shown(f) for f in fields}}
+    values = values.select("*", *[text.alias(f"_t_{f}") for f, text in tokens.items()])
+    values = values.select("*", _quoted_values([F.col(f"_t_{f}") for f in tokens]).alias("_quoted"))
+    rest = F.concat_ws(
+        " ",
+        *[
+            F.concat(F.lit(f"{FIELD_TOKENS[f]}="), F.coalesce(F.col("_quoted")[i], F.col(f"_t_{f}")))
+            for i, f in enumerate(tokens)
+        ],
+    )
     slot = F.coalesce(F.col("_slot_number"), F.lit(default_slot)).cast("string")
     head = F.concat(
         F.lit("CONFIG FILTER RULE INSERT index="),
@@ -184,7 +192,7 @@ def command_parts(
         "kind",
         head.alias("cmd_head"),
         F.coalesce(name, F.lit("")).alias("cmd_name"),
-        _joined_tokens(entries).alias("cmd_rest"),
+        rest.alias("cmd_rest"),
         F.col("_full_name").isNull().alias("name_auto"),
         error.alias("error"),
     )

@@ -41,7 +41,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 def _raw_csv(df: DataFrame, spark: SparkSession, header: str, label: str) -> str:
     """Write ready-made lines under a header line, one CSV file per partition."""
     path = scratch_path(spark, label)
-    df.toDF(header).write.options(header=True, sep="\x01", quote="\x02", emptyValue="").csv(path)
+    df.toDF(header).write.options(header=True, sep="\x01", quote="\x02", comment="\x03", emptyValue="").csv(path)
     return path
 
 

@@ -247,7 +247,7 @@ SELECT _row, 'CONFIG FILTER RULE INSERT index=9 type=filter position=' || _row |
     "rule_csv_scan": f"""WITH {RULES}
 SELECT row_number() OVER (ORDER BY _row) AS _row, type_slot, rule_name, from_src,
   CASE WHEN _row % 6 <> 0 THEN to_dest ELSE '' END AS to_dest, CASE WHEN _row % 6 <> 0 THEN 'x' ELSE '' END AS to_dest_1
-FROM rules""".replace("type_slot, rule_name,", "type_slot, CASE WHEN _row % 4 = 0 AND rule_name = '' THEN '  ' WHEN _row % 4 = 0 THEN ' ' || rule_name || ' ' ELSE rule_name END AS rule_name,"),
+FROM rules""",
     "name_lists": """WITH lines AS (
   SELECT *, c_custkey % 6 AS m, trim(c_mktsegment) AS segment FROM customer
 )
