@@ -81,7 +81,8 @@ def test_blocks_smaller_than_the_set(spark, monkeypatch):
 
 
 def test_large_universe_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df, **_: False)
+    for module in (joins, conversion):
+        monkeypatch.setattr(module, "fits_broadcast", lambda df, **_: False)
     columns = ["from_src", "to_dest", "action", "source"]
     compare(spark, random_rules(4, 60, columns), columns, create_hosts=True)
 

@@ -68,10 +68,19 @@ def salted_join(
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, spread: str, **limits: int
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    spread: str,
+    small: bool | None = None,
+    **limits: int,
 ) -> DataFrame:
-    """Join with a table of one row per key: broadcast if it fits, else salted."""
-    if fits_broadcast(right, **limits):
+    """Join with a table of one row per key: broadcast if it fits, else salted.
+
+    ``small`` passes on the result of an earlier ``fits_broadcast``.
+    """
+    if fits_broadcast(right, **limits) if small is None else small:
         return left.join(F.broadcast(right), list(keys), how)
     stats = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return salted_join(left, right, keys, how, hot_keys(stats, keys, "_n"), spread)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 16
+BLOCK_BITS = 14
 GROUP_BITS = 24
 
 _BEFORE = (Window.unboundedPreceding, -1)

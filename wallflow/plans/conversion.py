@@ -10,7 +10,7 @@ from wallflow.functions.net import host_object_name
 from wallflow.operators import ordering
 from wallflow.operators.dependencies import references
 from wallflow.operators.hosts import host_addresses
-from wallflow.operators.joins import lookup_join
+from wallflow.operators.joins import fits_broadcast, lookup_join
 from wallflow.operators.rendering import (
     MAX_DIGITS,
     build_error,
@@ -34,15 +34,18 @@ def checked_rules(
 ) -> DataFrame:
     """Command parts and missing names of every rule that is no separator.
 
-    The rules are scanned once. Each row is turned into its command parts and
-    the names it needs; the names are checked by an anti join, and only those
-    that are missing travel on, together with one row that carries the parts.
-    One shuffle by block of consecutive rows brings them together, and the
-    numbering that follows works on that same partitioning.
+    The rules are scanned once and shuffled once, by block of consecutive rows,
+    while they are still raw. All that follows keeps that partitioning: each
+    row becomes its command parts and the names it needs, the names go through
+    an anti join with the broadcast universe, what is missing is gathered per
+    row, and the numbering runs inside the blocks. Only a universe too large
+    to broadcast costs further shuffles.
     """
     hosts = host_addresses(rules) if create_hosts else None
     source_columns = [c for c in rules.columns if not c.startswith("_")]
-    rules = rules.filter(~is_separator(rules)).select(
+    small = fits_broadcast(known)
+    rules = rules.filter(~is_separator(rules)).withColumn("_block", ordering.block_of(F.col("_row")))
+    rules = rules.repartition("_block").select(
         "*",
         references(rules).alias("_references"),
         dropped_service(rules).alias("dropped_service"),
@@ -53,7 +56,7 @@ def checked_rules(
         default_slot=default_slot,
         prefix=prefix,
         hosts=hosts,
-        keep=("_row", "_references", "dropped_service", "_original"),
+        keep=("_block", "_row", "_references", "dropped_service", "_original"),
     )
     # The source row is shown only where a command may be impossible.
     original = F.when(F.col("error").isNotNull() | (F.col("fits_digits") < MAX_DIGITS), F.col("_original"))
@@ -63,26 +66,24 @@ def checked_rules(
     needs = parts.select("*", F.explode_outer(F.concat(carrier, F.col("_references"))).alias("_need"))
     is_rule = F.col("_need.kind") == _RULE
     needs = needs.select(
+        "_block",
         "_row",
         F.col("_need.kind").alias("need_kind"),
         F.col("_need.name").alias("need_name"),
         *[F.when(is_rule, F.col(c)).alias(c) for c in _PAYLOAD],
     )
     known = known.select(F.col("kind").alias("need_kind"), F.col("name").alias("need_name"))
-    unmet = lookup_join(needs, known, ["need_kind", "need_name"], "left_anti", "_row")
+    unmet = lookup_join(needs, known, ["need_kind", "need_name"], "left_anti", "_row", small)
     if hosts is not None:
         unmet = _without_generated_hosts(unmet, hosts)
     missing = F.when(
         F.col("need_kind") != _RULE, F.struct(F.col("need_kind").alias("kind"), F.col("need_name").alias("name"))
     )
-    return (
-        unmet.withColumn("_block", ordering.block_of(F.col("_row")))
-        .repartition("_block")
-        .groupBy("_block", "_row")
-        .agg(
-            *[F.any_value(c, True).alias(c) for c in _PAYLOAD],
-            F.array_sort(F.collect_set(missing)).alias("missing"),
-        )
+    if not small or hosts is not None:
+        unmet = unmet.repartition("_block")
+    return unmet.groupBy("_block", "_row").agg(
+        *[F.any_value(c, True).alias(c) for c in _PAYLOAD],
+        F.array_sort(F.collect_set(missing)).alias("missing"),
     )
 
 
