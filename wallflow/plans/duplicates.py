@@ -13,6 +13,7 @@ from wallflow.functions.fields import field_value, named, pick
 from wallflow.functions.text import or_default, sorted_list
 from wallflow.operators.joins import hot_keys, salted_join
 from wallflow.operators.ordering import number_rows
+from wallflow.session import materialise
 
 SIGNATURE = ["source", "destination", "port", "protocol", "action"]
 FILTER, NAT = "filter", "nat"
@@ -105,11 +106,13 @@ def duplicate_members(rules: DataFrame, *, with_nat_lines: bool = False) -> Data
 
     ``is_kept`` marks the one that stays. Groups are ordered by ``first_file``,
     ``first_line`` and occurrences inside by ``file``, ``place``, ``_row``.
+
+    The signatures and the table of duplicated ones are written out, since
+    both are read several times and cost more to derive than to read.
     """
-    signatures = rule_signatures(rules, with_nat_lines=with_nat_lines)
-    stats = signature_stats(signatures)
-    hot = hot_keys(stats, _GROUP, "n")
-    members = salted_join(signatures, stats.filter(F.col("n") > 1), _GROUP, "inner", hot, "_row")
+    signatures = materialise(rule_signatures(rules, with_nat_lines=with_nat_lines), "signatures")
+    stats = materialise(signature_stats(signatures).filter(F.col("n") > 1), "duplicated")
+    members = salted_join(signatures, stats, _GROUP, "inner", hot_keys(stats, _GROUP, "n"), "_row")
     return members.select(
         *_GROUP,
         "_row",
@@ -134,7 +137,7 @@ def duplicate_removals(rules: DataFrame, *, slot: int = 9, is_global: bool = Fal
     commands are safe to run in ascending ``remove_order``: by position from
     the bottom up, then by name.
     """
-    members = duplicate_members(rules)
+    members = materialise(duplicate_members(rules), "members")
     by_name = [*_GROUP, "name"]
     names = members.filter(F.col("kind") == FILTER).groupBy(*by_name).agg(F.count(F.lit(1)).alias("_same_name"))
     goes = members.filter(~F.col("is_kept") & ((F.col("kind") == FILTER) | (F.col("name") != UNNAMED)))
