@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wallflow.operators.joins import fits_broadcast
+from wallflow.session import materialise
+
 BLOCK_BITS = 14
 GROUP_BITS = 24
 
@@ -75,10 +78,13 @@ def number_file_rows(df: DataFrame, file_order: DataFrame, header_rows: int = 0)
     ``_seq`` (increasing inside a split). Adds ``_line``, counted in each file
     from 1 after ``header_rows`` leading rows, and ``_row``, counted over all
     files in the order given by ``file_order (_path, _file_order)``; header
-    rows get a ``_line`` below 1. Only a table with one row per split is
-    shuffled and joined back; Spark lists the same splits on the driver.
+    rows get a ``_line`` below 1. One pass counts the rows of each split; that
+    table has a row per split, as Spark's own list of them on the driver, and
+    is broadcast if its size allows. Otherwise rows are shuffled by split.
     """
-    splits = df.groupBy("_path", "_start").agg(F.min("_seq").alias("_base"), F.count(F.lit(1)).alias("_n"))
+    splits = materialise(
+        df.groupBy("_path", "_start").agg(F.min("_seq").alias("_base"), F.count(F.lit(1)).alias("_n")), "splits"
+    )
     in_file = Window.partitionBy("_path").orderBy("_start").rowsBetween(*_BEFORE)
     splits = splits.withColumn("_in_file", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
     files = splits.groupBy("_path").agg((F.sum("_n") - header_rows).alias("_rows")).join(file_order, "_path")
@@ -88,6 +94,7 @@ def number_file_rows(df: DataFrame, file_order: DataFrame, header_rows: int = 0)
     offsets = splits.join(files.select("_path", "_in_set"), "_path").select(
         "_path", "_start", "_base", "_in_file", "_in_set"
     )
+    offsets = F.broadcast(offsets) if fits_broadcast(offsets) else offsets
     return (
         df.join(offsets, ["_path", "_start"])
         .withColumn("_line", F.col("_seq") - F.col("_base") + F.col("_in_file") + 1 - header_rows)

@@ -26,6 +26,11 @@ def _now(generated_at: str | None) -> str:
     return generated_at or datetime.now().isoformat(timespec="seconds")
 
 
+def _rules(spark: SparkSession, paths: str | Sequence[str], multi_line: bool) -> DataFrame:
+    """Rules of the files, parsed and numbered once for all passes over them."""
+    return materialise(read_rules(spark, paths, multi_line=multi_line), "rules")
+
+
 def _known(spark: SparkSession, objects: str | None, interfaces: str | None) -> DataFrame:
     return known_names(read_objects(spark, objects), read_interfaces(spark, interfaces))
 
@@ -87,7 +92,7 @@ def convert_files(
 ) -> dict[str, int]:
     """Write ``rules_safe``, ``rules_pending`` and ``dependencies_missing``; return the counters."""
     at = _now(generated_at)
-    rules = read_rules(spark, paths, multi_line=multi_line)
+    rules = _rules(spark, paths, multi_line)
     converted = materialise(
         convert_rules(
             rules, _known(spark, objects, interfaces),
@@ -122,8 +127,8 @@ def compare_files(
     generated_at: str | None = None,
 ) -> int:
     """Write ``missing_rules_commands`` and ``missing_rules_summary``; return the number missing."""
-    source = read_rules(spark, source_paths, multi_line=multi_line)
-    final = read_rules(spark, final_path, multi_line=multi_line)
+    source = _rules(spark, source_paths, multi_line)
+    final = _rules(spark, final_path, multi_line)
     commands = materialise(missing_rule_commands(source, final, slot=slot, start=start), "missing")
     n = commands.count()
     if commands.filter("command is not null").isEmpty():
@@ -137,7 +142,7 @@ def find_duplicates_in_files(
     spark: SparkSession, paths: Sequence[str], out: str, *, slot: int = 9, is_global: bool = False, multi_line: bool = True
 ) -> None:
     """Write both duplicate reports and, if anything is to go, the removal script."""
-    rules = read_rules(spark, paths, multi_line=multi_line)
+    rules = _rules(spark, paths, multi_line)
     members = materialise(duplicate_members(rules, with_nat_lines=True), "members")
     for kind, name in ((FILTER, "duplicate_rules_report"), (NAT, "duplicate_nat_report")):
         write_lines(scripts.duplicate_report(members, kind), f"{out}/{name}", scripts.REPORT_ORDER)

@@ -14,6 +14,9 @@ def build_session(name: str = "wallflow", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # HotSpot interprets methods above 8000 bytes of code for ever; wide
+        # rule projections are faster as several small methods.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
         **conf,
     }
