@@ -24,9 +24,10 @@ from wallflow.session import materialise
 SAFE, PENDING = "SAFE", "PENDING"
 _RULE = "RULE"
 _HOST_NAME = "^H_[0-9]{1,3}(?:_[0-9]{1,3}){3}\\z"
-_PAYLOAD = [
-    "kind", "cmd_head", "cmd_name", "cmd_rest", "name_auto", "error", "fits_digits", "dropped_service", "original",
-]
+# What decides if a rule is safe, and what is only needed to show it. The second
+# group travels as one value, which the counting pass does not read at all.
+_DECIDES = ["error", "fits_digits"]
+_SHOWN = ["kind", "cmd_head", "cmd_name", "cmd_rest", "name_auto", "dropped_service", "original"]
 
 
 def checked_rules(
@@ -70,7 +71,8 @@ def checked_rules(
         "_row",
         F.col("_need.kind").alias("need_kind"),
         F.col("_need.name").alias("need_name"),
-        *[F.when(is_rule, F.col(c)).alias(c) for c in _PAYLOAD],
+        *[F.when(is_rule, F.col(c)).alias(c) for c in _DECIDES],
+        F.when(is_rule, F.struct(*_SHOWN)).alias("_shown"),
     )
     known = known.select(F.col("kind").alias("need_kind"), F.col("name").alias("need_name"))
     unmet = lookup_join(needs, known, ["need_kind", "need_name"], "left_anti", "_row", small)
@@ -81,10 +83,11 @@ def checked_rules(
     )
     if not small or hosts is not None:
         unmet = unmet.repartition("_block")
-    return unmet.groupBy("_block", "_row").agg(
-        *[F.any_value(c, True).alias(c) for c in _PAYLOAD],
+    gathered = unmet.groupBy("_block", "_row").agg(
+        *[F.any_value(c, True).alias(c) for c in [*_DECIDES, "_shown"]],
         F.array_sort(F.collect_set(missing)).alias("missing"),
     )
+    return gathered.select("_block", "_row", *_DECIDES, "missing", *[F.col(f"_shown.{c}") for c in _SHOWN])
 
 
 def _without_generated_hosts(unmet: DataFrame, hosts: DataFrame) -> DataFrame:

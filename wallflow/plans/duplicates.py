@@ -84,8 +84,30 @@ def _place() -> Column:
     return F.struct(F.col("file").alias("file"), line.alias("line"), F.col("_row").alias("row"))
 
 
-def signature_stats(signatures: DataFrame) -> DataFrame:
-    """Per signature: size, first occurrence in reading order and in sort order."""
+def _rows_are_places(rules: DataFrame) -> bool:
+    """Whether ``_row`` alone says where a rule stands (one source, no own lines)."""
+    return not {"_file", "_line", "original_line"} & set(rules.columns)
+
+
+def signature_stats(signatures: DataFrame, rows_are_places: bool = False) -> DataFrame:
+    """Per signature: size, first occurrence in reading order and in sort order.
+
+    If ``_row`` is the place, one minimum of a long gives both, and the
+    aggregate can hash. A minimum of structs has to sort.
+    """
+    if rows_are_places:
+        row = F.col("_min_row")
+        file = F.lit(NO_FILE).alias("file")
+        return (
+            signatures.groupBy(*_GROUP)
+            .agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_min_row"))
+            .select(
+                *_GROUP,
+                "n",
+                F.struct(row.alias("_row"), file, row.alias("line")).alias("_first"),
+                F.struct(file, row.alias("line"), row.alias("row")).alias("_kept"),
+            )
+        )
     return signatures.groupBy(*_GROUP).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct("_row", "file", "line")).alias("_first"),
@@ -95,7 +117,7 @@ def signature_stats(signatures: DataFrame) -> DataFrame:
 
 def duplicate_groups(rules: DataFrame) -> DataFrame:
     """Signatures that occur more than once, one row each."""
-    stats = signature_stats(rule_signatures(rules)).filter(F.col("n") > 1)
+    stats = signature_stats(rule_signatures(rules), _rows_are_places(rules)).filter(F.col("n") > 1)
     return stats.select(
         *_GROUP, "n", F.col("_first.file").alias("first_file"), F.col("_first.line").alias("first_line")
     )
@@ -111,7 +133,7 @@ def duplicate_members(rules: DataFrame, *, with_nat_lines: bool = False) -> Data
     both are read several times and cost more to derive than to read.
     """
     signatures = materialise(rule_signatures(rules, with_nat_lines=with_nat_lines), "signatures")
-    stats = materialise(signature_stats(signatures).filter(F.col("n") > 1), "duplicated")
+    stats = materialise(signature_stats(signatures, _rows_are_places(rules)).filter(F.col("n") > 1), "duplicated")
     members = salted_join(signatures, stats, _GROUP, "inner", hot_keys(stats, _GROUP, "n"), "_row")
     return members.select(
         *_GROUP,
