@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wallflow.functions.fields import field_value, pick, rule_kind
 from wallflow.operators.ordering import number_rows
 from wallflow.operators.rendering import render
+from wallflow.session import materialise
 
 IDENTITY = ["id_source", "id_destination", "id_service", "id_action"]
 PREFIX = "MissingRule-"
@@ -48,8 +49,11 @@ def missing_rules(source: DataFrame, final: DataFrame, *, start: int = 1) -> Dat
     """Full rows of the missing rules in source order, with their ``position``.
 
     The first row of each missing identity is kept. Positions are consecutive.
+    The thin table of identities is written out: numbering reads it twice, and
+    should not compare the sets twice.
     """
-    firsts = number_rows(missing_identities(source, final), "_row", out="position", start=start)
+    missing = materialise(missing_identities(source, final).select("_row"), "identities")
+    firsts = number_rows(missing, "_row", out="position", start=start)
     return source.join(firsts, "_row")
 
 
@@ -58,7 +62,7 @@ def missing_rule_commands(source: DataFrame, final: DataFrame, *, slot: int = 9,
     ``kind`` says what the rule is. A rule that cannot be built keeps its
     position and shows the error instead.
     """
-    rows = missing_rules(source, final, start=start)
+    rows = with_identity(missing_rules(source, final, start=start))
     rows = rows.select("*", rule_kind(rows).alias("_kind"))
     return render(
         rows, "position", prefix=PREFIX, default_slot=slot, kind="FILTER", keep=("_row", "_kind", *IDENTITY)
