@@ -19,7 +19,8 @@ from wallflow.session import materialise
 WINDOW = 8
 MIN_AGREEMENT = 0.6
 
-NUMBER, NAME, UNIT = "", "", ""
+# Three characters for private use; they are blanked where a text has them itself.
+NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 
 _NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
 # Capitalised after a word or comma, so not merely at the start of a sentence.
