@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 
 # A bracket that begins a control string of this or a common other template.
-_TAIL = r"(?=\||/?s>|/?INST\]|<?/?SYS>)"
+_TAIL = r"(?=\||/?s>|/?INST\]|/?SYS>)"
 _ESCAPE = r"([<\[])(\\*)" + _TAIL
 _UNESCAPE = r"([<\[])\\(\\*)" + _TAIL
 

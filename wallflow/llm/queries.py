@@ -117,7 +117,7 @@ WITH turns AS (
   SELECT *,
     row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
     length('<|im_start|>' || role || chr(10) || regexp_replace(text,
-      '([<\[])(\\*)(\||/?s>|/?INST\]|<?/?SYS>)', '\1\\\2\3', 'g') || '<|im_end|>' || chr(10)) AS chars
+      '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>)', '\1\\\2\3', 'g') || '<|im_end|>' || chr(10)) AS chars
   FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), sums AS (
   SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM parts
