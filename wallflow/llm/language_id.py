@@ -150,16 +150,16 @@ class CrossParser:
             grid[: len(blocks[i]), at] = blocks[i]
         active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
         roots = np.array(self.roots, dtype=np.int32)[:, None]
-        state = np.repeat(roots, len(order), axis=1)
-        count = np.ones(state.shape, dtype=np.int32)
+        # State 0 has no transitions, so whatever comes next begins a phrase.
+        state = np.zeros((len(self.roots), len(order)), dtype=np.int32)
+        count = np.zeros(state.shape, dtype=np.int32)
         for t in range(lengths[0]):
             n = active[t]
             c = grid[t, :n]
             s = self.next[state[:, :n] * self.width + c]
             miss = s == 0
             count[:, :n] += miss
-            again = self.next[roots * self.width + c]
-            state[:, :n] = np.where(miss, np.where(again == 0, roots, again), s)
+            state[:, :n] = np.where(miss, self.next[roots * self.width + c], s)
         np.add.at(total, np.array(owners)[order], count.T)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
