@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +33,11 @@ def build_session(name: str = "wallflow", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="wallflow-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -39,15 +49,46 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="wallflow-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` whose workers find this package where the driver does.
+
+    That serves a shared file system or a local session; elsewhere the package
+    has to be shipped with the job, as usual.
+    """
+    environment = df.sparkSession.sparkContext.environment
+    root, known = str(Path(__file__).resolve().parents[1]), environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+    return df.mapInArrow(run, schema)
+
+
+# Paths written since the innermost ``scratch`` began.
+_open_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Remove what ``materialise`` writes in this block when the block ends.
+
+    For jobs whose outputs are files; a table returned from the block must not
+    be lazy.
+    """
+    _open_scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scratch.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
@@ -55,5 +96,7 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     pruning, and is computed once however often it is read.
     """
     path = scratch_path(df.sparkSession, label)
+    if _open_scratch:
+        _open_scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,35 +1,86 @@
-"""Files of a folder as a DataFrame; contents are never read."""
+"""Files of a folder, and what one pass over them tells: header, quotes, damage."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+import bz2
+import re
+import uuid
+import zlib
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER_THREADS = 16
+from wallflow.session import map_arrow, scratch_root
 
+# Spark's readers skip names that begin with "_" or ".". Such files are copied
+# to a folder of this name, with one letter before their own name.
+_VISIBLE = "hidden-names-"
 
-def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame | None:
-    """``path``, ``name`` and ``modified`` of a file, or of a folder's own files.
+# Names that other tools leave beside data; no rows are in them.
+_BOOKKEEPING = re.compile(r"_SUCCESS|_temporary|_(?:started|committed)_.*|\..*\.crc")
 
-    None if there is no such path.
+
+def escaped(path: str) -> str:
+    """``path`` with characters that Spark would read as a pattern escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def file_name(metadata: Column) -> Column:
+    """Own name of the file that a row comes from; Spark shows it as part of a URL, where ``+`` is itself."""
+    name = F.url_decode(F.replace(metadata["file_name"], F.lit("+"), F.lit("%2B")))
+    return F.when(metadata["file_path"].contains(f"/{_VISIBLE}"), F.substr(name, F.lit(2))).otherwise(name)
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """``path`` to read, ``key`` as rows show it, ``name`` and ``modified`` of a file, or of a folder's own files.
+
+    None if there is no such path. Contents are not read.
     """
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     try:
-        return reader.load(path).select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("name"),
-            F.col("modificationTime").alias("modified"),
-        )
+        found = spark.read.format("binaryFile").load(escaped(path))
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" in str(missing.getCondition()):
             return None
         raise
+    return found.select(
+        "path",
+        F.col("_metadata.file_path").alias("key"),
+        file_name(F.col("_metadata")).alias("name"),
+        F.col("modificationTime").alias("modified"),
+    )
+
+
+def _hidden(spark: SparkSession, path: str) -> list:
+    """Status of the file, or the folder's files, whose names Spark's readers skip."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    found = [s for s in system.listStatus(folder) if s.isFile() and s.getPath().getName()[0] in "_."]
+    return [s for s in found if not _BOOKKEEPING.fullmatch(s.getPath().getName())]
+
+
+def visible_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """Like ``list_files``, with files whose names Spark skips under a copy of theirs.
+
+    The driver copies those few as streams to the scratch folder.
+    """
+    files, hidden = list_files(spark, path), _hidden(spark, path)
+    if not hidden:
+        return files
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = f"{scratch_root(spark).rstrip('/')}/{_VISIBLE}{uuid.uuid4().hex}"
+    for status in hidden:
+        target = hadoop.Path(f"{folder}/x{status.getPath().getName()}")
+        source = status.getPath().getFileSystem(conf)
+        hadoop.FileUtil.copy(source, status.getPath(), target.getFileSystem(conf), target, False, conf)
+    copies = list_files(spark, folder)
+    return copies if files is None else files.unionByName(copies)
 
 
 def newest_file(spark: SparkSession, folder: str, keyword: str) -> str:
@@ -43,15 +94,74 @@ def newest_file(spark: SparkSession, folder: str, keyword: str) -> str:
     return newest.first()["path"] or ""
 
 
-def first_lines(spark: SparkSession, paths: Sequence[str]) -> list[str | None]:
-    """First line with text of each file; None for a file without any.
+@dataclass
+class FileFacts:
+    """A file as one pass saw it: its first line with text, and whether a quoted cell may hold a line break."""
+
+    path: str
+    key: str
+    header: str | None
+    open_quotes: bool
+
 
-    Each is a one-row job on the file's first split, several at a time.
+def damaged_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """Compressed files (``.gz``, ``.bz2``) that do not unpack to their end, with the reason.
+
+    A file is one row here, so it is unpacked by one task, in pieces. Files of
+    other kinds are never half read: a bad one fails the job that reads it.
     """
+    packed = [p for p in paths if p.endswith((".gz", ".bz2"))]
+    if not packed:
+        return {}
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reasons = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                reasons.append(unpack_error(content, path.endswith(".gz")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string())], names=["path", "reason"])
+
+    rows = spark.read.format("binaryFile").load([escaped(p) for p in packed]).select("path", "content")
+    found = map_arrow(rows, unpack, "path string, reason string").filter("reason IS NOT NULL")
+    return {r["path"]: r["reason"] for r in found.collect()}
 
-    def first_line(path: str) -> str | None:
-        row = spark.read.text(path).filter(F.col("value").rlike("(?U)\\S")).first()
-        return row["value"].lstrip("﻿") if row else None
 
-    with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        return list(pool.map(first_line, paths))
+def unpack_error(content: bytes, is_gzip: bool) -> str | None:
+    """Why a compressed file does not unpack; None if it does."""
+    rest, step = content, 1 << 20
+    try:
+        while rest:
+            unpacker = zlib.decompressobj(31) if is_gzip else bz2.BZ2Decompressor()
+            at = 0
+            while at < len(rest) and not unpacker.eof:
+                unpacker.decompress(rest[at : at + step])
+                at += step
+            if not unpacker.eof:
+                return "ends too early"
+            rest = unpacker.unused_data + rest[at:]
+    except (zlib.error, OSError) as broken:
+        return str(broken)
+    return None
+
+
+def file_facts(spark: SparkSession, files: Sequence[tuple[str, str]]) -> list[FileFacts]:
+    """Facts of each ``(path, key)``, by one distributed pass that sends one row per file and task."""
+    if not files:
+        return []
+    lines = spark.read.text([escaped(p) for p, _ in files]).select(
+        "value",
+        F.col("_metadata.file_path").alias("key"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).alias("at"),
+    )
+    has_text = F.col("value").rlike("(?U)\\S")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = lines.groupBy("key").agg(
+        F.min_by("value", F.when(has_text, F.col("at"))).alias("header"),
+        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open_quotes"),
+    )
+    known = {r["key"]: r for r in found.collect()}
+    return [
+        FileFacts(path, key, known[key]["header"].lstrip("﻿") if key in known and known[key]["header"] else None,
+                  key in known and known[key]["open_quotes"])
+        for path, key in files
+    ]

@@ -3,31 +3,41 @@
 from __future__ import annotations
 
 import csv
+import warnings
 from collections import defaultdict
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wallflow.functions.fields import named
 from wallflow.operators.flows import null_words_to_null
-from wallflow.sources.listing import first_lines, list_files
+from wallflow.sources.listing import damaged_files, escaped, file_facts, visible_files
 
 BAD_LINE = "_corrupt_record"
 ORDER = ["_path", "_start", "_seq"]
 
 
 def header_names(line: str) -> list[str]:
-    """Column names of a header line; repeats become ``name.1``, ``name.2``."""
-    names, seen = [], defaultdict(int)
+    """Column names of a header line; repeats become ``name.1``, ``name.2``.
+
+    Names that differ in case alone are repeats, since Spark could not tell
+    them apart.
+    """
+    names, taken = [], set()
     for name in next(csv.reader([line])):
-        names.append(f"{name}.{seen[name]}" if seen[name] else name)
-        seen[name] += 1
+        unique, n = name, 0
+        while unique.lower() in taken:
+            n += 1
+            unique = f"{name}.{n}"
+        taken.add(unique.lower())
+        names.append(unique)
     return names
 
 
 def field_count(line: Column, sep: str = ",") -> Column:
     """Number of fields in a CSV record, separators inside quotes left out."""
-    bare = F.regexp_replace(line, f'(^|{sep})"(?:[^"]|"")*"', "$1")
+    bare = F.regexp_replace(line, f'(^|{sep})"(?:[^"]|"")*+"', "$1")
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
@@ -38,8 +48,8 @@ def _scan(spark: SparkSession, paths: list[str], names: list[str], multi_line: b
     lines = (
         spark.read.schema(", ".join(f"`{c}` string" for c in [*columns, BAD_LINE]))
         .options(header=True, escape='"', multiLine=multi_line, enforceSchema=not check)
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE, ignoreCorruptFiles=not check, columnPruning=False)
-        .csv(paths)
+        .options(mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE, columnPruning=False)
+        .csv([escaped(p) for p in paths])
     )
     # Short rows stay, padded with nulls; rows with more fields than the header go.
     # The last term is always true; Spark refuses a scan of the raw record alone.
@@ -57,43 +67,65 @@ def _scan(spark: SparkSession, paths: list[str], names: list[str], multi_line: b
     )
 
 
+@dataclass
+class ReadReport:
+    """Files that gave no rows, with the reason. A damaged file gives none of its rows."""
+
+    left_out: dict[str, str] = field(default_factory=dict)
+
+
 def read_logs(
     spark: SparkSession,
     path: str,
     *,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     same_header: bool = False,
     with_order: bool = False,
+    report: ReadReport | None = None,
 ) -> DataFrame:
     """Rows of one log file, or of the ``.csv`` files of a folder (not below it).
 
     Files are united by column name: those with the same header are read by
-    one scan, and what a file lacks is null. ``same_header`` promises that all
-    files have the first one's header, which saves a look at each; a file that
-    breaks the promise fails the read. ``multi_line`` allows line breaks inside
-    quotes, at the price of one task per file. ``with_order`` adds the columns
-    named in ``ORDER``, for breaking ties between rows of the same time.
+    one scan, and what a file lacks is null. One pass over the files finds
+    their headers and those in which a quoted cell may hold a line break; only
+    these are read by one task each, the others stay splittable.
+    ``multi_line`` decides that for all files instead. ``same_header`` promises
+    that all files have the first one's header, which saves the pass; a file
+    that breaks the promise fails the read. Compressed files that do not unpack
+    to their end are left out whole, warned of, and listed in ``report``; other
+    trouble fails the read. ``with_order`` adds the columns named in ``ORDER``,
+    for breaking ties between rows of the same time.
     """
-    files = list_files(spark, path)
+    report = ReadReport() if report is None else report
+    files = visible_files(spark, path)
     rows = files.collect() if files is not None else []
     if not rows:
         raise FileNotFoundError(f"no log file at {path}")
-    is_file = len(rows) == 1 and rows[0]["path"].rstrip("/").endswith(path.rstrip("/"))
-    paths = sorted(r["path"] for r in rows if is_file or r["name"].endswith(".csv"))
-    if not paths:
+    is_file = len(rows) == 1 and rows[0]["name"] == path.rstrip("/").rsplit("/", 1)[-1]
+    chosen = sorted((r for r in rows if is_file or r["name"].endswith((".csv", ".csv.gz", ".csv.bz2"))), key=lambda r: r["path"])
+    if not chosen:
         raise FileNotFoundError(f"no .csv file in {path}")
-    layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    if same_header:
-        line = first_lines(spark, paths[:1])[0]
-        layouts[tuple(header_names(line or ""))] = paths
+    names = {r["path"]: r["name"] for r in chosen}
+    for bad, reason in damaged_files(spark, [*names]).items():
+        report.left_out[names[bad]] = reason
+        warnings.warn(f"log file left out: {names[bad]}: {reason}", stacklevel=2)
+    chosen = [r for r in chosen if r["name"] not in report.left_out]
+    layouts: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
+    pairs = [(r["path"], r["key"]) for r in chosen]
+    if same_header and pairs:
+        header = file_facts(spark, pairs[:1])[0].header
+        layouts[tuple(header_names(header or "")), True if multi_line is None else multi_line] = [p for p, _ in pairs]
     else:
-        for file, line in zip(paths, first_lines(spark, paths)):
-            if line is not None:
-                layouts[tuple(header_names(line))].append(file)
+        for facts in file_facts(spark, pairs):
+            if facts.header is None:
+                report.left_out[names[facts.path]] = "no header"
+            else:
+                whole = facts.open_quotes if multi_line is None else multi_line
+                layouts[tuple(header_names(facts.header)), whole].append(facts.path)
     if not layouts:
         raise ValueError(f"no log file with a header at {path}")
     logs = None
-    for names, group in layouts.items():
-        part = _scan(spark, group, list(names), multi_line, same_header)
+    for (columns, whole), group in layouts.items():
+        part = _scan(spark, group, list(columns), whole, same_header)
         logs = part if logs is None else logs.unionByName(part, allowMissingColumns=True)
     return logs if with_order else logs.drop(*ORDER)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wallflow.functions.text import strip_ws
-from wallflow.sources.listing import list_files, newest_file
+from wallflow.sources.listing import escaped, list_files, newest_file
 
 # How a line states a name.
 OBJECT_NAME = 'name="([^"]+)"'
@@ -36,7 +36,7 @@ def interface_names(lines: DataFrame) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str | None) -> DataFrame:
     if path and list_files(spark, path) is not None:
-        return spark.read.text(path)
+        return spark.read.text(escaped(path))
     return spark.createDataFrame([], "value string")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wallflow.functions.fields import named
 from wallflow.functions.text import clean_cell, strip_ws
 from wallflow.operators.ordering import number_file_rows
-from wallflow.sources.listing import first_lines, list_files
+from wallflow.sources.listing import damaged_files, escaped, file_facts, file_name, visible_files
 
 
 def rule_header(line: str) -> tuple[str, tuple[str, ...]]:
@@ -21,6 +21,7 @@ def rule_header(line: str) -> tuple[str, tuple[str, ...]]:
 
     The delimiter is ``;`` if the line has one. Names are trimmed, lose a
     leading ``#`` and quotes, and are lower-cased; repeats get ``_1``, ``_2``.
+    Where that gives a name twice, the last column of the name counts.
     """
     line = line.strip().lstrip("#")
     delimiter = ";" if ";" in line else ","
@@ -34,51 +35,67 @@ def rule_header(line: str) -> tuple[str, tuple[str, ...]]:
 
 def _scan(spark: SparkSession, paths: list[str], delimiter: str, names: Sequence[str], multi_line: bool) -> DataFrame:
     columns = [f"c{i}" for i in range(len(names))]
+    last = {n: c for c, n in zip(columns, names) if n}
     lines = (
         spark.read.schema(", ".join(f"{c} string" for c in columns))
         .options(header=False, sep=delimiter, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE")
-        .csv(paths)
+        .csv([escaped(p) for p in paths])
     )
     has_text = F.exists(F.array(*columns), lambda c: strip_ws(F.coalesce(c, F.lit(""))) != "")
     return lines.filter(has_text).select(
-        *[named(c).alias(n) for c, n in zip(columns, names) if n],
+        *[named(c).alias(n) for n, c in last.items()],
         F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_name").alias("_file"),
+        file_name(F.col("_metadata")).alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
     )
 
 
-def read_rules(spark: SparkSession, paths: str | Sequence[str], *, multi_line: bool = True) -> DataFrame:
+def read_rules(
+    spark: SparkSession, paths: str | Sequence[str], *, multi_line: bool | None = None, may_be_empty: bool = False
+) -> DataFrame:
     """Rules of one or several files, in the order given.
 
     Every value is text, trimmed and without quotes on its ends; what a file
     lacks is ``""``. Adds ``_row`` (1, 2, ... over all files), ``_file`` and
     ``_line`` (1, 2, ... in each file, header and blank lines not counted).
-    A file that is missing or empty is reported and left out. ``multi_line``
-    allows line breaks inside quotes, at the price of one task per file.
+    A file that is missing, empty or damaged is reported and left out whole.
+    One pass finds the headers and the files in which a quoted cell may hold a
+    line break; only those are read by one task each. ``multi_line`` decides
+    that for all files instead. Without any rule file this fails, unless
+    ``may_be_empty``.
     """
-    wanted = []
+    wanted: list[tuple[str, str]] = []
     for path in [paths] if isinstance(paths, str) else paths:
-        found = list_files(spark, path)
+        found = visible_files(spark, path)
         if found is None:
             warnings.warn(f"rule file not found: {path}", stacklevel=2)
         else:
-            wanted += [r["path"] for r in found.orderBy("path").collect()]
+            rows = [(r["path"], r["key"]) for r in found.orderBy("path").collect()]
+            if not rows:
+                # Spark lists no file without bytes.
+                warnings.warn(f"rule file without a header: {path}", stacklevel=2)
+            wanted += rows
     distinct = list(dict.fromkeys(wanted))
-    layouts: dict[tuple[str, tuple[str, ...]], list[str]] = defaultdict(list)
-    for path, line in zip(distinct, first_lines(spark, distinct)):
-        if line is None:
-            warnings.warn(f"rule file without a header: {path}", stacklevel=2)
+    damaged = damaged_files(spark, [p for p, _ in distinct])
+    for path, reason in damaged.items():
+        warnings.warn(f"rule file left out: {path}: {reason}", stacklevel=2)
+    layouts: dict[tuple[str, tuple[str, ...], bool], list[str]] = defaultdict(list)
+    for facts in file_facts(spark, [x for x in distinct if x[0] not in damaged]):
+        if facts.header is None:
+            warnings.warn(f"rule file without a header: {facts.path}", stacklevel=2)
         else:
-            layouts[rule_header(line)].append(path)
+            whole = facts.open_quotes if multi_line is None else multi_line
+            layouts[(*rule_header(facts.header), whole)].append(facts.path)
     if not layouts:
+        if may_be_empty:
+            return spark.createDataFrame([], "_row long, _file string, _line long")
         raise FileNotFoundError("none of the rule files could be read")
     rows = None
-    for (delimiter, names), group in layouts.items():
-        part = _scan(spark, group, delimiter, names, multi_line)
+    for (delimiter, names, whole), group in layouts.items():
+        part = _scan(spark, group, delimiter, names, whole)
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    order = spark.createDataFrame(list(zip(wanted, range(len(wanted)))), "_path string, _file_order int")
+    order = spark.createDataFrame([(k, i) for i, (_, k) in enumerate(wanted)], "_path string, _file_order int")
     # The first row of each file is its header, and gets line 0.
     numbered = number_file_rows(rows, order, header_rows=1).filter(F.col("_line") > 0)
     places = ("_path", "_start", "_seq", "_file", "_line", "_row")
