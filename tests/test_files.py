@@ -215,8 +215,8 @@ def test_find_duplicates_in_files(spark, tmp_path):
         head.format("x") + "| File | Line (File) | Line (NAT) | Rule Name |\n|---|---|---|---|\n"
         "| `r.csv` | `2` | `1` | `nat1` |\n| `r.csv` | `6` | `2` | `nat2` |\n")
     assert text_of(f"{out}/delete_duplicates_script") == (
-        "# Commands to delete duplicate filter rules\nCONFIG FILTER RULE REMOVE index=2 type=filter position=4\n"
-        "CONFIG FILTER RULE REMOVE index=2 type=filter position=5\n\n# Commands to delete duplicate NAT rules\n"
+        "# Commands to delete duplicate filter rules\nCONFIG FILTER RULE REMOVE index=2 type=filter position=5\n"
+        "CONFIG FILTER RULE REMOVE index=2 type=filter position=4\n\n# Commands to delete duplicate NAT rules\n"
         'CONFIG FILTER RULE REMOVE index=2 type=nat name="nat2"\n\n# Activate the new filter policy\nCONFIG FILTER ACTIVATE\n')
     lone = write(tmp_path, "l.csv", "type_slot,action\nlocal_filter_slot_1,pass\n")
     jobs.find_duplicates_in_files(spark, [lone], str(tmp_path / "lone"))

@@ -20,6 +20,9 @@ NULL_WORDS = [
     "-nan", "-NaN", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN", "#N/A N/A",
 ]
 
+# Volumes that must stay exact.
+EXACT = "decimal(38,6)"
+
 _NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*\z"
 
 
@@ -34,9 +37,18 @@ def null_words_to_null(c: Column) -> Column:
     return F.when(~c.isin(NULL_WORDS), c)
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """Double; text that is not a plain number, null and NaN count as 0."""
+def as_number(df: DataFrame, column: str, exact: bool = False) -> Column:
+    """Double; text that is not a plain number, null and NaN count as 0.
+
+    ``exact`` gives a decimal with six places instead, in which whole numbers
+    of any size stay whole; infinite values count as 0 there.
+    """
     c = named(column)
+    if exact:
+        value = c.try_cast(EXACT)
+        if isinstance(df.schema[column].dataType, T.StringType):
+            value = F.when(c.rlike(_NUMBER), F.trim(c).try_cast(EXACT))
+        return F.coalesce(value, F.lit(0).cast(EXACT))
     if isinstance(df.schema[column].dataType, T.StringType):
         value = F.when(c.rlike(_NUMBER), c.try_cast("double"))
     else:
@@ -54,32 +66,33 @@ def as_time(df: DataFrame, column: str, formats: Sequence[str] = ()) -> Column:
     return F.coalesce(*tries)
 
 
-def clean_logs(logs: DataFrame, time_formats: Sequence[str] = ()) -> DataFrame:
+def clean_logs(logs: DataFrame, time_formats: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """Typed log rows; those without a key or a valid time are dropped."""
     check_columns(logs)
     typed = {
         "time": as_time(logs, "time", time_formats),
-        "rcvd": as_number(logs, "rcvd"),
-        "sent": as_number(logs, "sent"),
+        "rcvd": as_number(logs, "rcvd", exact),
+        "sent": as_number(logs, "sent", exact),
     }
     cleaned = logs.select(*[typed.get(c, named(c)).alias(c) for c in logs.columns])
     return cleaned.dropna(subset=[*KEYS, "time"])
 
 
 def flow_rollup(
-    logs: DataFrame, tie_break: Sequence[str] = (), time_formats: Sequence[str] = ()
+    logs: DataFrame, tie_break: Sequence[str] = (), time_formats: Sequence[str] = (), exact: bool = False
 ) -> DataFrame:
     """One row per (source, destination, port): counts, times, volumes, firsts.
 
     Every further column ``x`` becomes ``x_first``, its first non-null value in
     time order. Rows with equal times are ordered by ``tie_break`` columns
     (which are not reported), and without any by the value itself, so the
-    result never depends on how the rows were partitioned.
+    result never depends on how the rows were partitioned. ``exact`` sums
+    volumes as decimals, so totals beyond 2**53 and their order do not matter.
 
     One shuffle. Each map task sends one row per flow it saw, so a flow that
     owns a large share of the log does not overload the task that finishes it.
     """
-    cleaned = clean_logs(logs, time_formats)
+    cleaned = clean_logs(logs, time_formats, exact)
     extras = sorted(
         (c for c in cleaned.columns if c not in REQUIRED and c not in tie_break), key=lambda c: f"{c}_first"
     )

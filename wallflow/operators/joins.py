@@ -7,25 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wallflow.session import materialise
+
 # A side is broadcast only after it was counted and found below both bounds.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
-# Keys with more rows than this are split over several tasks. Only the largest
-# MAX_HOT_KEYS are, which bounds what is broadcast; any key beyond them holds
-# less than 1/MAX_HOT_KEYS of the rows and needs no split.
+# Keys with more rows than this are split over several tasks.
 ROWS_PER_TASK = 1_000_000
-MAX_HOT_KEYS = 10_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Count ``df`` up to the bound and say whether it may be broadcast."""
+    """Whether ``df`` is below both bounds. It is counted in full, by a sum of one row per task."""
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
-    size = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
-        .first()
-    )
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
     return size["n"] <= max_rows and size["bytes"] <= max_bytes
 
 
@@ -34,27 +29,25 @@ def hot_keys(
     keys: Sequence[str],
     n: str,
     rows_per_task: int = ROWS_PER_TASK,
-    max_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
-    """Keys to split, with the number of parts, from a table of rows per key."""
-    return (
-        stats.filter(F.col(n) > rows_per_task)
-        .orderBy(F.desc(n), *keys)
-        .limit(max_keys)
-        .select(*keys, F.ceil(F.col(n) / rows_per_task).cast("int").alias("_parts"))
-    )
+    """Every key to split, with its number of parts, from a table of rows per key."""
+    parts = F.ceil(F.col(n) / rows_per_task).cast("int").alias("_parts")
+    return stats.filter(F.col(n) > rows_per_task).select(*keys, parts)
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, hot: DataFrame, spread: str
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, hot: DataFrame, spread: str, **limits: int
 ) -> DataFrame:
     """Equi-join whose hot keys are split by ``spread`` on the left side.
 
     ``right`` has one row per key; for a hot key it is repeated once per part.
-    Right for inner, left, left_semi and left_anti. Keys must not be null.
+    Right for inner, left, left_semi and left_anti. Keys must not be null. The
+    list of hot keys is broadcast if it fits; if not, it is joined by shuffle,
+    where adaptive execution splits the left side.
     """
     keys = list(keys)
-    hot = F.broadcast(hot)
+    hot = materialise(hot, "hot-keys")
+    hot = F.broadcast(hot) if fits_broadcast(hot, **limits) else hot
     part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64(spread), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
     )
@@ -74,6 +67,7 @@ def lookup_join(
     how: str,
     spread: str,
     small: bool | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
     **limits: int,
 ) -> DataFrame:
     """Join with a table of one row per key: broadcast if it fits, else salted.
@@ -82,5 +76,7 @@ def lookup_join(
     """
     if fits_broadcast(right, **limits) if small is None else small:
         return left.join(F.broadcast(right), list(keys), how)
+    # Read by the counts and by the join.
+    left = materialise(left, "lookups")
     stats = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return salted_join(left, right, keys, how, hot_keys(stats, keys, "_n"), spread)
+    return salted_join(left, right, keys, how, hot_keys(stats, keys, "_n", rows_per_task), spread)

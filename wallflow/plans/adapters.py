@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from wallflow.operators.dependencies import known_names
 
+# Row keys leave room for this many addresses of a document.
+ADDRESSES_PER_DOCUMENT = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,6 +37,9 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LOG_COLUMNS = ["srcname", "dstname", "dstportname", "time", "rcvd", "sent"]
+
+
 def dirty_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as text, with bad times, bad numbers and missing keys."""
     n = F.col("event_id")
@@ -122,10 +128,12 @@ def address_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 7 == 0, text(address, "/", key % 40)).when(key % 7 == 1, text(address, "-", address)).otherwise(
             text("H_10_0_0_", key % 290)).alias("to_dest"),
     )
-    found = F.regexp_extract("text", r"([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})", 1)
-    documents = table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") * 2 + 1).alias("_row"),
-        found.alias("from_src"),
+    pattern = F.lit("([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})")
+    found = F.posexplode_outer(F.regexp_extract_all("text", pattern, F.lit(1))).alias("at", "ip")
+    # One rule per address; a document without one is a rule without a source.
+    documents = table(spark, sf_dir, "documents").select("doc_id", found).select(
+        ((F.col("doc_id") * ADDRESSES_PER_DOCUMENT + F.coalesce("at", F.lit(0))) * 2 + 1).alias("_row"),
+        F.coalesce("ip", F.lit("")).alias("from_src"),
         F.lit("").alias("source_ip"),
         F.lit("").alias("source"),
         F.lit("any").alias("to_dest"),

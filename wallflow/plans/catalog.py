@@ -95,23 +95,50 @@ def log_csv_scan(spark, sf):
         F.when(n % 37 == 0, F.lit("surplus")).when(n % 41 == 0, F.lit("")),
     )
     header = "srcname,dstname,dstportname,time,rcvd,sent,ruleid"
-    path = _raw_csv(dirty.filter((n % 31 != 0) | ((n % 37 != 0) & (n % 41 != 0))).select(line), spark, header, "logs")
+    path = _raw_csv(dirty.select(line), spark, header, "logs")
     cleaned = fw.clean_logs(read_logs(spark, path))
     return cleaned.select(
         "srcname", "dstname", "dstportname", F.col("time").cast("timestamp").alias("time"), "rcvd", "sent", "ruleid"
     )
 
 
+@query
+def log_folder_scan(spark, sf):
+    """Two kinds of log file in one folder with an awkward name, with line breaks and long texts in quotes."""
+    n = F.col("event_id")
+    said = F.when(n % 7 == 0, ad.text("line\n", F.repeat(F.lit('"x", '), 25_000), F.col("dstname")))
+    logs = ad.dirty_logs(spark, sf).filter("srcname IS NOT NULL").withColumn("said", said.otherwise("plain"))
+    logs = logs.withColumn("event_id", n.cast("string"))
+    folder = f"{scratch_path(spark, 'logs')} [all] of {{it}}"
+    options = {"header": True, "escape": '"', "emptyValue": ""}
+    one = logs.filter(n % 2 == 0).select(*ad.LOG_COLUMNS, "event_id")
+    other = logs.filter(n % 2 == 1).select("said", *reversed(ad.LOG_COLUMNS), "event_id")
+    one.write.mode("append").options(**options).csv(folder)
+    other.write.mode("append").options(**options).csv(folder)
+    return fw.clean_logs(read_logs(spark, folder)).select(
+        "event_id", "srcname", "dstname", "rcvd", "sent", F.md5("said").alias("said"), F.length("said").alias("chars")
+    )
+
+
+@query
+def flow_exact_totals(spark, sf):
+    """Volumes beyond 2**53, summed without rounding."""
+    big = F.col("event_id").cast("decimal(38,0)") + F.lit("9007199254740993").cast("decimal(38,0)")
+    logs = ad.logs(spark, sf).withColumn("rcvd", big.cast("string")).withColumn("sent", big)
+    flows = fw.flow_rollup(logs, tie_break=["event_id"], exact=True)
+    return flows.select(*fw.KEYS, *[F.col(c).cast("decimal(38,0)").cast("string").alias(c) for c in ("total_rcvd", "total_sent")])
+
+
 @query
 def flow_csv_sink(spark, sf):
     """The flow table written as CSV and read back."""
     path = scratch_path(spark, "flows")
     tables.write_flows(_rounded(_flows(spark, sf)), path)
     back = spark.read.options(header=True, escape='"').schema(
-        "srcname string, dstname string, dstportname string, count long, min_time string, max_time string,"
+        "srcname string, dstname string, dstportname string, count long, min_time timestamp, max_time timestamp,"
         " total_rcvd double, total_sent double, ruleid_first string"
     ).csv(path)
-    return back.select("srcname", "dstname", "dstportname", "count", "total_rcvd", "total_sent", "ruleid_first")
+    return back
 
 
 # --- rule fields ----------------------------------------------------------
@@ -182,6 +209,19 @@ def rule_csv_scan(spark, sf):
     )
 
 
+@query
+def rule_files_scan(spark, sf):
+    """Rules from ``;`` files and then from ``,`` files, with line breaks in quotes."""
+    n = F.col("_row")
+    rules = ad.rules(spark, sf).withColumn("comment", F.when(n % 5 == 0, ad.text("a\nb;", F.col("comment"))).otherwise(F.col("comment")))
+    options = {"header": True, "escape": '"', "emptyValue": ""}
+    first, then = f"{scratch_path(spark, 'rules')} 1", f"{scratch_path(spark, 'rules')} 2"
+    columns = [F.col("type_slot").alias("#Type_Slot"), "comment", n.cast("string").alias("key")]
+    rules.filter(n % 3 == 0).orderBy("_row").select(*columns).write.options(**options, sep=";").csv(first)
+    rules.filter(n % 3 != 0).orderBy("_row").select("action", *columns[1:]).write.options(**options).csv(then)
+    return read_rules(spark, [then, first]).select("_row", "key", "type_slot", "action", "comment")
+
+
 @query
 def name_lists(spark, sf):
     """Object and interface names out of list lines."""
@@ -207,7 +247,7 @@ def name_lists(spark, sf):
 def row_numbers(spark, sf):
     """Dense numbers over a sparse, partly negative key."""
     key = (F.col("o_orderkey") - 500) * 1_000_003
-    orders = ad.table(spark, sf, "orders").filter(F.col("o_orderkey") % 3 != 1).select(key.alias("key"))
+    orders = ad.table(spark, sf, "orders").select(key.alias("key"))
     return number_rows(orders, "key", out="n")
 
 
@@ -216,6 +256,13 @@ def nat_lines(spark, sf):
     return duplicates.nat_lines(ad.rules(spark, sf)).select("_row", "nat_line")
 
 
+@query
+def nat_lines_original(spark, sf):
+    """NAT rules numbered by the line that the data says, against the order of the rows."""
+    rules = ad.rules(spark, sf).withColumn("original_line", (1_000_000 - F.col("_row") / 10).cast("long").cast("string"))
+    return duplicates.nat_lines(rules).select("_row", "nat_line")
+
+
 # --- dependency check -------------------------------------------------------
 
 
@@ -315,7 +362,14 @@ def safe_script(spark, sf):
 @query
 def pending_script(spark, sf):
     converted = materialise(conversion.convert_rules(ad.rules(spark, sf), ad.known(spark, sf)), "converted")
-    return scripts.pending_script(converted, generated_at="T").filter("part = 1 and sub < 3").select("ord", "sub", "line")
+    return scripts.pending_script(converted, generated_at="T").select("part", "ord", "sub", "line")
+
+
+@query
+def missing_list(spark, sf):
+    """Lines of the list of missing names."""
+    names = dep.missing_names(ad.interface_rules(spark, sf), ad.known(spark, sf))
+    return scripts.missing_list(materialise(names, "missing"), generated_at="T").select("part", "ord", "kind", "name", "line")
 
 
 @query
@@ -358,6 +412,20 @@ def dup_removals(spark, sf):
     return duplicates.duplicate_removals(ad.rules(spark, sf)).select("kind", "_row", "remove_order", "command")
 
 
+@query
+def removal_script(spark, sf):
+    """Lines of the removal script with their order: positions from the bottom up."""
+    script = scripts.removal_script(materialise(duplicates.duplicate_removals(ad.rules(spark, sf)), "removals"))
+    return script.select("part", "remove_order", "first_row", "_row", "line")
+
+
+@query
+def missing_script(spark, sf):
+    """Lines of the script that adds missing rules."""
+    found = materialise(comparison.missing_rule_commands(ad.rules(spark, sf), ad.final_rules(spark, sf), start=3), "missing")
+    return scripts.missing_rules_script(found, generated_at="T").select("part", "ord", "sub", "line")
+
+
 @query
 def dup_report(spark, sf):
     members = materialise(duplicates.duplicate_members(ad.rules(spark, sf)), "members")

@@ -58,11 +58,16 @@ def missing_rules(source: DataFrame, final: DataFrame, *, start: int = 1) -> Dat
 
 
 def missing_rule_commands(source: DataFrame, final: DataFrame, *, slot: int = 9, start: int = 1) -> DataFrame:
-    """Commands that add the missing rules. All are rendered as filter rules;
-    ``kind`` says what the rule is. A rule that cannot be built keeps its
-    position and shows the error instead.
+    """Commands that add the rules of ``source`` missing from ``final``."""
+    return commands_for_missing(missing_rules(source, final, start=start), slot=slot)
+
+
+def commands_for_missing(missing: DataFrame, *, slot: int = 9) -> DataFrame:
+    """Commands for the rows of ``missing_rules``. All are rendered as filter
+    rules; ``kind`` says what the rule is. A rule that cannot be built keeps
+    its position and shows the error instead.
     """
-    rows = with_identity(missing_rules(source, final, start=start))
+    rows = with_identity(missing)
     rows = rows.select("*", rule_kind(rows).alias("_kind"))
     return render(
         rows, "position", prefix=PREFIX, default_slot=slot, kind="FILTER", keep=("_row", "_kind", *IDENTITY)

@@ -42,7 +42,7 @@ def checked_rules(
     row, and the numbering runs inside the blocks. Only a universe too large
     to broadcast costs further shuffles.
     """
-    hosts = host_addresses(rules) if create_hosts else None
+    hosts = materialise(host_addresses(rules), "hosts") if create_hosts else None
     source_columns = [c for c in rules.columns if not c.startswith("_")]
     small = fits_broadcast(known)
     rules = rules.filter(~is_separator(rules)).withColumn("_block", ordering.block_of(F.col("_row")))
@@ -179,7 +179,10 @@ def convert_rules(
     ``SAFE`` rules have a command and no missing name; their positions are
     dense from ``start``. A ``PENDING`` rule shows the position it would take.
     """
-    checked = checked_rules(rules, known, default_slot=default_slot, prefix=prefix, create_hosts=create_hosts)
+    # Counted by block and then numbered; the rules themselves are read once.
+    checked = materialise(
+        checked_rules(rules, known, default_slot=default_slot, prefix=prefix, create_hosts=create_hosts), "checked"
+    )
     position = F.col("position")
     command = finished_command(position, prefix)
     return positioned_rules(checked, start).select(

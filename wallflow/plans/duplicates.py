@@ -6,13 +6,13 @@ into an array or a window: one signature may own a large share of all rules.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wallflow.functions.fields import field_value, named, pick
 from wallflow.functions.text import or_default, sorted_list
 from wallflow.operators.joins import hot_keys, salted_join
-from wallflow.operators.ordering import number_rows
+from wallflow.operators.ordering import number_rows, running_total_before
 from wallflow.session import materialise
 
 SIGNATURE = ["source", "destination", "port", "protocol", "action"]
@@ -35,9 +35,18 @@ def _line(rules: DataFrame) -> Column:
 
 
 def nat_lines(rules: DataFrame) -> DataFrame:
-    """NAT rows with ``nat_line``, their running number."""
+    """NAT rows with ``nat_line``, their running number, by ``original_line`` where the data has it."""
     slot = named("type_slot") if "type_slot" in rules.columns else F.lit("")
-    return number_rows(rules.filter(slot.contains(SLOT_MARKS[NAT])), "_row", out="nat_line")
+    nats = rules.filter(slot.contains(SLOT_MARKS[NAT]))
+    if "original_line" not in rules.columns:
+        return number_rows(nats, "_row", out="nat_line")
+    # A line occurs once per file, so rows of one line are few; the lines are numbered as rows are.
+    nats = nats.withColumn("_at", F.coalesce(_line(rules), F.lit(0)).cast("long"))
+    lines = nats.groupBy("_at").agg(F.count(F.lit(1)).alias("_of_line"))
+    before = running_total_before(lines, "_at", F.col("_of_line"), "_before").drop("_of_line")
+    inside = F.row_number().over(Window.partitionBy("_at").orderBy("_row"))
+    numbered = nats.withColumn("_inside", inside).join(before, "_at")
+    return numbered.withColumn("nat_line", F.col("_before") + F.col("_inside")).drop("_at", "_before", "_inside")
 
 
 def _occurrences(rules: DataFrame, kind: str, nat_line: Column) -> DataFrame:
@@ -78,9 +87,9 @@ def _place() -> Column:
     """Sort order of the occurrences of one group.
 
     Filter rules go by file and line. NAT rules go by file and running number,
-    which has the order of the rows.
+    which has the order of the lines, or else of the rows.
     """
-    line = F.when(F.col("kind") == NAT, F.col("_row")).otherwise(F.col("line"))
+    line = F.when(F.col("kind") == NAT, F.coalesce("nat_line", "_row")).otherwise(F.col("line"))
     return F.struct(F.col("file").alias("file"), line.alias("line"), F.col("_row").alias("row"))
 
 
@@ -151,15 +160,19 @@ def duplicate_members(rules: DataFrame, *, with_nat_lines: bool = False) -> Data
     )
 
 
-def duplicate_removals(rules: DataFrame, *, slot: int = 9, is_global: bool = False) -> DataFrame:
+def duplicate_removals(
+    rules: DataFrame, *, slot: int = 9, is_global: bool = False, members: DataFrame | None = None
+) -> DataFrame:
     """One command per copy that goes; unnamed NAT rules cannot be addressed.
 
     A filter rule is removed by name when the name is unique in its group,
     else by position. Every removal shifts the positions behind it, so the
     commands are safe to run in ascending ``remove_order``: by position from
-    the bottom up, then by name.
+    the bottom up, then by name. ``members`` passes on the finished table of
+    ``duplicate_members``.
     """
-    members = materialise(duplicate_members(rules), "members")
+    if members is None:
+        members = materialise(duplicate_members(rules), "members")
     by_name = [*_GROUP, "name"]
     names = members.filter(F.col("kind") == FILTER).groupBy(*by_name).agg(F.count(F.lit(1)).alias("_same_name"))
     goes = members.filter(~F.col("is_kept") & ((F.col("kind") == FILTER) | (F.col("name") != UNNAMED)))

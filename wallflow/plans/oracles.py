@@ -162,8 +162,10 @@ addresses AS (
          ELSE 'H_10_0_0_' || (c_custkey % 290) END AS to_dest
   FROM (SELECT *, '10.' || c_nationkey || '.' || (c_custkey // 256 % 300) || '.' || (c_custkey % 256) AS ip FROM customer)
   UNION ALL
-  SELECT doc_id * 2 + 1, regexp_extract(text, '([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})', 1), '', '', 'any'
-  FROM documents
+  SELECT (doc_id * 1048576 + generate_subscripts(ips, 1) - 1) * 2 + 1, unnest(ips), '', '', 'any'
+  FROM (SELECT doc_id, CASE WHEN len(found) > 0 THEN found ELSE [''] END AS ips FROM (
+    SELECT doc_id, regexp_extract_all(text, '([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})', 1) AS found FROM documents
+  ))
 )"""
 
 HOSTS = ADDRESSES + f""",
@@ -192,6 +194,20 @@ members AS (
   FROM signatures WINDOW g AS (PARTITION BY kind, source, destination, port, protocol, action)
 )"""
 
+# The head of the script of pending rules.
+PENDING_HEAD = [
+    "######################################################################",
+    "# WARNING: PENDING RULES                                           #",
+    "# ------------------------------------------------------------------ #",
+    "# The commands in this file have MISSING DEPENDENCIES.               #",
+    "# They are provided for debugging purposes and are LIKELY TO FAIL if #",
+    "# executed directly on a firewall without first creating the       #",
+    "# missing objects or interfaces.                                     #",
+    "######################################################################",
+    "",
+    "# Generated on: T",
+]
+
 FINAL_IDS = RULES + """,
 missing AS (
   SELECT *, row_number() OVER (ORDER BY _row) + 2 AS position FROM (
@@ -218,9 +234,17 @@ SELECT srcname, CASE WHEN event_id % 5 = 0 THEN dstname || ', "q"' ELSE dstname
   CASE WHEN event_id % 31 = 0 THEN 0.0 ELSE CAST(rcvd AS DOUBLE) END AS rcvd,
   CASE WHEN event_id % 31 = 0 THEN 0.0 ELSE sent END AS sent,
   CASE WHEN event_id % 31 <> 0 THEN ruleid END AS ruleid
-FROM dirty WHERE srcname IS NOT NULL AND time IS NOT NULL AND event_id % 37 <> 0 AND event_id % 41 <> 0""",
-    "flow_csv_sink": f"WITH {LOGS}, {_flows('logs')} SELECT srcname, dstname, dstportname, count, "
-    "round(total_rcvd, 2) AS total_rcvd, round(total_sent, 2) AS total_sent, ruleid_first FROM flows",
+FROM dirty WHERE srcname IS NOT NULL AND time IS NOT NULL
+  AND (event_id % 31 = 0 OR (event_id % 37 <> 0 AND event_id % 41 <> 0))""",
+    "log_folder_scan": f"""WITH {DIRTY}
+SELECT CAST(event_id AS VARCHAR) AS event_id, srcname, dstname, CAST(rcvd AS DOUBLE) AS rcvd, sent,
+  CASE WHEN event_id % 2 = 1 THEN md5(said) END AS said, CASE WHEN event_id % 2 = 1 THEN CAST(length(said) AS INTEGER) END AS chars
+FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN 'line' || chr(10) || repeat('"x", ', 25000) || dstname ELSE 'plain' END AS said
+  FROM dirty) WHERE srcname IS NOT NULL AND time IS NOT NULL""",
+    "flow_exact_totals": f"""WITH {LOGS}
+SELECT srcname, dstname, dstportname, CAST(sum(big) AS VARCHAR) AS total_rcvd, CAST(sum(big) AS VARCHAR) AS total_sent
+FROM (SELECT *, CAST(event_id AS HUGEINT) + 9007199254740993 AS big FROM logs) GROUP BY ALL""",
+    "flow_csv_sink": f"WITH {LOGS}, {_flows('logs')} SELECT {FLOW_COLUMNS} FROM flows",
     "rule_classify": f"WITH {RULES} SELECT _row, kind, kind = 'NAT' AND service <> '' AS dropped_service FROM rules",
     "rule_action": f"WITH {RULES} SELECT _row, {ACTION} AS action FROM rules",
     "rule_pick_alias": f"""WITH {RULES}
@@ -248,6 +272,11 @@ SELECT _row, 'CONFIG FILTER RULE INSERT index=9 type=filter position=' || _row |
 SELECT row_number() OVER (ORDER BY _row) AS _row, type_slot, rule_name, from_src,
   CASE WHEN _row % 6 <> 0 THEN to_dest ELSE '' END AS to_dest, CASE WHEN _row % 6 <> 0 THEN 'x' ELSE '' END AS to_dest_1
 FROM rules""",
+    "rule_files_scan": f"""WITH {RULES},
+texts AS (SELECT _row AS k, type_slot, action, CASE WHEN _row % 5 = 0 THEN 'a' || chr(10) || 'b;' || comment ELSE comment END AS comment FROM rules)
+SELECT row_number() OVER (ORDER BY k % 3 = 0, k) AS _row, CAST(k AS VARCHAR) AS key,
+  CASE WHEN k % 3 = 0 THEN type_slot ELSE '' END AS type_slot, CASE WHEN k % 3 = 0 THEN '' ELSE action END AS action,
+  trim(comment, '"' || {BLANK}) AS comment FROM texts""",
     "name_lists": """WITH lines AS (
   SELECT *, c_custkey % 6 AS m, trim(c_mktsegment) AS segment FROM customer
 )
@@ -257,8 +286,13 @@ UNION
 SELECT DISTINCT 'interface', CASE m WHEN 0 THEN 'if ' || (c_custkey % 40) WHEN 1 THEN segment WHEN 3 THEN segment
   ELSE 'eth' || (c_custkey % 30) END FROM lines WHERE m NOT IN (2, 4)""",
     "row_numbers": "SELECT (o_orderkey - 500) * 1000003 AS key, row_number() OVER (ORDER BY o_orderkey) AS n "
-    "FROM orders WHERE o_orderkey % 3 <> 1",
+    "FROM orders",
     "nat_lines": f"WITH {RULES} SELECT _row, row_number() OVER (ORDER BY _row) AS nat_line FROM rules WHERE kind = 'NAT'",
+    "nat_lines_original": f"WITH {RULES} SELECT _row, row_number() OVER (ORDER BY CAST(trunc(1000000 - _row / 10) AS BIGINT), _row) "
+    "AS nat_line FROM rules WHERE kind = 'NAT'",
+    "missing_list": f"""WITH {IF_RULES}, {KNOWN}, {_needs('if_rules', True)}, names AS (SELECT DISTINCT kind, name FROM lacks)
+SELECT 1 AS part, 0 AS ord, kind, name, kind || ': ' || name AS line FROM names
+UNION ALL SELECT 0, * FROM (VALUES (0, '', '', '# Missing dependencies found on T'), (1, '', '', ''))""",
     "missing_objects": f"WITH {RULES}, {KNOWN}, {_needs('rules')} SELECT _row, name FROM lacks WHERE kind = 'OBJECT'",
     "missing_interfaces": f"WITH {IF_RULES}, {KNOWN}, {_needs('if_rules', True)} "
     "SELECT _row, name FROM lacks WHERE kind = 'INTERFACE'",
@@ -288,10 +322,15 @@ UNION ALL SELECT 0, 2, 0, '# Number of commands: ' || (SELECT count(*) FROM safe
 UNION ALL SELECT 0, * FROM (VALUES (3, 0, 'SYSTEM SESSION language=fr'), (4, 0, 'MODIFY ON FORCE'),
   (5, 0, 'CONFIG SLOT ACTIVATE type=filter slot=9'), (6, 0, ''))""",
     "pending_script": f"""{_converted()}, pending AS (SELECT * FROM commands WHERE NOT safe)
-SELECT _row AS ord, 0 AS sub, CASE WHEN line IS NULL THEN '# PENDING: Rule from row ' || _row || ' could not be processed.'
+SELECT 1 AS part, _row AS ord, 0 AS sub, CASE WHEN line IS NULL THEN '# PENDING: Rule from row ' || _row || ' could not be processed.'
   ELSE '# PENDING: Missing dependencies: ' || missing END AS line FROM pending
-UNION ALL SELECT _row, 1, line FROM pending WHERE line IS NOT NULL
-UNION ALL SELECT _row, 2, '# ' || CASE WHEN missing = '' THEN '' ELSE 'Missing: ' || missing END || ' Build error: ' || error
+UNION ALL SELECT 1, _row, 1, line FROM pending WHERE line IS NOT NULL
+UNION ALL SELECT 1, _row, 3, '# Original data: ' || CAST(json_object('rule_name', rule_name, 'comment', comment,
+  'from_src', from_src, 'to_dest', to_dest, 'service', service, 'action', action, 'type_slot', type_slot,
+  'separator_color', separator_color) AS VARCHAR) FROM pending WHERE line IS NULL
+UNION ALL SELECT 1, _row, 4, '' FROM pending
+UNION ALL SELECT 0, i, 0, t FROM (SELECT unnest(range(10)) AS i, unnest([{', '.join(f"'{t}'" for t in PENDING_HEAD)}]) AS t)
+UNION ALL SELECT 1, _row, 2, '# ' || CASE WHEN missing = '' THEN '' ELSE 'Missing: ' || missing END || ' Build error: ' || error
 FROM pending WHERE line IS NULL""",
     "suggest_rules": f"""WITH {LOGS}, {_flows('logs')},
 known AS (
@@ -327,6 +366,20 @@ gone AS (SELECT *, kind = 'filter' AND (name = 'Sans nom' OR same_name > 1) AS b
 SELECT kind, _row, CASE WHEN by_line THEN -_row ELSE 0 END AS remove_order,
   'CONFIG FILTER RULE REMOVE index=9 type=' || kind || ' '
   || CASE WHEN by_line THEN 'position=' || _row ELSE 'name="' || name || '"' END AS command FROM gone""",
+    "removal_script": f"""WITH {SIGNATURES},
+gone AS (SELECT *, kind = 'filter' AND (name = 'Sans nom' OR same_name > 1) AS by_line FROM members
+  WHERE _row <> first_line AND (kind = 'filter' OR name <> 'Sans nom'))
+SELECT CASE WHEN kind = 'filter' THEN 1 ELSE 3 END AS part, CASE WHEN by_line THEN -_row ELSE 0 END AS remove_order,
+  first_line AS first_row, _row, 'CONFIG FILTER RULE REMOVE index=9 type=' || kind || ' '
+  || CASE WHEN by_line THEN 'position=' || _row ELSE 'name="' || name || '"' END AS line FROM gone
+UNION ALL SELECT * FROM (VALUES (0, 0, 0, 0, '# Commands to delete duplicate filter rules'), (2, 0, 0, 0, ''),
+  (2, 0, 1, 0, '# Commands to delete duplicate NAT rules'), (4, 0, 0, 0, ''), (4, 0, 1, 0, '# Activate the new filter policy'),
+  (4, 0, 2, 0, 'CONFIG FILTER ACTIVATE'))""",
+    "missing_script": f"WITH {FINAL_IDS} {_commands('missing', chr(39) + 'FILTER' + chr(39), 'MissingRule-')}, "
+    "built AS (SELECT row_number() OVER (ORDER BY position) AS ord, line FROM commands WHERE line IS NOT NULL) "
+    "SELECT 1 AS part, ord, 0 AS sub, line FROM built UNION ALL SELECT 1, ord, 1, '' FROM built WHERE ord % 10 = 0 "
+    "UNION ALL SELECT 0, 0, 0, '# Generated on T' UNION ALL SELECT 0, 2, 0, '' "
+    "UNION ALL SELECT 0, 1, 0, '# ' || (SELECT count(*) FROM built) || ' commands to add rules that are missing from the final configuration.'",
     "dup_report": f"""WITH {SIGNATURES}, dups AS (SELECT * FROM members WHERE n > 1 AND kind = 'filter'),
 heads AS (SELECT * FROM dups WHERE _row = first_line)
 SELECT first_line AS first_row, 7 AS sub, _row AS place, '| `N/A` | `' || _row || '` | `' || name || '` |' AS line FROM dups

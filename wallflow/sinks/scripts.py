@@ -128,6 +128,12 @@ def missing_rules_script(commands: DataFrame, *, generated_at: str) -> DataFrame
     )
 
 
+def unbuilt_rule_lines(commands: DataFrame) -> DataFrame:
+    """One line for each missing rule that no command can be built for, with the reason."""
+    line = F.format_string("# Row %d: %s", F.col("_row"), F.col("error"))
+    return block(commands.filter(F.col("command").isNull()), 0, "position", line)
+
+
 REPORT_ORDER = [*GROUP_ORDER, "sub", "file", "place", "_row"]
 
 
@@ -160,7 +166,8 @@ def duplicate_report(members: DataFrame, kind: str) -> DataFrame:
     return stacked(headings, rows)
 
 
-REMOVAL_ORDER = ["part", *GROUP_ORDER, "file", "place", "_row"]
+# Every removal shifts what stands behind it, so positions go from the bottom up.
+REMOVAL_ORDER = ["part", "remove_order", *GROUP_ORDER, "file", "place", "_row"]
 
 
 def removal_script(removals: DataFrame) -> DataFrame | None:
@@ -174,10 +181,11 @@ def removal_script(removals: DataFrame) -> DataFrame | None:
     keys = REMOVAL_ORDER[1:]
 
     def fixed(part: int, lines: Sequence[str]) -> DataFrame:
-        rows = [(part, "", 0, i, "", 0, 0, line) for i, line in enumerate(lines)]
+        rows = [(part, 0, "", 0, i, "", 0, 0, line) for i, line in enumerate(lines)]
         return removals.sparkSession.createDataFrame(
             rows,
-            "part int, first_file string, first_line long, first_row long, file string, place long, _row long, line string",
+            "part int, remove_order long, first_file string, first_line long, first_row long, file string, place long,"
+            " _row long, line string",
         )
 
     parts = []
