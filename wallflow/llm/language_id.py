@@ -27,6 +27,7 @@ SAMPLE_DOCUMENTS = 300
 SAMPLE_CHARS_PER_DOCUMENT = 1_000
 SAMPLE_CHARS = 40_000
 MAX_LANGUAGES = 200
+OVERSAMPLE = 3
 
 BLOCK = 1_024
 BATCH_CODES = 1 << 20
@@ -204,13 +205,20 @@ def fit(
     beyond the 200 first by name would be an error of the labels and raise.
     """
     labelled = df.filter(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(text_col).isNotNull())
+    labelled = labelled.select(
+        F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.substring(text_col, 1, chars).alias("_text")
+    )
+    counts = labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if not counts:
+        return CrossParser({})
+    # A draw by hash leaves a few times as many rows as are wanted, whatever the size of the language.
+    share = F.lit(0.0)
+    for row in counts:
+        share = F.when(F.col("_lang") == row["_lang"], F.lit(min(1.0, OVERSAMPLE * documents / row["n"]))).otherwise(share)
+    drawn = labelled.filter(F.pmod(F.xxhash64(F.lit("draw"), "_id"), F.lit(1 << 30)) < share * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    # The limit on the rank is applied before the shuffle, so a hot language sends a few rows per task.
     picked = (
-        labelled.select(
-            F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.substring(text_col, 1, chars).alias("_text")
-        )
-        .withColumn("_rank", rank)
+        drawn.withColumn("_rank", rank)
         .filter(F.col("_rank") <= documents)
         .orderBy("_lang", "_rank")
         .limit(documents * (MAX_LANGUAGES + 1))
