@@ -90,21 +90,27 @@ def leaks(
     widths = sorted({r["width"] for r in wanted.select("width").distinct().limit(window).collect()})
     docs = df.select(F.col(id_col).alias("doc_id"), text_of().alias("text"))
     tokens = docs.select("doc_id", template(F.col("text")).alias("_tokens"))
-    hits = None
-    for width in widths:
+    if not widths:
+        none = docs.select("doc_id").limit(0).selectExpr(
+            "doc_id", "CAST(null AS LONG) item_id", "0 start", "0D agreement", "0 slots"
+        )
+        return none.withColumnRenamed("doc_id", id_col)
+
+    def windows(width: int) -> Column:
         last = F.size("_tokens") - width
-        spots = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
-        hashes = F.transform(spots, lambda i: _window(F.col("_tokens"), i + 1, width))  # noqa: B023
-        here = tokens.select("doc_id", F.posexplode(hashes).alias("_at", "hash"))
-        those = wanted.filter(F.col("width") == width).drop("width")
-        met = here.join(F.broadcast(those) if small else those, "hash").select(
-            "doc_id", "item_id", (F.col("_at") - F.col("place") + 1).alias("start")
+        spots = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            spots,
+            lambda i: F.struct(
+                F.lit(width).alias("width"), i.alias("at"), _window(F.col("_tokens"), i + 1, width).alias("hash")
+            ),
         )
-        hits = met if hits is None else hits.union(met)
-    if hits is None:
-        return docs.select("doc_id").limit(0).selectExpr(
-            "doc_id", "CAST(null AS LONG) item_id", "0 start", "0D agreement", "0 slots"
-        ).withColumnRenamed("doc_id", id_col)
+
+    # Items shorter than a window add widths; the texts are read once for all of them.
+    here = tokens.select("doc_id", F.explode(F.concat(*map(windows, widths))).alias("w")).select("doc_id", "w.*")
+    hits = here.join(F.broadcast(wanted) if small else wanted, ["width", "hash"]).select(
+        "doc_id", "item_id", (F.col("at") - F.col("place") + 1).alias("start")
+    )
     # The same place is met by several windows of an item; it is laid beside the item once.
     places = materialise(hits.distinct(), "benchmark-hits")
     ids = places.select(F.col("doc_id").alias("_hit")).distinct()

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wallflow.llm.common import map_batches, slices
+from wallflow.llm.common import slices
+from wallflow.session import map_arrow
 
 # The bounds of the labelled sample, per language.
 SAMPLE_DOCUMENTS = 300
@@ -258,4 +259,4 @@ def identify(df: DataFrame, parser: CrossParser, text_col: str = "text") -> Data
     schema = StructType(list(kept.schema))
     for name, kind in (x.split() for x in SCHEMA.split(", ")):
         schema = schema.add(name, kind)
-    return map_batches(kept, predict, schema)
+    return map_arrow(kept, predict, schema)

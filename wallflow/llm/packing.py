@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wallflow.llm.common import map_batches, slices, text_of
-from wallflow.session import materialise
+from wallflow.llm.common import slices, text_of
+from wallflow.session import map_arrow, materialise
 
 CAPACITY = 1_024
 END_ID = 2
@@ -230,7 +230,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", capacity: int
             )
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of().alias("text"))
-    return map_batches(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
@@ -266,7 +266,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", capacity: int =
             )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return map_batches(ranked.select(*columns, "_rank"), run, schema).withColumnRenamed("doc_id", id_col)
+    return map_arrow(ranked.select(*columns, "_rank"), run, schema).withColumnRenamed("doc_id", id_col)
 
 
 def sequences(df: DataFrame, placed: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
@@ -280,7 +280,7 @@ def sequences(df: DataFrame, placed: DataFrame, tokenizer: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of().alias("text"))
-    whole = map_batches(rows, run, "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
+    whole = map_arrow(rows, run, "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
     part = F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int"))
     runs = placed.join(whole, id_col).select("sequence_id", F.struct("offset", part.alias("ids")).alias("_run"))
     ordered = F.sort_array(F.collect_list("_run"))

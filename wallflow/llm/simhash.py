@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wallflow.llm.common import map_batches, slices
-from wallflow.session import materialise
+from wallflow.llm.common import slices
+from wallflow.session import map_arrow, materialise
 
 THRESHOLD = 2
 SHINGLE_WORDS = 3
@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, fp long")
+    return map_arrow(rows, run, "doc_id long, fp long")
 
 
 def _signed(value: int) -> int:
@@ -131,7 +131,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints, enough to connect all within the threshold."""
     spread = distinct.select(F.explode(anchors(F.col("fp"))).alias("anchor"), "fp")
     met = spread.repartition("anchor").sortWithinPartitions("anchor", "fp")
-    return map_batches(met, _links, "a long, b long").distinct()
+    return map_arrow(met, _links, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
