@@ -102,6 +102,7 @@ OBJECT_FIELDS = [
 ]
 INTERFACE_FIELDS = ["from_if", "to_if"]
 
+# Headers that name the slot of a rule, first one first.
 SLOT_HEADERS = ["policy", "slot", "index"]
 
 

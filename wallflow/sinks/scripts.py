@@ -54,6 +54,7 @@ def safe_script(
     spark = converted.sparkSession
     safe = converted.filter(F.col("status") == SAFE)
     n_hosts = hosts.count() if hosts is not None else 0
+    # The head of the script.
     header = [
         f"# Commands generated on {generated_at}",
         f"# Source CSVs: {', '.join(sources)}",
@@ -80,6 +81,7 @@ def safe_script(
 
 def pending_script(converted: DataFrame, *, generated_at: str) -> DataFrame:
     """Every pending rule with its reasons and, if there is one, its command."""
+    # The texts around a pending rule.
     reasons = joined_reasons(F.col("missing"))
     built = F.col("command").isNotNull()
     lacks = F.when(F.size("missing") > 0, F.concat(F.lit("Missing: "), reasons)).otherwise("")
@@ -97,6 +99,7 @@ def pending_script(converted: DataFrame, *, generated_at: str) -> DataFrame:
 def missing_list(missing: DataFrame, *, generated_at: str) -> DataFrame:
     """``KIND: name`` lines; sort by ``part, ord, kind, name``."""
     spark = missing.sparkSession
+    # The head of the list.
     head = [f"# Missing dependencies found on {generated_at}", ""]
     if missing.isEmpty():
         head.append(NOTHING_MISSING)
@@ -147,6 +150,7 @@ def duplicate_report(members: DataFrame, kind: str) -> DataFrame:
             [("", 0, 0, 0, "", 0, 0, NO_DUPLICATES)],
             "first_file string, first_line long, first_row long, sub int, file string, place long, _row long, line string",
         )
+    # Title and columns of a section.
     title = F.format_string(
         "### Duplicate - Signature: (Source: `%s`, Destination: `%s`, Port: `%s`, Protocol: `%s`, Action: `%s`)",
         "source", "destination", "port", "protocol", "action",
@@ -199,5 +203,6 @@ def removal_script(removals: DataFrame) -> DataFrame | None:
 
 def suggested_rule_lines(suggestions: DataFrame, *, generated_at: str) -> DataFrame:
     """The suggested rules that can be built, each under a dated comment."""
+    # Fixed value: the comment above a suggested rule.
     note = F.lit(f"# Rule generated from log analysis on {generated_at}")
     return block(suggestions.filter(F.col("command").isNotNull()), 0, "rank", note, F.col("command"), F.lit(""))
