@@ -252,7 +252,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", capacity: int =
     offsets = sizes.select("length", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     # A block is what one task has tokenized, so no length is ever ranked in one task.
     inside = Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("_rank", F.row_number().over(inside)).join(offsets, ["length", "_block"])
+    # There are offsets for each length and task; they are not small, and the rows are in their order already.
+    ranked = cut.withColumn("_rank", F.row_number().over(inside)).join(offsets.hint("merge"), ["length", "_block"])
     ranked = ranked.withColumn("_rank", (F.col("_rank") + F.col("_before") - 1).cast("long"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
