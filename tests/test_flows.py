@@ -81,3 +81,11 @@ def test_rollup_plan_has_one_shuffle_and_prunes(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 1
     assert "SinglePartition" not in plan and "TakeOrderedAndProject" in plan
     assert "action" not in plan and "SortAggregate" not in plan
+
+
+def test_whole_volumes_stay_exact(spark):
+    big = 9007199254740993
+    rows = [("a", "b", "c", "2024-01-01", str(big), "1e3"), ("a", "b", "c", "2024-01-02", "0.5", "inf"), ("a", "b", "c", "2024-01-03", "x", None)]
+    logs = spark.createDataFrame(rows, "srcname string, dstname string, dstportname string, time string, rcvd string, sent string")
+    row = flows.flow_rollup(logs, exact=True).first()
+    assert (str(row["total_rcvd"]), str(row["total_sent"])) == (f"{big}.500000", "1000.000000")

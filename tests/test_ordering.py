@@ -54,6 +54,18 @@ def test_salted_join_equals_plain_join(spark, rows_of):
         assert sorted(map(str, rows_of(salted))) == sorted(map(str, rows_of(plain)))
 
 
+def test_hot_keys_that_do_not_fit_are_joined_by_shuffle(spark, rows_of):
+    left = spark.createDataFrame([(i, f"k{i % 30}") for i in range(600)], "i long, k string").repartition(4)
+    right = spark.createDataFrame([(f"k{i}", i) for i in range(0, 60, 2)], "k string, v int")
+    hot = joins.hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n", rows_per_task=6)
+    assert hot.count() == 30
+    salted = joins.salted_join(left, right, ["k"], "left", hot, "i", max_rows=3)
+    plain = left.join(right, ["k"], "left").select(*salted.columns)
+    assert sorted(map(str, rows_of(salted))) == sorted(map(str, rows_of(plain)))
+    looked = joins.lookup_join(left, right.select("k"), ["k"], "left_anti", "i", rows_per_task=6, max_rows=1)
+    assert looked.count() == 300
+
+
 def test_lookup_join_checks_the_size(spark, rows_of):
     left = spark.createDataFrame([(i, f"k{i % 4}") for i in range(40)], "i long, k string")
     right = spark.createDataFrame([("k0",), ("k2",)], "k string")

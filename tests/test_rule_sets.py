@@ -97,7 +97,7 @@ def placed(spark, n, seed):
 def test_duplicates(spark, monkeypatch, split_hot):
     if split_hot:
         monkeypatch.setattr(
-            duplicates, "hot_keys", lambda s, k, n: joins.hot_keys(s, k, n, rows_per_task=2, max_keys=5))
+            duplicates, "hot_keys", lambda s, k, n: joins.hot_keys(s, k, n, rows_per_task=2))
     rows, rules = placed(spark, 300, 3)
     expected = {kind: plain_groups(rows, mark) for kind, mark in duplicates.SLOT_MARKS.items()}
     got = duplicates.duplicate_groups(rules).collect()
@@ -123,6 +123,13 @@ def test_original_line_wins_and_no_slot_means_none(spark):
     assert duplicates.duplicate_groups(frame(spark, rows, ["action"])).count() == 0
 
 
+def test_nat_lines_follow_the_original_line(spark):
+    columns = ["action", "type_slot", "original_line"]
+    rows = [{"action": "pass", "type_slot": "local_nat_slot_1", "original_line": n} for n in ("20", "10", "20", "-3")]
+    got = duplicates.nat_lines(frame(spark, rows, columns)).orderBy("nat_line").collect()
+    assert [(r["_row"], r["nat_line"]) for r in got] == [(4, 1), (2, 2), (1, 3), (3, 4)]
+
+
 def test_suggestions(spark):
     logs = spark.createDataFrame(
         [("web", s, "tcp", f"2024-01-01 00:00:0{i}", "1", "2") for i, s in enumerate(["db", "db", "a b", "ghost", "db", "a b"])],
