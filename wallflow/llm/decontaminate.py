@@ -99,15 +99,17 @@ def leaks(
     def windows(width: int) -> Column:
         last = F.size("_tokens") - width
         spots = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            spots,
-            lambda i: F.struct(
-                F.lit(width).alias("width"), i.alias("at"), _window(F.col("_tokens"), i + 1, width).alias("hash")
-            ),
-        )
+        return F.transform(spots, lambda i: _window(F.col("_tokens"), i + 1, width))
+
+    def marked(width: int) -> Column:
+        pair = lambda h, i: F.struct(F.lit(width).alias("width"), i.alias("at"), h.alias("hash"))
+        return F.transform(windows(width), pair)
 
-    # Items shorter than a window add widths; the texts are read once for all of them.
-    here = tokens.select("doc_id", F.explode(F.concat(*map(windows, widths))).alias("w")).select("doc_id", "w.*")
+    if len(widths) == 1:
+        here = tokens.select("doc_id", F.lit(widths[0]).alias("width"), F.posexplode(windows(widths[0])).alias("at", "hash"))
+    else:
+        # Items shorter than a window add widths; the texts are still read once.
+        here = tokens.select("doc_id", F.explode(F.concat(*map(marked, widths))).alias("w")).select("doc_id", "w.*")
     hits = here.join(F.broadcast(wanted) if small else wanted, ["width", "hash"]).select(
         "doc_id", "item_id", (F.col("at") - F.col("place") + 1).alias("start")
     )
