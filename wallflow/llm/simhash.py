@@ -96,7 +96,7 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
         while len(front) and len(rest):
             near = np.zeros(len(rest), dtype=bool)
             for f in front:
-                near |= np.bitwise_count(rest ^ f) <= THRESHOLD
+                near |= np.bitwise_count((rest ^ f).view(np.uint64)) <= THRESHOLD
             front, rest = rest[near], rest[~near]
             out += [(int(root), int(f)) for f in front]
         left = rest
