@@ -86,3 +86,28 @@ def test_clashing_names_and_empty_table(docs):
 def test_no_shuffle_and_no_python(docs):
     plan = scan_licenses(docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Python", "Arrow"))
+
+
+def test_any_gap_between_the_words_of_every_rule(docs):
+    """The shortest text of each rule, its words wrapped, spaced or hyphenated, is detected whole."""
+    shortest = []
+    for r in rules():
+        short = r["regex"].replace("(?<![a-z0-9])", "").replace("(?![a-z0-9])", "")[3:-1]
+        short = short.replace("[^a-z0-9]++", " ").replace("[^a-z0-9]*+", " ").replace("[sc]", "s").replace(".{0,40}", "").replace(".{1,80}?", "x")
+        short = short.replace("\\S{1,6}", "xxx").replace("[23]", "2").replace("[0-9]", "9")
+        while short != (less := re.sub(r"\(\?:[^()]*\)[?*]", "", short)):
+            short = less
+        while short != (less := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)*\)", r"\1", short)):
+            short = less
+        shortest.append(" ".join(re.sub("[a-z]\\?", "", short).split()))
+    assert not any(set(t) & set("[](){}|?*+\\") for t in shortest)
+    gaps = [" ", "\n", "  ", "-", "\n          * "]
+    texts = [(i * 10 + k, "Some words. " + t.replace(" ", g) + ".") for i, t in enumerate(shortest) for k, g in enumerate(gaps)]
+    for r in scan_licenses(docs(texts).repartition(4)).collect():
+        assert any(d.start == 12 and d.stop >= len(r.text) - 1 for d in r.detections), r.text
+
+
+def test_wrapped_and_hyphenated_names(docs):
+    texts = ["Creative\nCommons Attribution 4.0", "Creative  Commons Attribution 4.0", "cc-by-sa 4.0", "european-union public licence", "See the file COPYING for details"]
+    got = scan_licenses(docs(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert all(r.labels for r in got), [r.labels for r in got]

@@ -1,9 +1,9 @@
 """Signature rules of the licence scan.
 
 One rule a line: label, priority, keyword, pattern. A pattern is tried only on
-texts that contain its keyword. A space in a pattern stands for up to six
-characters that are neither letters nor digits; patterns match whole words of
-the text with A-Z in lower case.
+texts that contain its keyword, whatever stands between the words of either. A
+space in a pattern stands for any run of characters that are neither letters nor
+digits; patterns match whole words of the text with A-Z in lower case.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ bsd-3-clause|88|bsd|(?:new|revised|modified|3 clause|three clause) bsd(?: licen[
 bsd-3-clause|85|bsd|bsd 3 clause(?: licen[sc]e)?
 bsd-4-clause|88|bsd|(?:original|old|4 clause|four clause) bsd(?: licen[sc]e)?
 bsd-4-clause|80|advertising|all advertising materials mentioning features or use of this software must display
-bsd-3-clause|80|redistribut|neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote
+bsd-3-clause|80|contributors|neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote
 bsd|78|redistribut|redistribution and use in source and binary forms with or without modification are permitted
 0bsd|85|bsd|(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[sc]e)?
 bsd-patent|85|bsd|bsd(?: 2 clause)? plus patent(?: licen[sc]e)?
@@ -177,7 +177,7 @@ busl-1.1|85|business source|business source licen[sc]e(?: 1 1)?
 elastic-2.0|85|elastic|elastic licen[sc]e(?: v?2(?: 0)?)?
 commons-clause|85|commons clause|commons clause(?: licen[sc]e)?(?: condition)?(?: v?1 0)?
 polyform|80|polyform|polyform (?:noncommercial|perimeter|shield|strict|small business|free trial)(?: licen[sc]e)?(?: 1 0 0)?
-openrail|82|openrail|(?:creativeml )?open ?rail(?: \+?\+?)?(?: m)?(?: licen[sc]e)?
+openrail|82|rail|(?:creativeml )?open ?rail(?: \+?\+?)?(?: m)?(?: licen[sc]e)?
 bigscience-rail|84|bigscience|bigscience (?:open )?rail(?: m)?(?: licen[sc]e)?
 llama-community|84|llama|llama [23](?: [0-9])? community licen[sc]e
 gemma-terms|78|gemma|gemma terms of use
@@ -212,7 +212,8 @@ as-is|40|warrant|as is without warrant(?:y|ies)
 copyright|35|copyright|copyright (?:c )?(?:19|20)[0-9][0-9]
 free-software|45|free software|is free software you can redistribute it and or modify it
 open-source|40|open source|open source licen[sc]e
-see-license|30|licen|see (?:the )?(?:file )?(?:licen[sc]e|copying) (?:file )?for (?:details|more|the terms)
+see-license|30|licen|see (?:the )?(?:file )?licen[sc]e (?:file )?for (?:details|more|the terms)
+see-license|30|copying|see (?:the )?(?:file )?copying (?:file )?for (?:details|more|the terms)
 """
 
 # Pages and identifiers: label, priority, keyword, pattern.
@@ -259,12 +260,12 @@ mit-0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1 openssl osl
 python-2.0 ruby sspl-1.0 unicode-3.0 unlicense upl-1.0 vim w3c wtfpl x11 zlib
 """
 
-_GAP = "[^a-z0-9]{1,6}"
+_GAP = "[^a-z0-9]++"
 
 
 def _compiled(pattern: str) -> str:
     """A space not followed by ``?`` is a gap; with it, an optional one."""
-    words = pattern.replace(" ?", "[^a-z0-9]{0,6}").replace(" ", _GAP)
+    words = pattern.replace(" ?", "[^a-z0-9]*+").replace(" ", _GAP)
     return f"(?<![a-z0-9])(?:{words})(?![a-z0-9])"
 
 

@@ -28,9 +28,17 @@ BASE = {"mit": ("mit license", "mit"), "apache": ("apache license", "apache"), "
 _PHRASES = "|".join(p.replace(" ", f"{_OUT}+") for p, _ in BASE.values())
 _BASE = f"(?i)(?<!{_IN})(?:{_PHRASES})(?!{_IN})"
 
+# Keywords and gate words are looked for in the text with one space for each of these.
+_BETWEEN = "[^a-z0-9]+"
+
 _HIT = "struct<s: int, e: int, p: int, label: string>"
 
 
+def keyword(rule: dict) -> str:
+    """The keyword of a rule with one space between its words."""
+    return re.sub(_BETWEEN, " ", rule["keyword"])
+
+
 def gates(table: list[dict]) -> list[str]:
     """Few words of which every match of every rule needs one."""
     words = ["licen", "permission", "copyright", "public domain", "gnu", "gpl", "redistribut"]
@@ -41,8 +49,8 @@ def gates(table: list[dict]) -> list[str]:
             needed = shorter
         # Alternatives do not count as needed.
         needed = re.sub(r"\([^()]*\|[^()]*\)", "", needed)
-        if not any(w in rule["keyword"] or w in needed for w in words):
-            rest.add(rule["keyword"])
+        if not any(w in keyword(rule) or w in needed for w in words):
+            rest.add(keyword(rule))
     return words + sorted(w for w in rest if not any(x != w and x in w for x in rest))
 
 
@@ -50,10 +58,13 @@ def _words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))
 
 
-def detections(text: Column, table: list[dict]) -> Column:
-    """Suppressed matches of all rules in a lower-case text, as an array of start, end, priority and label."""
+def detections(text: Column, plain: Column, table: list[dict]) -> Column:
+    """Suppressed matches of all rules in a lower-case text, as an array of start, end, priority and label.
+
+    ``plain`` is the text with one space between its words.
+    """
     known = F.from_json(
-        F.lit(json.dumps(table)), "array<struct<label: string, priority: int, keyword: string, regex: string>>"
+        F.lit(json.dumps([{**rule, "keyword": keyword(rule)} for rule in table])), "array<struct<label: string, priority: int, keyword: string, regex: string>>"
     )
     none = F.lit(None).cast(f"array<{_HIT}>")
 
@@ -74,7 +85,7 @@ def detections(text: Column, table: list[dict]) -> Column:
         all_hits = F.aggregate(F.sequence(F.lit(1), F.size(found)), start, step, lambda s: s["hits"])
         return F.when(F.size(found) > 0, all_hits).otherwise(none)
 
-    keyed = F.filter(known, lambda r: F.contains(text, r["keyword"]))
+    keyed = F.filter(known, lambda r: F.contains(plain, r["keyword"]))
     hits = F.flatten(F.filter(F.transform(keyed, matches), lambda h: h.isNotNull()))
     # By start, the longer first, then by priority.
     ordered = F.array_sort(
@@ -108,15 +119,16 @@ def scan_licenses(df: DataFrame, text_col: str = "text", table: list[dict] | Non
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     kept = [c for c in df.columns if c not in added]
     rows = df.select(*kept, text_of(text_col).alias("_text")).withColumn("_lower", F.lower("_text"))
+    rows = rows.withColumn("_plain", F.regexp_replace("_lower", _BETWEEN, " "))
     gate = F.lit(False)
     for word in gates(table):
-        gate = gate | F.contains("_lower", F.lit(word))
-    rows = rows.select(*kept, "_text", "_lower", gate.alias("_gate"), _words(F.col("_text")).alias("_n"))
+        gate = gate | F.contains("_plain", F.lit(word))
+    rows = rows.select(*kept, "_text", "_lower", "_plain", gate.alias("_gate"), _words(F.col("_text")).alias("_n"))
     based = F.col("_gate") & F.col("_text").rlike(_BASE)
     empty = F.array().cast("array<string>")
     found = F.when(based, F.regexp_extract_all("_text", F.lit(_BASE), F.lit(0))).otherwise(empty)
     parts = F.when(based, F.split("_text", _BASE, -1)).otherwise(empty)
-    hits = F.when(F.col("_gate"), detections(F.col("_lower"), table)).otherwise(F.array().cast(f"array<{_HIT}>"))
+    hits = F.when(F.col("_gate"), detections(F.col("_lower"), F.col("_plain"), table)).otherwise(F.array().cast(f"array<{_HIT}>"))
     rows = rows.select(*kept, "_n", found.alias("_found"), parts.alias("_parts"), hits.alias("_hits"))
     any_base = F.size("_found") > 0
     last = F.col("_n") - _words(F.element_at("_parts", -1)) - _words(F.element_at("_found", -1))
