@@ -63,6 +63,20 @@ def test_stages(spark):
     assert packed.filter("piece = 0").count() == clean.count()
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark, docs):
+    words = [f"w{i}" for i in range(400)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(reversed(words))
+    differ = bin(simhash.fingerprint(text) ^ simhash.fingerprint(near)).count("1")
+    rows = [(5, text), (5, text), (6, text), (None, text), (3, other), (3, other), (3, "one two three four"), (None, "q r s"), (None, "q r s"), (8, None), (9, "")]
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    kept = stage(spark, docs([*rows, (5, near), (2, near)]), SMALL)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    alone = [(3, other), (3, "one two three four"), (None, "q r s"), (8, None)]
+    assert got == sorted([*alone, (2, near)] + ([] if differ <= 2 else [(5, text)]), key=repr)
+    clash = docs(rows).withColumn("root", F.lit(1)).withColumn("fp", F.lit("x")).withColumn("component_id", F.lit(None))
+    assert stage(spark, clash, SMALL).columns == clash.columns and stage(spark, clash, SMALL).count() == 5
+
+
 def test_run_is_the_stages_one_after_another(spark):
     got = corpus_pipeline.run(spark, SMALL)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

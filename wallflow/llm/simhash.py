@@ -49,16 +49,19 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of every row, the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """``(doc_id, fp)`` of every row, the fingerprint as a signed long, and the long column ``carry`` if named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            more = [batch.column(2)] if carry else []
+            names = ["doc_id", "fp", carry] if carry else ["doc_id", "fp"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *more], names=names)
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, "doc_id long, fp long")
+    more = [F.col(carry).cast("long").alias(carry)] if carry else []
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return map_arrow(rows, run, f"doc_id long, fp long, `{carry}` long" if carry else "doc_id long, fp long")
 
 
 def _signed(value: int) -> int:
@@ -164,19 +167,24 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: the identifier, ``fp``, and ``component_id``, the least identifier reachable.
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None
+) -> DataFrame:
+    """One row per row of ``df``: the identifier, ``fp``, ``root`` and ``component_id``, the least identifier reachable.
 
-    Null texts and texts without words have fingerprint 0 and are linked like
-    any other. Equal rows and equal texts share a component. Null identifiers
+    ``root`` is the least fingerprint of the component, ``carry`` names a long
+    column to hand on. Null texts and texts without words have fingerprint 0
+    and are linked like any other. Equal rows and equal texts share a component. Null identifiers
     are never the least one unless a component has no other. Other columns are
     ignored, so clashing names cannot matter; an empty table gives no rows.
     """
-    docs = materialise(fingerprints(df, id_col, text_col), "fingerprints")
+    docs = materialise(fingerprints(df, id_col, text_col, carry), "fingerprints")
     distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     tree = components(links(distinct))
     rooted = distinct.join(tree, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
     # A hot fingerprint is one row on the right; the left is split by adaptive execution.
-    return docs.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    return docs.join(named, "fp").select(
+        F.col("doc_id").alias(id_col), "fp", "root", "component_id", *([carry] if carry else [])
+    )
