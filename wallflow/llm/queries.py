@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wallflow.llm import (
+    centroid_clustering,
     chat_format,
     decontaminate,
     exact_dedup,
@@ -17,6 +18,8 @@ from wallflow.llm import (
     packing,
     sharding,
     simhash,
+    substring_dedup,
+    target_resampling,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -92,6 +95,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("text", "detections")
 
 
+def op11_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=13)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return rows.drop("n_words")
+
+
+def op13_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(_table(spark, sf_dir, "embeddings")).drop("scans")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,6 +122,9 @@ QUERIES = {
         op8_cross_parsing,
         op9_tree_merge,
         op10_license_scan,
+        op11_level_doubling,
+        op12_segment_resampling,
+        op13_ns_bounds,
     )
 }
 
@@ -161,4 +181,103 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM digests WINDOW w AS (PARTITION BY body)
 """
 
-ORACLES = {"op2_prefix_targets": _OP2, "op6_site_line_dedup": _OP6, "op9_tree_merge": _OP9}
+_OP11 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS body
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)
+), firsts AS (
+  SELECT body, min(doc_id) AS least FROM starts GROUP BY body
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM starts JOIN firsts USING (body) WHERE least < doc_id
+), tokens AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS body FROM tokens ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+_OP12 = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)
+    ORDER BY b) AS tab FROM range(256) t(b)
+), words AS (
+  SELECT 'd' AS side, r, unnest(w) AS word FROM (SELECT row_number() OVER () AS r, WORDS AS w FROM documents)
+  UNION ALL SELECT 'b', 0, unnest(WORDS) FROM benchmark
+), vocabulary AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)
+), buckets AS (
+  SELECT word, xor(4294967295, list_reduce(
+    list_transform(range(length(h) // 2), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295)) % 10000 AS bucket
+  FROM vocabulary, crc_table
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+  FROM words JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), sums AS (
+  SELECT r, count(*) AS n, sum(gain)::BIGINT AS total
+  FROM words JOIN buckets USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r
+), scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features,
+    CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN sums USING (r)
+), ranked AS (
+  SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS place,
+    count(*) FILTER (n_features >= 20) OVER () AS able FROM scored
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+  (CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END)::BIGINT AS rank
+FROM ranked
+""".replace(
+    "WORDS",
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')",
+)
+
+
+def _op13() -> str:
+    """The rounds one after another: nearest centroids, then floored means."""
+    nearest = """near{n} AS (
+  SELECT r, vec_id, x, (arg_min(struct_pack(k := k, d := d), (d, k))).k AS k, min(d) AS d FROM (
+    SELECT v.*, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM vectors v, centroids{n}) GROUP BY r, vec_id, x
+)"""
+    means = """centroids{m} AS (
+  SELECT k, coalesce(y, c) AS c FROM centroids{n} LEFT JOIN (
+    SELECT k, list((s - ((s % z) + z) % z) // z ORDER BY i) AS y FROM (
+      SELECT k, i, sum(e)::BIGINT AS s, count(*) AS z
+      FROM (SELECT k, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM near{n}) GROUP BY k, i) GROUP BY k) USING (k)
+)"""
+    rounds = ",\n".join(x for n in range(3) for x in (nearest.format(n=n), means.format(n=n, m=n + 1)))
+    return f"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), centroids0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS k, x AS c FROM vectors QUALIFY k < 16
+),
+{rounds},
+{nearest.format(n=3)}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near3 JOIN centroids3 USING (k)
+"""
+
+
+ORACLES = {
+    "op2_prefix_targets": _OP2,
+    "op6_site_line_dedup": _OP6,
+    "op9_tree_merge": _OP9,
+    "op11_level_doubling": _OP11,
+    "op12_segment_resampling": _OP12,
+    "op13_ns_bounds": _op13(),
+}
