@@ -73,6 +73,11 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
 _open_scratch: list[list[str]] = []
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Remove what ``materialise`` writes in this block when the block ends.
@@ -85,8 +90,7 @@ def scratch(spark: SparkSession):
         yield
     finally:
         for path in _open_scratch.pop():
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            _remove(spark, path)
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
@@ -99,4 +103,12 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     if _open_scratch:
         _open_scratch[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables from ``materialise`` that nothing lazy reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table._scratch_path)
