@@ -1,11 +1,15 @@
 """Readers on awkward files: nothing is lost without a word."""
 
+import bz2
 import gzip
+import random
+import time
 
 import pytest
 
+from wallflow.operators import flows
 from wallflow.plans import jobs
-from wallflow.sources import listing, logs, rules
+from wallflow.sources import listing, logs, rules, streams
 
 HEAD = "srcname,dstname,dstportname,time,rcvd,sent"
 
@@ -60,9 +64,9 @@ def test_damaged_files_are_taken_whole_or_not_at_all(spark, tmp_path):
 
 def test_unpack_errors():
     packed = gzip.compress(b"x" * 5_000_000)
-    assert listing.unpack_error(packed, True) is None
-    assert listing.unpack_error(packed[:-1], True) == "ends too early"
-    assert listing.unpack_error(b"no gzip", True) and listing.unpack_error(b"no bz2", False)
+    assert listing.unpack_error(packed, "gz") is None
+    assert listing.unpack_error(packed[:-1], "gz") == "ends too early"
+    assert listing.unpack_error(b"no gzip", "gz") and listing.unpack_error(b"no bz2", "bz2")
 
 
 def test_quoted_line_breaks_are_kept_by_default(spark, tmp_path):
@@ -114,3 +118,142 @@ def test_jobs_leave_no_scratch_behind(spark, tmp_path, monkeypatch):
     counts = jobs.find_duplicates_in_files(spark, [source], str(tmp_path / "out"))
     assert counts == {"filter": 1, "nat": 0, "removals": 2}
     assert not [p for p in (tmp_path / "scratch").rglob("*.parquet")]
+
+
+def rows_at(spark, read, split_bytes):
+    """What a reader gives when files are cut at every so many bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        return [tuple(r) for r in read().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def quoted_file(rng, n, end, sep=","):
+    """Lines of CSV with quotes of all kinds, line breaks in some, and stray ones that open nothing."""
+    cells = ["", "x", 'a"b', '""', '"quoted"', '"two\nlines"', '"say ""hi""\n"', f'"{sep}\n\n{sep}"', '"a"rest', ' "no', '5"', '"\r\n"', "é", f'"{"long " * 60}\n"']
+    return "".join(sep.join(rng.choice(cells) for _ in range(rng.randrange(1, 4))) + end for _ in range(n))
+
+
+@pytest.mark.parametrize(("seed", "end"), [(1, "\n"), (2, "\n"), (3, "\r\n")])
+def test_quoted_breaks_at_any_split(spark, tmp_path, seed, end):
+    """Each split size gives the rows that a reader of whole files gives."""
+    body = quoted_file(random.Random(seed), 400, end)
+    path = write(tmp_path, "q.csv", f"a,b,c{end}{body}")
+    schema = "a string, b string, c string"
+    whole = spark.read.schema(schema).options(header=True, escape='"', multiLine=True, enforceSchema=True).csv(path).collect()
+    blank = lambda r: not any((c or "").strip() for c in r)
+    read = lambda: logs.read_logs(spark, path)
+    null = lambda c: None if c in flows.NULL_WORDS else c
+    want = sorted((tuple(map(null, r)) for r in whole if not blank(r)), key=repr)
+    for size in (1 << 20, 4001, 331, 97):
+        assert sorted((r for r in rows_at(spark, read, size) if not blank(r)), key=repr) == want
+
+
+def test_numbers_of_rules_with_quoted_breaks(spark, tmp_path):
+    rng = random.Random(4)
+    said = [f'"r{i}{rng.choice(["", chr(10), chr(10) * 2 + "x", ";"])}"' for i in range(500)]
+    paths = [write(tmp_path, n, "action;note\n" + "".join(f"pass;{s}\n" for s in said)) for n in ("b.csv", "a.csv")]
+    read = lambda: rules.read_rules(spark, paths)
+    want = [(f * 500 + i + 1, n, i + 1, "pass", said[i].strip('"').strip()) for f, n in enumerate(("b.csv", "a.csv")) for i in range(500)]
+    for size in (1 << 20, 700, 120):
+        assert sorted(rows_at(spark, read, size)) == want
+
+
+def test_a_quoted_cell_over_many_splits(spark, tmp_path):
+    cell = "\n".join(f'line {i} ""x"", y' for i in range(400))
+    path = write(tmp_path, "w.csv", f'{HEAD}\none,d,p,2024-01-01,1,2\n"{cell}",d,p,2024-01-01,1,2\nlast,d,p,2024-01-01,1,2\n')
+    got = rows_at(spark, lambda: logs.read_logs(spark, path), 300)
+    assert sorted(r[0] for r in got) == sorted(["one", cell.replace('""', '"'), "last"])
+
+
+def test_one_quoted_break_leaves_a_file_in_many_tasks(spark, tmp_path):
+    body = "".join(f"s{i},d,p,2024-01-01,1,2\n" for i in range(40_000))
+    path = write(tmp_path, "big.csv", f'{HEAD}\n"odd\none",d,p,2024-01-01,1,2\n{body}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = logs.read_logs(spark, path)
+        assert got.rdd.getNumPartitions() > 8
+        assert got.count() == 40_001
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_change_of_splits_is_noticed(spark, tmp_path):
+    path = write(tmp_path, "c.csv", f'{HEAD}\n"odd\none",d,p,2024-01-01,1,2\n' + "s,d,p,2024-01-01,1,2\n" * 4000)
+    got = logs.read_logs(spark, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        with pytest.raises(Exception, match="changed while it was read"):
+            got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_the_plan_does_not_grow_with_headers(spark, tmp_path):
+    sizes = []
+    for folder, kinds in (("few", 2), ("many", 60)):
+        for i in range(60):
+            names = [*HEAD.split(","), *[f"x{(i % kinds + j) % 60}" for j in range(3)]] if folder == "many" else [*HEAD.split(","), f"x{i % kinds}"]
+            rng = random.Random(i)
+            rng.shuffle(names)
+            cell = {"srcname": f"s{i}", "dstname": "d", "dstportname": "p", "time": "2024-01-01", "rcvd": "1", "sent": "2"}
+            write(tmp_path / folder, f"f{i}.csv", ",".join(names) + "\n" + ",".join(cell.get(n, f"{n}of{i}") for n in names) + "\n")
+        got = logs.read_logs(spark, str(tmp_path / folder))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(plan.count("Relation [") + plan.count("Relation["))
+        rows = got.collect()
+        assert sorted(r.srcname for r in rows) == sorted(f"s{i}" for i in range(60))
+        for r in rows:
+            for name in got.columns:
+                if name.startswith("x"):
+                    assert r[name] in (None, f"{name}of{r.srcname[1:]}")
+            assert sum(r[c] is not None for c in got.columns if c.startswith("x")) == (3 if folder == "many" else 1)
+    assert sizes[0] == sizes[1]
+
+
+def test_replacement_characters_stay_and_bad_bytes_go(spark, tmp_path):
+    text = f"{HEAD},said\na,d,p,2024-01-01,1,2,".encode() + "�\x01b".encode() + b"\xff\xc3\n"
+    write(tmp_path, "bad.csv", text + "b,d,p,2024-01-01,1,2,�é\n".encode())
+    write(tmp_path, "good.csv", f"{HEAD},said\nc,d,p,2024-01-01,1,2,�\n")
+    got = {r.srcname: r.said for r in logs.read_logs(spark, str(tmp_path)).collect()}
+    assert got == {"a": "�\x01b", "b": "�é", "c": "�"}
+
+
+def test_streams_of_hidden_and_packed_files(spark, tmp_path):
+    body = f'{HEAD}\n"two\nlines",d,p,2024-01-01,1,2\r\n\nplain,d,p,2024-01-01,1,2\nlong,d,p,2024-01-01,1,2,more\n'
+    write(tmp_path, "_h.csv.gz", gzip.compress(body.encode()))
+    write(tmp_path, "_b.csv.bz2", bz2.compress(body.replace("plain", "other").encode()))
+    write(tmp_path, ".cut.csv.gz", gzip.compress(body.encode())[:-9])
+    report = logs.ReadReport()
+    with pytest.warns(UserWarning, match="cut.csv.gz"):
+        got = logs.read_logs(spark, str(tmp_path), report=report)
+    assert sources(got) == ["other", "plain", "two\nlines", "two\nlines"]
+    assert report.left_out == {".cut.csv.gz": "ends too early"}
+
+
+def test_many_members_take_time_in_proportion():
+    member = gzip.compress(b"srcname\n")
+    for kind, part in (("gz", member), ("bz2", bz2.compress(b"srcname\n"))):
+        seconds = []
+        for n in (20_000, 80_000):
+            packed = part * n
+            begin = time.perf_counter()
+            assert listing.unpack_error(packed, kind) is None
+            seconds.append(time.perf_counter() - begin)
+        assert seconds[1] < 12 * seconds[0]
+    big = gzip.compress(b"x" * 200_000_000)
+    assert sum(map(len, streams.unpacked(iter([big]), "gz"))) == 200_000_000
+    squeezed = bz2.compress(b"x" * 50_000_000)
+    assert max(map(len, streams.unpacked(iter([squeezed]), "bz2"))) <= streams.PIECE
+
+
+def test_rule_files_left_out_are_reported(spark, tmp_path):
+    good, empty = write(tmp_path, "g.csv", "action\npass\n"), write(tmp_path, "e.csv", "\n\n")
+    report = rules.ReadReport()
+    with pytest.warns(UserWarning):
+        got = rules.read_rules(spark, [good, empty, str(tmp_path / "gone.csv")], report=report)
+    assert got.count() == 1
+    assert sorted(report.left_out.values()) == ["no header", "not found"]

@@ -47,6 +47,19 @@ def clean_cell(c: Column) -> Column:
     return F.btrim(strip_ws(F.coalesce(c, F.lit(""))), F.lit('"'))
 
 
+def drop_invalid_bytes(c: Column) -> Column:
+    """Text without the bytes that are no UTF-8; a replacement character that stands in it stays.
+
+    Invalid bytes become replacement characters and go; those of the text are
+    written another way meanwhile, with U+0001, which is itself escaped.
+    """
+    mark, lost = F.lit("\x01"), F.lit("\ufffd")
+    kept = F.replace(F.replace(c, mark, F.lit("\x01a")), lost, F.lit("\x01b"))
+    gone = F.replace(F.make_valid_utf8(kept), lost, F.lit(""))
+    back = F.replace(F.replace(gone, F.lit("\x01b"), lost), F.lit("\x01a"), mark)
+    return F.when(F.is_valid_utf8(c), c).otherwise(back)
+
+
 def base_form(ch: str) -> str:
     """One character (or constant) without accents: NFKD minus combining marks."""
     return "".join(d for d in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(d))

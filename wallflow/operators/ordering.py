@@ -77,8 +77,8 @@ def number_file_rows(df: DataFrame, file_order: DataFrame, header_rows: int = 0)
     ``df`` carries ``_path``, ``_start`` (the split's offset in its file) and
     ``_seq`` (increasing inside a split). Adds ``_line``, counted in each file
     from 1 after ``header_rows`` leading rows, and ``_row``, counted over all
-    files in the order given by ``file_order (_path, _file_order)``; header
-    rows get a ``_line`` below 1. One pass counts the rows of each split; that
+    files in the order given by ``file_order (_path, _file_order)``, whose
+    other columns are added; header rows get a ``_line`` below 1. One pass counts the rows of each split; that
     table has a row per split, as Spark's own list of them on the driver, and
     is broadcast if its size allows. Otherwise rows are shuffled by split.
     """
@@ -91,8 +91,9 @@ def number_file_rows(df: DataFrame, file_order: DataFrame, header_rows: int = 0)
     files = files.withColumn(
         "_in_set", F.coalesce(F.sum("_rows").over(Window.orderBy("_file_order").rowsBetween(*_BEFORE)), F.lit(0))
     )
-    offsets = splits.join(files.select("_path", "_in_set"), "_path").select(
-        "_path", "_start", "_base", "_in_file", "_in_set"
+    about = [c for c in file_order.columns if c not in ("_path", "_file_order")]
+    offsets = splits.join(files.select("_path", "_in_set", *about), "_path").select(
+        "_path", "_start", "_base", "_in_file", "_in_set", *about
     )
     offsets = F.broadcast(offsets) if fits_broadcast(offsets) else offsets
     return (

@@ -56,16 +56,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver does.
+def with_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver does.
 
     That serves a shared file system or a local session; elsewhere the package
     has to be shipped with the job, as usual.
     """
-    environment = df.sparkSession.sparkContext.environment
+    environment = spark.sparkContext.environment
     root, known = str(Path(__file__).resolve().parents[1]), environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` whose workers find this package."""
+    with_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import bz2
 import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -15,9 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wallflow.session import map_arrow, scratch_root
+from wallflow.sources.quoting import opens_quotes
+from wallflow.sources.streams import PIECE, kind_of, probe, unpacked
 
-# Spark's readers skip names that begin with "_" or ".". Such files are copied
-# to a folder of this name, with one letter before their own name.
+# Spark's readers skip names that begin with "_" or ".". Where Python code in
+# tasks cannot open such a file it is copied to a folder of this name, with one
+# letter before its own name.
 _VISIBLE = "hidden-names-"
 
 # Names that other tools leave beside data; no rows are in them.
@@ -64,23 +66,52 @@ def _hidden(spark: SparkSession, path: str) -> list:
     return [s for s in found if not _BOOKKEEPING.fullmatch(s.getPath().getName())]
 
 
-def visible_files(spark: SparkSession, path: str) -> DataFrame | None:
-    """Like ``list_files``, with files whose names Spark skips under a copy of theirs.
+@dataclass(frozen=True)
+class File:
+    """A file to read: its path, as rows show it, and its own name. ``streamed`` ones are read as a stream, since Spark skips them."""
 
-    The driver copies those few as streams to the scratch folder.
-    """
+    path: str
+    key: str
+    name: str
+    streamed: bool = False
+
+
+def _local(status) -> str | None:
+    """Path for Python's own ``open``, if the file is on a file system of the machines."""
+    uri = status.getPath().toUri()
+    return uri.getPath() if (uri.getScheme() or "file") == "file" else None
+
+
+def _on_machines(path: str) -> str | None:
+    """The same from a path that Spark lists."""
+    match = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
+    return (path[5:] if path.startswith("file:") else None) if match else path
+
+
+def find_files(spark: SparkSession, path: str) -> list[File] | None:
+    """The file, or the folder's own files, by path; those that Spark skips as well. None if there is no such path."""
     files, hidden = list_files(spark, path), _hidden(spark, path)
-    if not hidden:
-        return files
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = f"{scratch_root(spark).rstrip('/')}/{_VISIBLE}{uuid.uuid4().hex}"
+    if files is None and not hidden:
+        return None
+    found = [] if files is None else [File(r["path"], r["key"], r["name"]) for r in files.collect()]
+    copied = []
     for status in hidden:
-        target = hadoop.Path(f"{folder}/x{status.getPath().getName()}")
-        source = status.getPath().getFileSystem(conf)
-        hadoop.FileUtil.copy(source, status.getPath(), target.getFileSystem(conf), target, False, conf)
-    copies = list_files(spark, folder)
-    return copies if files is None else files.unionByName(copies)
+        local, shown = _local(status), status.getPath()
+        if local is None:
+            copied.append(status)
+        else:
+            found.append(File(local, shown.toUri().toString(), shown.getName(), streamed=True))
+    if copied:
+        # In another store only the driver can open them.
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        folder = f"{scratch_root(spark).rstrip('/')}/{_VISIBLE}{uuid.uuid4().hex}"
+        for status in copied:
+            target = hadoop.Path(f"{folder}/x{status.getPath().getName()}")
+            source = status.getPath().getFileSystem(conf)
+            hadoop.FileUtil.copy(source, status.getPath(), target.getFileSystem(conf), target, False, conf)
+        found += [File(r["path"], r["key"], r["name"]) for r in list_files(spark, folder).collect()]
+    return sorted(found, key=lambda f: f.key)
 
 
 def newest_file(spark: SparkSession, folder: str, keyword: str) -> str:
@@ -95,73 +126,89 @@ def newest_file(spark: SparkSession, folder: str, keyword: str) -> str:
 
 
 @dataclass
-class FileFacts:
-    """A file as one pass saw it: its first line with text, and whether a quoted cell may hold a line break."""
+class ReadReport:
+    """Files that gave no rows, with the reason. A damaged file gives none of its rows."""
 
-    path: str
-    key: str
-    header: str | None
-    open_quotes: bool
+    left_out: dict[str, str] = field(default_factory=dict)
 
 
-def damaged_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """Compressed files (``.gz``, ``.bz2``) that do not unpack to their end, with the reason.
+@dataclass
+class FileFacts:
+    """A file as one pass saw it.
 
-    A file is one row here, so it is unpacked by one task, in pieces. Files of
-    other kinds are never half read: a bad one fails the job that reads it.
+    ``header`` is its first line with text. ``open_quotes`` are the separators
+    for which a quoted cell may hold a line break, ``bad_bytes`` tells whether
+    some bytes are no UTF-8, ``old_breaks`` whether lines end with a carriage
+    return alone. ``damage`` is why a compressed file does not unpack.
     """
-    packed = [p for p in paths if p.endswith((".gz", ".bz2"))]
-    if not packed:
-        return {}
+
+    file: File
+    header: str | None = None
+    open_quotes: frozenset[str] = frozenset()
+    bad_bytes: bool = False
+    old_breaks: bool = False
+    damage: str | None = None
+
+
+def _damage_elsewhere(spark: SparkSession, files: Sequence[File]) -> dict[str, str]:
+    """Damaged compressed files that only Spark can open, with the reason; a file is one value there, up to 2 GB."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reasons = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reasons.append(unpack_error(content, path.endswith(".gz")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string())], names=["path", "reason"])
+            rows = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+            reasons = [unpack_error(value.as_buffer(), kind_of(key)) for key, value in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string())], names=["key", "reason"])
 
-    rows = spark.read.format("binaryFile").load([escaped(p) for p in packed]).select("path", "content")
-    found = map_arrow(rows, unpack, "path string, reason string").filter("reason IS NOT NULL")
-    return {r["path"]: r["reason"] for r in found.collect()}
+    rows = spark.read.format("binaryFile").load([escaped(f.path) for f in files])
+    found = map_arrow(rows.select(F.col("_metadata.file_path").alias("key"), "content"), unpack, "key string, reason string")
+    return {r["key"]: r["reason"] for r in found.filter("reason IS NOT NULL").collect()}
 
 
-def unpack_error(content: bytes, is_gzip: bool) -> str | None:
+def unpack_error(packed: bytes | pa.Buffer, kind: str) -> str | None:
     """Why a compressed file does not unpack; None if it does."""
-    rest, step = content, 1 << 20
+    view = memoryview(packed)
     try:
-        while rest:
-            unpacker = zlib.decompressobj(31) if is_gzip else bz2.BZ2Decompressor()
-            at = 0
-            while at < len(rest) and not unpacker.eof:
-                unpacker.decompress(rest[at : at + step])
-                at += step
-            if not unpacker.eof:
-                return "ends too early"
-            rest = unpacker.unused_data + rest[at:]
-    except (zlib.error, OSError) as broken:
+        for _ in unpacked((bytes(view[at : at + PIECE]) for at in range(0, len(view), PIECE)), kind):
+            pass
+    except (zlib.error, OSError, EOFError) as broken:
         return str(broken)
     return None
 
 
-def file_facts(spark: SparkSession, files: Sequence[tuple[str, str]]) -> list[FileFacts]:
-    """Facts of each ``(path, key)``, by one distributed pass that sends one row per file and task."""
-    if not files:
-        return []
-    lines = spark.read.text([escaped(p) for p, _ in files]).select(
+def file_facts(spark: SparkSession, files: Sequence[File]) -> list[FileFacts]:
+    """Facts of each file.
+
+    Spark's own pass sends one row per file and task; compressed files, and
+    those that Spark skips, are read as streams, by a task each.
+    """
+    facts = {f.key: FileFacts(f) for f in files}
+    opened = {f.key: f.path if f.streamed else _on_machines(f.path) for f in files if f.streamed or kind_of(f.name)}
+    if streams := [(path, key) for key, path in opened.items() if path]:
+        for r in probe(spark, streams).collect():
+            facts[r["key"]].damage, facts[r["key"]].header = r["reason"], r["header"]
+    if elsewhere := [facts[key].file for key, path in opened.items() if not path]:
+        for key, reason in _damage_elsewhere(spark, elsewhere).items():
+            facts[key].damage = reason
+    paths = [escaped(f.file.path) for f in facts.values() if not f.file.streamed and not f.damage]
+    if not paths:
+        return [*facts.values()]
+    value = F.col("value")
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
         "value",
         F.col("_metadata.file_path").alias("key"),
         F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).alias("at"),
     )
-    has_text = F.col("value").rlike("(?U)\\S")
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    ever = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
     found = lines.groupBy("key").agg(
-        F.min_by("value", F.when(has_text, F.col("at"))).alias("header"),
-        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open_quotes"),
+        F.min_by(F.regexp_extract(value, "(?U)[^\\r]*\\S[^\\r]*", 0), F.when(value.rlike("(?U)\\S"), F.col("at"))).alias("header"),
+        ever(opens_quotes(value, ","), "comma"),
+        ever(opens_quotes(value, ";"), "semicolon"),
+        ever(~F.is_valid_utf8(value), "bad_bytes"),
+        ever(value.contains("\r") & value.rlike("\r[^\r]"), "old_breaks"),
     )
-    known = {r["key"]: r for r in found.collect()}
-    return [
-        FileFacts(path, key, known[key]["header"].lstrip("﻿") if key in known and known[key]["header"] else None,
-                  key in known and known[key]["open_quotes"])
-        for path, key in files
-    ]
+    for r in found.collect():
+        fact = facts[r["key"]]
+        fact.header = (r["header"] or "").lstrip("\ufeff") or None
+        fact.open_quotes = frozenset(sep for sep, c in ((",", "comma"), (";", "semicolon")) if r[c])
+        fact.bad_bytes, fact.old_breaks = r["bad_bytes"], r["old_breaks"]
+    return [*facts.values()]

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import csv
 import warnings
-from collections import defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wallflow.functions.fields import named
+from wallflow.functions.text import drop_invalid_bytes
 from wallflow.operators.flows import null_words_to_null
-from wallflow.sources.listing import damaged_files, escaped, file_facts, visible_files
+from wallflow.sources.layouts import WIDTH, Layout, cell_names, cells_of_records, lay_out
+from wallflow.sources.listing import File, FileFacts, ReadReport, escaped, file_facts, find_files
+from wallflow.sources.quoting import quoted_records
+from wallflow.sources.streams import stream_records
 
 BAD_LINE = "_corrupt_record"
 ORDER = ["_path", "_start", "_seq"]
@@ -41,37 +44,74 @@ def field_count(line: Column, sep: str = ",") -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
-def _scan(spark: SparkSession, paths: list[str], names: list[str], multi_line: bool, check: bool) -> DataFrame:
-    # A pruned parser no longer sees how many fields a line has, so the bad-line
-    # check needs all of them. Columns are bound by position, unless the header of each file is to be checked.
-    columns = names if check else [f"c{i}" for i in range(len(names))]
-    lines = (
-        spark.read.schema(", ".join(f"`{c}` string" for c in [*columns, BAD_LINE]))
-        .options(header=True, escape='"', multiLine=multi_line, enforceSchema=not check)
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE, columnPruning=False)
-        .csv([escaped(p) for p in paths])
-    )
-    # Short rows stay, padded with nulls; rows with more fields than the header go.
-    # The last term is always true; Spark refuses a scan of the raw record alone.
-    too_long = (
-        F.col(BAD_LINE).isNotNull()
-        & (field_count(F.col(BAD_LINE)) > len(names))
-        & (F.coalesce(F.length(named(columns[0])), F.lit(0)) >= 0)
-    )
-    undecodable = "�"
-    return lines.filter(~too_long).select(
-        *[null_words_to_null(F.translate(named(c), undecodable, "")).alias(n) for c, n in zip(columns, names)],
+def _too_long(record: Column, width: Column) -> Column:
+    """Whether a record has more fields than its header; separators are counted first, which is cheap."""
+    most = F.length(record) - F.length(F.replace(record, F.lit(","), F.lit(""))) + 1
+    return F.when(most > width, field_count(record) > width).otherwise(F.lit(False))
+
+
+def _place() -> list[Column]:
+    return [
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
-    )
+    ]
 
 
-@dataclass
-class ReadReport:
-    """Files that gave no rows, with the reason. A damaged file gives none of its rows."""
+def _scan(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], **options) -> DataFrame:
+    """Rows of files, by position; ``BAD_LINE`` holds records that are shorter or longer than ``columns``.
 
-    left_out: dict[str, str] = field(default_factory=dict)
+    A pruned parser does not see how many fields a line has, so all are read.
+    """
+    return (
+        spark.read.schema(", ".join(f"`{c}` string" for c in [*columns, BAD_LINE]))
+        .options(header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE, columnPruning=False, **options)
+        .csv([escaped(p) for p in paths])
+    )
+
+
+def _same_header(spark: SparkSession, files: list[File], names: list[str], multi_line: bool) -> DataFrame:
+    """All files by one scan, in which Spark holds each header against the first file's."""
+    lines = _scan(spark, [f.path for f in files], names, multiLine=multi_line, enforceSchema=False)
+    # The last term is always true; Spark refuses a scan of the raw record alone.
+    raw = F.col(BAD_LINE)
+    too_long = raw.isNotNull() & _too_long(raw, F.lit(len(names))) & (F.coalesce(F.length(named(names[0])), F.lit(0)) >= 0)
+    return lines.filter(~too_long).select(*[null_words_to_null(named(n)).alias(n) for n in names], *_place())
+
+
+def _rows(spark: SparkSession, facts: list[FileFacts], layout: Layout, multi_line: bool | None) -> DataFrame:
+    """Cells of all files: a scan, and two more branches for files that a scan cannot read as they are."""
+    needs = lambda f: f.bad_bytes or (multi_line is not False and "," in f.open_quotes)
+    plain = [f.file.path for f in facts if not f.file.streamed and not needs(f)]
+    split = [f.file.path for f in facts if not f.file.streamed and needs(f) and not f.old_breaks]
+    whole = [f.file.path for f in facts if not f.file.streamed and needs(f) and f.old_breaks]
+    streamed = [(f.file.path, f.file.key) for f in facts if f.file.streamed]
+    names = cell_names(layout.width)
+    # The condition always holds; Spark refuses a scan of the raw record alone.
+    raw = F.when(F.coalesce(F.length(names[0]), F.lit(0)) >= 0, F.coalesce(named(BAD_LINE), F.lit("")))
+    out = []
+
+    def add_records(records: DataFrame) -> None:
+        text = records.withColumn("value", drop_invalid_bytes(F.col("value")))
+        out.append(cells_of_records(text, ",", layout.width).withColumnRenamed("value", BAD_LINE).select(*names, BAD_LINE, *ORDER))
+
+    if split:
+        joined = quoted_records(spark, [escaped(p) for p in split], ",", drop_header=True, join=multi_line is not False)
+        if joined is None:
+            whole += split
+        else:
+            add_records(joined.withColumn("_seq", F.monotonically_increasing_id()))
+    if streamed:
+        found = stream_records(spark, streamed, ",").filter("n > 0")
+        add_records(found.select(F.col("value").cast("string").alias("value"), "_path", F.lit(0).cast("long").alias("_start"), F.col("n").alias("_seq")))
+    for paths, lines in ((plain, False), (whole, True)):
+        if paths:
+            scan = _scan(spark, paths, names, multiLine=lines, enforceSchema=True)
+            out.append(scan.select(*names, raw.alias(BAD_LINE), *_place()))
+    rows = out[0]
+    for part in out[1:]:
+        rows = rows.unionByName(part)
+    return rows
 
 
 def read_logs(
@@ -85,11 +125,13 @@ def read_logs(
 ) -> DataFrame:
     """Rows of one log file, or of the ``.csv`` files of a folder (not below it).
 
-    Files are united by column name: those with the same header are read by
-    one scan, and what a file lacks is null. One pass over the files finds
-    their headers and those in which a quoted cell may hold a line break; only
-    these are read by one task each, the others stay splittable.
-    ``multi_line`` decides that for all files instead. ``same_header`` promises
+    Files are united by column name; what a file lacks is null. One pass over
+    the files finds their headers, and one scan reads them all by position; a
+    table from file to header says which cell is which column, so the plan does
+    not grow with the headers. Files in which a quoted cell holds a line break,
+    or with bytes that are no UTF-8 (which are dropped), are read as records by
+    all cores, see ``quoting``. ``multi_line`` decides for all files whether
+    quotes may hold line breaks. ``same_header`` promises
     that all files have the first one's header, which saves the pass; a file
     that breaks the promise fails the read. Compressed files that do not unpack
     to their end are left out whole, warned of, and listed in ``report``; other
@@ -97,35 +139,29 @@ def read_logs(
     for breaking ties between rows of the same time.
     """
     report = ReadReport() if report is None else report
-    files = visible_files(spark, path)
-    rows = files.collect() if files is not None else []
-    if not rows:
+    found = find_files(spark, path)
+    if not found:
         raise FileNotFoundError(f"no log file at {path}")
-    is_file = len(rows) == 1 and rows[0]["name"] == path.rstrip("/").rsplit("/", 1)[-1]
-    chosen = sorted((r for r in rows if is_file or r["name"].endswith((".csv", ".csv.gz", ".csv.bz2"))), key=lambda r: r["path"])
+    is_file = len(found) == 1 and found[0].name == path.rstrip("/").rsplit("/", 1)[-1]
+    chosen = [f for f in found if is_file or f.name.endswith((".csv", ".csv.gz", ".csv.bz2"))]
     if not chosen:
         raise FileNotFoundError(f"no .csv file in {path}")
-    names = {r["path"]: r["name"] for r in chosen}
-    for bad, reason in damaged_files(spark, [*names]).items():
-        report.left_out[names[bad]] = reason
-        warnings.warn(f"log file left out: {names[bad]}: {reason}", stacklevel=2)
-    chosen = [r for r in chosen if r["name"] not in report.left_out]
-    layouts: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
-    pairs = [(r["path"], r["key"]) for r in chosen]
-    if same_header and pairs:
-        header = file_facts(spark, pairs[:1])[0].header
-        layouts[tuple(header_names(header or "")), True if multi_line is None else multi_line] = [p for p, _ in pairs]
-    else:
-        for facts in file_facts(spark, pairs):
-            if facts.header is None:
-                report.left_out[names[facts.path]] = "no header"
-            else:
-                whole = facts.open_quotes if multi_line is None else multi_line
-                layouts[tuple(header_names(facts.header)), whole].append(facts.path)
-    if not layouts:
+    if same_header and not any(f.streamed for f in chosen):
+        first = file_facts(spark, chosen[:1])[0]
+        names = header_names(first.header or "")
+        rows = _same_header(spark, chosen, names, True if multi_line is None else multi_line)
+        return rows if with_order else rows.drop(*ORDER)
+    facts = file_facts(spark, chosen)
+    for f in facts:
+        if f.damage or f.header is None:
+            report.left_out[f.file.name] = f.damage or "no header"
+        if f.damage:
+            warnings.warn(f"log file left out: {f.file.name}: {f.damage}", stacklevel=2)
+    facts = [f for f in facts if f.header is not None and not f.damage]
+    if not facts:
         raise ValueError(f"no log file with a header at {path}")
-    logs = None
-    for (columns, whole), group in layouts.items():
-        part = _scan(spark, group, list(columns), whole, same_header)
-        logs = part if logs is None else logs.unionByName(part, allowMissingColumns=True)
+    layout = Layout({f.file.key: tuple(header_names(f.header)) for f in facts})
+    cells = lay_out(_rows(spark, facts, layout, multi_line), layout, null_words_to_null, behind=[BAD_LINE, *ORDER])
+    # Short rows stay, padded with nulls; rows with more fields than their header go.
+    logs = cells.filter(~_too_long(F.col(BAD_LINE), F.col(WIDTH))).drop(BAD_LINE, WIDTH)
     return logs if with_order else logs.drop(*ORDER)
