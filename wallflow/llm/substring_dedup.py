@@ -7,7 +7,7 @@ the wanted length is stood for by its least run of six words, by hash order:
 equal windows choose equal runs, so none is lost, and two runs in nine words
 are shuffled instead of nine. At higher levels it is stood for by the part of
 the level's length around that run. The last level compares whole windows by
-128 bits of hash.
+96 bits of hash.
 
 A task looks at its texts in chunks. What a chunk settles by itself, since a
 smaller document of the chunk has the window, is not asked again. So a window
@@ -123,36 +123,37 @@ class _Chunk:
         at, last = self.windows(window, length, before, first), length == window
         h1 = _hashes(self.all, at, length, _BASES[0])
         # Up to the last level a hash that is equal by chance costs a look, no more.
-        h2 = _hashes(_mixed(self.all), at, length, _BASES[1]) if last else np.zeros_like(h1)
+        h2 = (_hashes(_mixed(self.all), at, length, _BASES[1]) >> np.uint64(32) if last else np.zeros_like(h1)).astype(np.uint32)
         owner = np.searchsorted(self.starts, at, side="right") - 1
         doc, tag = np.array(self.docs, dtype=np.int64)[owner], np.array(self.tags, dtype=np.int64)[owner]
         place = (tag << 32) | (at - self.starts[owner])
         order = np.lexsort((doc, h2, h1))
-        h1, h2, doc, place = h1[order], h2[order], doc[order], place[order]
-        new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])] if len(h1) else np.zeros(0, bool)
-        heads = np.flatnonzero(new)
-        sizes = np.diff(np.r_[heads, len(h1)])
-        least = np.repeat(doc[heads], sizes)
+        same = lambda i, j: (h1[i] == h1[j]) & (h2[i] == h2[j])
+        heads = np.flatnonzero(np.r_[True, ~same(order[1:], order[:-1])]) if len(order) else order
+        sizes = np.diff(np.r_[heads, len(order)])
+        least = doc[order[heads]]
+        settled = np.zeros(len(order), dtype=bool)
         if last:
-            settled, witness = doc > least, np.zeros(0, dtype=np.int64)
+            settled[order] = doc[order] > np.repeat(least, sizes)
+            witness = order[:0]
         else:
-            many = doc[heads] < doc[heads + sizes - 1]
-            settled, witness = np.repeat(many, sizes), heads[many]
-        open_ = np.flatnonzero(~settled)
-        done = np.flatnonzero(settled)
-        done = done[np.lexsort((place[done], doc[done]))]
-        runs = np.flatnonzero(np.r_[True, (np.diff(place[done]) != 1) | (np.diff(doc[done]) != 0)]) if len(done) else done
-        counts = np.diff(np.r_[runs, len(done)])
-        run = done[runs]
-        pick = np.concatenate([open_, witness, run])
-        state = np.repeat([_OPEN, _WITNESS, _SETTLED], [len(open_), len(witness), len(run)])
+            many = least < doc[order[heads + sizes - 1]]
+            settled[order] = np.repeat(many, sizes)
+            witness = order[heads[many]]
+        # Rows keep the order of the text. What follows on and is settled, or has the same hash, is one row.
+        i, j = np.arange(1, len(order)), np.arange(max(0, len(order) - 1))
+        follows = (doc[i] == doc[j]) & (place[i] == place[j] + 1) & (settled[i] == settled[j]) & (settled[i] | same(i, j))
+        run = np.flatnonzero(np.r_[True, ~follows]) if len(order) else order
+        counts = np.diff(np.r_[run, len(order)])
+        pick = np.concatenate([run, witness])
+        state = np.r_[np.where(settled[run], _SETTLED, _OPEN), np.full(len(witness), _WITNESS)]
         # What is settled goes through the same shuffle; it is spread by document and place.
         k1 = np.where(state == _SETTLED, _mixed((place[pick] + doc[pick]).view(np.uint64)), h1[pick])
-        n = np.concatenate([np.ones(len(open_) + len(witness), dtype=np.int64), counts])
+        n = np.r_[counts, np.ones(len(witness), dtype=np.int64)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(k1.view(np.int64)),
-                pa.array(np.where(state == _SETTLED, np.uint64(0), h2[pick]).view(np.int64)),
+                pa.array(np.where(state == _SETTLED, np.uint32(0), h2[pick]).astype(np.uint32).view(np.int32)),
                 pa.array(doc[pick]),
                 pa.array(place[pick]),
                 pa.array(n.astype(np.int32)),
@@ -162,7 +163,7 @@ class _Chunk:
         )
 
 
-_LEVEL = "h1 long, h2 long, doc long, place long, n int, state byte"
+_LEVEL = "h1 long, h2 int, doc long, place long, n int, state byte"
 
 
 def _tag(words: list[bytes]) -> int:
