@@ -222,3 +222,45 @@ def test_find_duplicates_in_files(spark, tmp_path):
     jobs.find_duplicates_in_files(spark, [lone], str(tmp_path / "lone"))
     assert text_of(tmp_path / "lone" / "duplicate_rules_report") == "No duplicates detected.\n"
     assert not (tmp_path / "lone" / "delete_duplicates_script").exists()
+
+
+def test_volumes_beyond_doubles_are_exact(spark, tmp_path):
+    big = 9007199254740993
+    source = write(tmp_path, "in.csv", f"{HEAD}\na,b,c,2024-01-01,{big},0.25,x\na,b,c,2024-01-02,{big},1,x\nz,b,c,2024-01-02,1,0,x\n")
+    flows = jobs.analyse_logs(spark, source, str(tmp_path / "out"))
+    assert text_of(tmp_path / "out" / "analyzed_logs").splitlines()[1:] == [
+        f"a,b,c,2,2024-01-01 00:00:00,2024-01-02 00:00:00,{2 * big},1.25,x", "z,b,c,1,2024-01-02 00:00:00,2024-01-02 00:00:00,1,0.0,x"]
+    assert f"{2 * big}.0" not in text_of(tmp_path / "out" / "analysis_summary") and flows.count() == 2
+
+
+def test_a_vote_finds_the_time_pattern_of_each_file(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    times = {"iso": ["2024-03-04 05:06:07", "2024-03-25"], "day": ["04/03/2024 05:06:07", "25/03/2024 00:00:00"], "month": ["03/04/2024 05:06:07", "03/25/2024 00:00:00"]}
+    for name, (one, two) in times.items():
+        # The last row is by the pattern of another file.
+        other = "2024-01-01 00:00:00" if name != "iso" else "25/12/2024 00:00:00"
+        write(folder, f"{name}.csv", f"{HEAD}\n{name},d,p,{one},1,2,x\n{name},d,p,{two},1,2,x\n{name},d,p,{other},1,2,x\n")
+    flows = jobs.analyse_logs(spark, str(folder), str(tmp_path / "out"), vote=True)
+    got = {r["srcname"]: (r["count"], r["min_time"], r["max_time"]) for r in flows.collect()}
+    assert got == {name: (2, datetime(2024, 3, 4, 5, 6, 7), datetime(2024, 3, 25)) for name in times}
+
+
+def test_newest_lists_for_suggestions(spark, tmp_path):
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    for i, (name, body) in enumerate([("objects_1.txt", "a\nb\nc\n"), ("objects_2.txt", "a\n"), ("interfaces_1.txt", "b\nc\n")]):
+        os.utime(write(folder, name, body), (1000 + i, 1000 + i))
+    source = write(tmp_path, "in.csv", f"{HEAD}\na,b,c,2024-01-01,1,1,x\na,d,c,2024-01-01,1,1,x\n")
+    flows = jobs.analyse_logs(spark, source, str(tmp_path / "out"))
+    found = jobs.append_suggestions(flows, str(tmp_path / "out"), reference_folder=str(folder), generated_at="T").orderBy("rank").collect()
+    assert [[m["name"] for m in r["missing"]] for r in found] == [[], ["d"]]
+    assert text_of(tmp_path / "out" / "generated_rules_from_logs").count("CONFIG") == 1
+
+
+def test_jobs_report_files_left_out(spark, tmp_path):
+    good = write(tmp_path, "g.csv", "action,source\npass,any\n")
+    report = listing.ReadReport()
+    with pytest.warns(UserWarning, match="not found"):
+        jobs.convert_files(spark, [good, str(tmp_path / "gone.csv")], str(tmp_path / "out"), generated_at="T", report=report)
+    assert [*report.left_out.values()] == ["not found"]

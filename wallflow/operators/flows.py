@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wallflow.functions.fields import named
+from wallflow.operators.joins import fits_broadcast
+from wallflow.session import materialise
 
 KEYS = ["srcname", "dstname", "dstportname"]
 REQUIRED = [*KEYS, "time", "rcvd", "sent"]
@@ -23,6 +25,12 @@ NULL_WORDS = [
 # Volumes that must stay exact.
 EXACT = "decimal(38,6)"
 
+# Patterns of times that a vote chooses from beside ISO; among equals the first wins.
+TIME_PATTERNS = [
+    "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "dd.MM.yyyy HH:mm:ss",
+    "dd MMM yyyy HH:mm:ss", "MMM dd yyyy HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss", "dd/MM/yyyy HH:mm", "MM/dd/yyyy HH:mm",
+]
+
 _NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*\z"
 
 
@@ -66,9 +74,40 @@ def as_time(df: DataFrame, column: str, formats: Sequence[str] = ()) -> Column:
     return F.coalesce(*tries)
 
 
-def clean_logs(logs: DataFrame, time_formats: Sequence[str] = (), exact: bool = False) -> DataFrame:
-    """Typed log rows; those without a key or a valid time are dropped."""
+def voted_times(logs: DataFrame, patterns: Sequence[str], by: str, column: str = "time") -> DataFrame:
+    """``logs`` with times by the one pattern, ISO or of ``patterns``, that fits most rows of equal ``by``; others are null.
+
+    One aggregate counts the fits of every pattern; among equals the earlier
+    wins, ISO first. The winners, a row for each value of ``by``, are broadcast
+    if they fit. Of a column of times nothing changes.
+    """
+    if not isinstance(logs.schema[column].dataType, T.StringType):
+        return logs
+    text = named(column)
+    read = [text.try_cast("timestamp_ntz"), *[F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in patterns]]
+    fits = logs.groupBy(named(by).alias("_voter")).agg(*[F.count(t).alias(f"_n{i}") for i, t in enumerate(read)])
+    # The greatest count, and the least place among those that have it.
+    best = F.array_max(F.array(*[F.struct(F.col(f"_n{i}").alias("n"), F.lit(-i).alias("place")) for i in range(len(read))]))
+    winners = materialise(fits.select("_voter", (-best["place"]).alias("_winner")), "time-formats")
+    winners = F.broadcast(winners) if fits_broadcast(winners) else winners
+    time = F.coalesce(*[F.when(F.col("_winner") == i, t) for i, t in enumerate(read)])
+    joined = logs.join(winners, named(by).eqNullSafe(F.col("_voter")), "left")
+    return joined.select(*[time.alias(c) if c == column else named(c) for c in logs.columns])
+
+
+def clean_logs(
+    logs: DataFrame, time_formats: Sequence[str] = (), exact: bool = False, vote_by: str | None = None
+) -> DataFrame:
+    """Typed log rows; those without a key or a valid time are dropped.
+
+    With ``vote_by``, a column such as the path of the file, rows that share its
+    value are read by one time pattern, see ``voted_times``; the candidates are
+    ``time_formats``, or ``TIME_PATTERNS`` if none are given. Without, each row
+    takes the first pattern that fits it.
+    """
     check_columns(logs)
+    if vote_by is not None:
+        logs = voted_times(logs, time_formats or TIME_PATTERNS, vote_by)
     typed = {
         "time": as_time(logs, "time", time_formats),
         "rcvd": as_number(logs, "rcvd", exact),
@@ -79,7 +118,11 @@ def clean_logs(logs: DataFrame, time_formats: Sequence[str] = (), exact: bool =
 
 
 def flow_rollup(
-    logs: DataFrame, tie_break: Sequence[str] = (), time_formats: Sequence[str] = (), exact: bool = False
+    logs: DataFrame,
+    tie_break: Sequence[str] = (),
+    time_formats: Sequence[str] = (),
+    exact: bool = False,
+    vote_by: str | None = None,
 ) -> DataFrame:
     """One row per (source, destination, port): counts, times, volumes, firsts.
 
@@ -88,11 +131,12 @@ def flow_rollup(
     (which are not reported), and without any by the value itself, so the
     result never depends on how the rows were partitioned. ``exact`` sums
     volumes as decimals, so totals beyond 2**53 and their order do not matter.
+    ``vote_by`` finds the time pattern of each file, see ``clean_logs``.
 
     One shuffle. Each map task sends one row per flow it saw, so a flow that
     owns a large share of the log does not overload the task that finishes it.
     """
-    cleaned = clean_logs(logs, time_formats, exact)
+    cleaned = clean_logs(logs, time_formats, exact, vote_by)
     extras = sorted(
         (c for c in cleaned.columns if c not in REQUIRED and c not in tie_break), key=lambda c: f"{c}_first"
     )

@@ -13,12 +13,14 @@ from wallflow.functions import text as tx
 from wallflow.operators import dependencies as dep
 from wallflow.operators import flows as fw
 from wallflow.operators.hosts import host_addresses, host_objects
-from wallflow.operators.ordering import number_rows
+from wallflow.operators.joins import fits_broadcast
+from wallflow.operators.ordering import number_file_rows, number_rows
 from wallflow.operators.rendering import dropped_service, render
 from wallflow.plans import adapters as ad
 from wallflow.plans import comparison, conversion, duplicates, suggestions
 from wallflow.session import materialise, scratch_path
 from wallflow.sinks import scripts, tables
+from wallflow.sinks.lines import write_lines
 from wallflow.sources.logs import read_logs
 from wallflow.sources.names import interface_names, object_names
 from wallflow.sources.rules import read_rules
@@ -45,6 +47,36 @@ def _raw_csv(df: DataFrame, spark: SparkSession, header: str, label: str) -> str
     return path
 
 
+def _raw_text(df: DataFrame, spark: SparkSession, header: str, label: str) -> str:
+    """Write the lines of ``df`` byte by byte, as eight ``.csv`` files with a header line each."""
+    path = scratch_path(spark, label)
+    lines = df.toDF("line").select(F.spark_partition_id().alias("p"), F.lit(1).alias("ord"), "line")
+    heads = spark.range(8).select(F.col("id").cast("int").alias("p"), F.lit(0).alias("ord"), F.lit(header).alias("line"))
+    # A file may get the lines of several numbers; its later headers are rows without a valid time.
+    spread = lines.withColumn("p", F.pmod(F.xxhash64("line"), F.lit(8)).cast("int")).union(heads).repartition(8, "p")
+    spread.sortWithinPartitions("ord").select("line").write.text(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        if status.getPath().getName().endswith(".txt"):
+            system.rename(status.getPath(), hadoop.Path(status.getPath().toString()[:-4] + ".csv"))
+    return path
+
+
+def _lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """``(_row, line)`` of a written text, numbered from 1 over its files."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_seq"),
+    )
+    files = lines.select("_path").distinct().orderBy("_path").collect()
+    order = spark.createDataFrame([(r["_path"], i) for i, r in enumerate(files)], "_path string, _file_order int")
+    return number_file_rows(lines, order).select("_row", "line")
+
+
 # --- log analysis ---------------------------------------------------------
 
 
@@ -107,7 +139,7 @@ def log_folder_scan(spark, sf):
     """Two kinds of log file in one folder with an awkward name, with line breaks and long texts in quotes."""
     n = F.col("event_id")
     said = F.when(n % 7 == 0, ad.text("line\n", F.repeat(F.lit('"x", '), 25_000), F.col("dstname")))
-    logs = ad.dirty_logs(spark, sf).filter("srcname IS NOT NULL").withColumn("said", said.otherwise("plain"))
+    logs = ad.dirty_logs(spark, sf).withColumn("said", said.otherwise("plain"))
     logs = logs.withColumn("event_id", n.cast("string"))
     folder = f"{scratch_path(spark, 'logs')} [all] of {{it}}"
     options = {"header": True, "escape": '"', "emptyValue": ""}
@@ -120,6 +152,76 @@ def log_folder_scan(spark, sf):
     )
 
 
+@query
+def log_packed_scan(spark, sf):
+    """Three layouts of one log: plain, gzip and bzip2 files in a folder, columns in another order in each."""
+    n = F.col("event_id")
+    logs = ad.dirty_logs(spark, sf).withColumn("said", F.when(n % 11 == 0, "a\nb,c").otherwise("d")).withColumn("event_id", n.cast("string"))
+    folder = scratch_path(spark, "packed")
+    options = {"header": True, "escape": '"', "emptyValue": ""}
+    columns = [*ad.LOG_COLUMNS, "event_id"]
+    for i, packing in enumerate(("none", "gzip", "bzip2")):
+        part = logs.filter(n % 3 == i).select(*columns[i:], *columns[:i], *(["said"] if i else []))
+        part.write.mode("append").options(**options, compression=packing).csv(folder)
+    return fw.clean_logs(read_logs(spark, folder)).select("event_id", "srcname", "dstname", "rcvd", "sent", "said")
+
+
+@query
+def log_bytes(spark, sf):
+    """Log lines with bytes that are no UTF-8, and replacement characters that were meant."""
+    n = F.col("event_id")
+    bad = F.unhex(F.lit("FFC3")).cast("string")
+    said = F.when(n % 3 == 0, F.concat(F.lit("a"), bad, F.lit("\ufffdé"))).when(n % 3 == 1, "\ufffd").otherwise("plain")
+    logs = ad.dirty_logs(spark, sf)
+    cells = [F.coalesce(c, F.lit("")) for c in ad.LOG_COLUMNS]
+    lines = logs.select(F.concat_ws(",", *cells, n.cast("string"), said))
+    path = _raw_text(lines, spark, ",".join([*ad.LOG_COLUMNS, "event_id", "said"]), "bytes")
+    return fw.clean_logs(read_logs(spark, path)).select("event_id", "srcname", "said", F.hex(F.encode("said", "UTF-8")).alias("bytes"))
+
+
+@query
+def log_time_formats(spark, sf):
+    """Files of two time patterns in one folder; each is read by the one that fits its rows."""
+    n = F.col("event_id")
+    logs = ad.dirty_logs(spark, sf).withColumn("event_id", n.cast("string"))
+    folder = scratch_path(spark, "formats")
+    time = F.col("time").try_cast("timestamp_ntz")
+    for i, pattern in enumerate(("dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss")):
+        shown = F.coalesce(F.date_format(time, pattern), F.lit("bad"))
+        logs.filter(n % 2 == i).withColumn("time", shown).write.mode("append").options(header=True, emptyValue="").csv(folder)
+    rows = read_logs(spark, folder, with_order=True)
+    return fw.clean_logs(rows, vote_by="_path").select("event_id", F.col("time").cast("timestamp").alias("time"))
+
+
+@query
+def flow_order(spark, sf):
+    """The flow table as it stands in the files: a row's number in them."""
+    path = scratch_path(spark, "ordered")
+    tables.write_flows(_flows(spark, sf), path)
+    return read_rules(spark, path).select("_row", "srcname", "dstname", "dstportname", F.col("count").cast("long").alias("count"))
+
+
+@query
+def summary_lines(spark, sf):
+    """The text summary of a log, line by line."""
+    path = scratch_path(spark, "summary")
+    tables.write_summary(materialise(_rounded(_flows(spark, sf)), "flows"), path)
+    return _lines_in_order(spark, path)
+
+
+@query
+def suggestion_lines(spark, sf):
+    """Two appended scripts: rules for chosen flows, one under a name and a comment of its own."""
+    names = dep.known_names(ad.flow_names(spark, sf), None)
+    found = materialise(
+        suggestions.suggest_rules(_flows(spark, sf), names, k=6, ranks=[1, 3, 6], names={3: "third"}, comments={3: "why not"}), "suggested"
+    )
+    path = scratch_path(spark, "script")
+    for at in ("T1", "T2"):
+        write_lines(scripts.suggested_rule_lines(found, generated_at=at), path, mode="append")
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def flow_exact_totals(spark, sf):
     """Volumes beyond 2**53, summed without rounding."""
@@ -150,6 +252,47 @@ def rule_classify(spark, sf):
     return rules.select("_row", fl.rule_kind(rules).alias("kind"), dropped_service(rules).alias("dropped_service"))
 
 
+@query
+def nat_signs(spark, sf):
+    """Each of the four signs of a NAT rule, and rules with none."""
+    n = F.col("_row")
+    rules = ad.rules(spark, sf).select(
+        "_row",
+        F.when(n % 5 == 0, "My_NAT_slot").otherwise("local_filter_slot_09").alias("type_slot"),
+        F.when(n % 7 == 0, " Nat ").otherwise(F.col("action")).alias("action"),
+        F.when(n % 11 == 0, F.col("from_src")).when(n % 13 == 0, " ").otherwise("").alias("nat_from_target"),
+        F.when(n % 17 == 0, F.col("to_dest")).alias("nat_to_target"),
+        F.when(n % 3 == 0, F.col("from_src")).otherwise("").alias("natsrctarget"),
+    )
+    return rules.select("_row", fl.rule_kind(rules).alias("kind"))
+
+
+@query
+def rule_slots(spark, sf):
+    """Slots from three headers, blank ones and such that are no numbers."""
+    n = F.col("_row")
+    rules = ad.rules(spark, sf).select(
+        "_row", n.alias("position"), F.lit("r").alias("rule_name"), F.lit("a").alias("from_src"), F.lit("pass").alias("action"),
+        F.when(n % 2 == 0, " ").when(n % 9 == 1, "x").otherwise((n % 8).cast("string")).alias("policy"),
+        F.when(n % 3 == 0, "+7").when(n % 3 == 1, "1.5").alias("slot"),
+        F.lit("4").alias("index"),
+    )
+    return render(rules, "position", kind="FILTER").select("_row", "command", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def long_commands(spark, sf):
+    """Commands of 1023, 1024 and 1025 characters."""
+    n = F.col("_row")
+    rules = ad.rules(spark, sf).select(
+        "_row", n.alias("position"), F.lit("r").alias("rule_name"), F.lit("a").alias("from_src"), F.lit("b").alias("to_dest"),
+        F.lit("c").alias("service"), F.lit("pass").alias("action"),
+        F.repeat(F.lit("x"), (902 - F.length(n.cast("string")) + n % 3).cast("int")).alias("comment"),
+    )
+    made = render(rules, "position", kind="FILTER")
+    return made.select("_row", F.length("command").cast("long").alias("chars"), F.col("error").isNotNull().alias("failed"))
+
+
 @query
 def rule_action(spark, sf):
     return ad.rules(spark, sf).select("_row", fl.coerced_action(F.col("action")).alias("action"))
@@ -188,6 +331,13 @@ def host_objects_list(spark, sf):
     return host_objects(ad.address_rules(spark, sf)).select("ip", "name", "command")
 
 
+@query
+def host_order(spark, sf):
+    """Host objects by the order in which a script lists them: that of their addresses as text."""
+    hosts = host_objects(ad.address_rules(spark, sf))
+    return number_rows(hosts.select("ip", "rank"), "rank", out="n").select("ip", "n")
+
+
 @query
 def host_substitution(spark, sf):
     """Commands in which generated host objects stand for their addresses."""
@@ -222,6 +372,19 @@ def rule_files_scan(spark, sf):
     return read_rules(spark, [then, first]).select("_row", "key", "type_slot", "action", "comment")
 
 
+@query
+def rule_file_names(spark, sf):
+    """Rules of two folders: whether the name is a file's own, and whether lines of a file count its rows from 1."""
+    paths = [scratch_path(spark, "named") for _ in range(2)]
+    for i, path in enumerate(paths):
+        ad.rules(spark, sf).filter(F.col("_row") % 2 == i).select("rule_name", F.col("_row").cast("string").alias("key")).write.options(header=True, emptyValue="").csv(path)
+    rows = read_rules(spark, paths)
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.max("_line").alias("last"), F.min("_line").alias("first"), F.countDistinct("_line").alias("lines"))
+    known = rows.join(F.broadcast(files) if fits_broadcast(files) else files, "_file")
+    own = F.col("_file").rlike("^part-[0-9]+-[^/]+[.]csv$")
+    return known.select("key", own.alias("own_name"), ((F.col("first") == 1) & (F.col("last") == F.col("n")) & (F.col("lines") == F.col("n"))).alias("counted"))
+
+
 @query
 def name_lists(spark, sf):
     """Object and interface names out of list lines."""
@@ -426,6 +589,30 @@ def missing_script(spark, sf):
     return scripts.missing_rules_script(found, generated_at="T").select("part", "ord", "sub", "line")
 
 
+@query
+def missing_summary(spark, sf):
+    """The table of missing rules as it is read back from its file."""
+    path = scratch_path(spark, "missing")
+    tables.write_missing_summary(comparison.missing_rules(ad.rules(spark, sf), ad.final_rules(spark, sf)), path)
+    return spark.read.options(header=True, sep=";", escape='"').csv(path).fillna("")
+
+
+@query
+def blank_rules(spark, sf):
+    """Rules of which a third say neither action nor source nor destination and are no duplicates of each other."""
+    blank = F.col("_row") % 3 == 0
+    rules = ad.rules(spark, sf)
+    emptied = [F.when(blank, F.lit("")).otherwise(F.col(c)).alias(c) if c in ("action", "from_src", "to_dest") else F.col(c) for c in rules.columns]
+    found = duplicates.duplicate_groups(rules.select(*emptied).withColumn("service", F.lit("")))
+    return found.select("kind", *duplicates.SIGNATURE, "n", "first_line")
+
+
+@query
+def dup_report_nat(spark, sf):
+    members = materialise(duplicates.duplicate_members(ad.rules(spark, sf), with_nat_lines=True), "members")
+    return scripts.duplicate_report(members, duplicates.NAT).select("first_row", "sub", "place", "line")
+
+
 @query
 def dup_report(spark, sf):
     members = materialise(duplicates.duplicate_members(ad.rules(spark, sf)), "members")

@@ -18,6 +18,7 @@ from wallflow.plans.suggestions import suggest_rules
 from wallflow.session import materialise, scratch
 from wallflow.sinks import scripts, tables
 from wallflow.sinks.lines import write_lines
+from wallflow.sources.listing import ReadReport
 from wallflow.sources.logs import ORDER, read_logs
 from wallflow.sources.names import newest_lists, read_interfaces, read_objects
 from wallflow.sources.rules import read_rules
@@ -28,10 +29,22 @@ def _now(generated_at: str | None) -> str:
 
 
 def _rules(
-    spark: SparkSession, paths: str | Sequence[str], multi_line: bool | None, may_be_empty: bool = False
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    multi_line: bool | None,
+    may_be_empty: bool = False,
+    report: ReadReport | None = None,
 ) -> DataFrame:
     """Rules of the files, parsed and numbered once for all passes over them."""
-    return materialise(read_rules(spark, paths, multi_line=multi_line, may_be_empty=may_be_empty), "rules")
+    return materialise(read_rules(spark, paths, multi_line=multi_line, may_be_empty=may_be_empty, report=report), "rules")
+
+
+def _newest(
+    spark: SparkSession, folder: str | None, objects: str | None, interfaces: str | None
+) -> tuple[str | None, str | None]:
+    """The lists to check against: the newest of ``folder`` where none are named."""
+    newest = newest_lists(spark, folder) if folder else ("", "")
+    return objects or newest[0] or None, interfaces or newest[1] or None
 
 
 def _known(spark: SparkSession, objects: str | None, interfaces: str | None) -> DataFrame:
@@ -47,10 +60,18 @@ def analyse_logs(
     multi_line: bool | None = None,
     same_header: bool = False,
     k: int = 10,
+    exact: bool = True,
+    vote: bool = False,
+    report: ReadReport | None = None,
 ) -> DataFrame:
-    """Write ``analyzed_logs`` and ``analysis_summary``; return the flow table."""
-    logs = read_logs(spark, path, multi_line=multi_line, same_header=same_header, with_order=True)
-    flows = materialise(flow_rollup(logs, tie_break=ORDER, time_formats=time_formats), "flows")
+    """Write ``analyzed_logs`` and ``analysis_summary``; return the flow table.
+
+    Volumes are summed exactly unless ``exact`` is off. ``vote`` finds the time
+    pattern of each file. Files left out are listed in ``report``.
+    """
+    logs = read_logs(spark, path, multi_line=multi_line, same_header=same_header, with_order=True, report=report)
+    rollup = flow_rollup(logs, tie_break=ORDER, time_formats=time_formats, exact=exact, vote_by=ORDER[0] if vote else None)
+    flows = materialise(rollup, "flows")
     tables.write_flows(flows, f"{out}/analyzed_logs")
     tables.write_summary(flows, f"{out}/analysis_summary", k)
     return flows
@@ -62,14 +83,17 @@ def append_suggestions(
     *,
     objects: str | None = None,
     interfaces: str | None = None,
+    reference_folder: str | None = None,
     generated_at: str | None = None,
     only_complete: bool = True,
     **options,
 ) -> DataFrame:
     """Append rules for the top flows to ``generated_rules_from_logs``.
 
-    ``only_complete`` leaves out those that use unknown names.
+    ``only_complete`` leaves out those that use unknown names; known are those
+    of the lists named, or of the newest ones in ``reference_folder``.
     """
+    objects, interfaces = _newest(flows.sparkSession, reference_folder, objects, interfaces)
     found = materialise(suggest_rules(flows, _known(flows.sparkSession, objects, interfaces), **options), "suggested")
     chosen = found.filter("size(missing) = 0") if only_complete else found
     text = scripts.suggested_rule_lines(chosen, generated_at=_now(generated_at))
@@ -93,15 +117,16 @@ def convert_files(
     group_by_10: bool = True,
     multi_line: bool | None = None,
     generated_at: str | None = None,
+    report: ReadReport | None = None,
 ) -> dict[str, int]:
-    """Write ``rules_safe``, ``rules_pending`` and ``dependencies_missing``; return the counters."""
+    """Write ``rules_safe``, ``rules_pending`` and ``dependencies_missing``; return the counters.
+
+    Rule files left out are listed in ``report``.
+    """
     at = _now(generated_at)
-    if reference_folder:
-        # The newest lists of the folder, where none are named.
-        newest = newest_lists(spark, reference_folder)
-        objects, interfaces = objects or newest[0] or None, interfaces or newest[1] or None
+    objects, interfaces = _newest(spark, reference_folder, objects, interfaces)
     with scratch(spark):
-        rules = _rules(spark, paths, multi_line)
+        rules = _rules(spark, paths, multi_line, report=report)
         converted = materialise(
             convert_rules(
                 rules, _known(spark, objects, interfaces),
@@ -134,6 +159,7 @@ def compare_files(
     start: int = 1,
     multi_line: bool | None = None,
     generated_at: str | None = None,
+    report: ReadReport | None = None,
 ) -> int:
     """Write ``missing_rules_commands`` and ``missing_rules_summary``; return the number missing.
 
@@ -141,8 +167,8 @@ def compare_files(
     A final set without rules means that all are missing.
     """
     with scratch(spark):
-        source = _rules(spark, source_paths, multi_line)
-        final = _rules(spark, final_path, multi_line, may_be_empty=True)
+        source = _rules(spark, source_paths, multi_line, report=report)
+        final = _rules(spark, final_path, multi_line, may_be_empty=True, report=report)
         missing = materialise(missing_rules(source, final, start=start), "missing")
         commands = materialise(commands_for_missing(missing, slot=slot), "commands")
         counts = commands.agg(F.count(F.lit(1)).alias("n"), F.count("command").alias("built")).first()
@@ -156,14 +182,21 @@ def compare_files(
 
 
 def find_duplicates_in_files(
-    spark: SparkSession, paths: Sequence[str], out: str, *, slot: int = 9, is_global: bool = False, multi_line: bool | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    out: str,
+    *,
+    slot: int = 9,
+    is_global: bool = False,
+    multi_line: bool | None = None,
+    report: ReadReport | None = None,
 ) -> dict[str, int]:
     """Write both duplicate reports and, if anything is to go, the removal script.
 
     Returns the number of groups of each kind and of removal commands.
     """
     with scratch(spark):
-        rules = _rules(spark, paths, multi_line)
+        rules = _rules(spark, paths, multi_line, report=report)
         members = materialise(duplicate_members(rules, with_nat_lines=True), "members")
         for kind, name in ((FILTER, "duplicate_rules_report"), (NAT, "duplicate_nat_report")):
             write_lines(scripts.duplicate_report(members, kind), f"{out}/{name}", scripts.REPORT_ORDER)

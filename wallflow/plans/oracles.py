@@ -390,4 +390,85 @@ UNION ALL SELECT _row, 5, _row, '| File | Line | Rule Name |' FROM heads
 UNION ALL SELECT _row, 6, _row, '|---|---|---|' FROM heads
 UNION ALL SELECT _row, sub, _row, CASE sub WHEN 1 THEN '---' ELSE '' END
 FROM heads, (VALUES (0), (1), (2)) v(sub) WHERE _row <> (SELECT min(_row) FROM heads)""",
+    "log_packed_scan": f"""WITH {DIRTY}
+SELECT CAST(event_id AS VARCHAR) AS event_id, srcname, dstname, CAST(rcvd AS DOUBLE) AS rcvd, sent,
+  CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'a' || chr(10) || 'b,c' ELSE 'd' END AS said
+FROM dirty WHERE srcname IS NOT NULL AND time IS NOT NULL""",
+    "log_bytes": f"""WITH {DIRTY}
+SELECT CAST(event_id AS VARCHAR) AS event_id, srcname, said, hex(encode(said)) AS bytes FROM (
+  SELECT *, CASE event_id % 3 WHEN 0 THEN 'a' || chr(65533) || 'é' WHEN 1 THEN chr(65533) ELSE 'plain' END AS said FROM dirty)
+WHERE srcname IS NOT NULL AND time IS NOT NULL""",
+    "log_time_formats": f"""WITH {DIRTY}
+SELECT CAST(event_id AS VARCHAR) AS event_id, date_trunc('second', time) AS time FROM dirty WHERE srcname IS NOT NULL AND time IS NOT NULL""",
+    "flow_order": f"""WITH {LOGS}, {_flows('logs')}
+SELECT row_number() OVER (ORDER BY srcname, dstname, dstportname) AS _row, srcname, dstname, dstportname, count FROM flows""",
+    "summary_lines": f"""WITH {LOGS}, {_flows('logs')}, rounded AS (
+  SELECT srcname, dstname, dstportname, count, round(total_rcvd, 2) + round(total_sent, 2) AS traffic,
+    round(total_rcvd, 2) AS total_rcvd, round(total_sent, 2) AS total_sent FROM flows
+), by_count AS (
+  SELECT row_number() OVER (ORDER BY count DESC, srcname, dstname, dstportname) AS k,
+    [srcname, dstname, dstportname, CAST(count AS VARCHAR)] AS cells FROM rounded QUALIFY k <= 10
+), top AS (
+  SELECT row_number() OVER (ORDER BY traffic DESC, srcname, dstname, dstportname) AS k, * FROM rounded QUALIFY k <= 10
+), shown AS (
+  SELECT *, [regexp_replace(printf('%.6f', v), '0+$', '') FOR v IN [traffic, total_rcvd, total_sent]] AS texts FROM top
+), places AS (
+  SELECT list(p ORDER BY i) AS p, list(whole ORDER BY i) AS whole FROM (
+    SELECT i, greatest(1, max(len(split_part(texts[i], '.', 2)))) AS p, bool_and(v[i] = floor(v[i])) AS whole
+    FROM (SELECT *, [traffic, total_rcvd, total_sent] AS v FROM shown), range(1, 4) t(i) GROUP BY i)
+), by_traffic AS (
+  SELECT k, [srcname, dstname, dstportname] || [CASE WHEN whole[i] THEN CAST(CAST(v[i] AS BIGINT) AS VARCHAR)
+    ELSE printf('%.' || p[i] || 'f', v[i]) END FOR i IN range(1, 4)] AS cells
+  FROM (SELECT *, [traffic, total_rcvd, total_sent] AS v FROM top), places
+), heads AS (
+  SELECT 7 AS base, 0 AS k, ['srcname', 'dstname', 'dstportname', 'count'] AS cells UNION ALL SELECT 7, * FROM by_count
+  UNION ALL SELECT 21, 0, ['srcname', 'dstname', 'dstportname', 'total_traffic', 'total_rcvd', 'total_sent']
+  UNION ALL SELECT 21, * FROM by_traffic
+), wide AS (
+  SELECT h.*, w FROM heads h JOIN (SELECT base, list(w ORDER BY i) AS w FROM (
+    SELECT base, i, max(len(cells[i])) AS w FROM heads, range(1, 7) t(i) GROUP BY base, i) GROUP BY base) USING (base)
+)
+SELECT base + k + 1 AS _row, array_to_string([CASE WHEN i > 3 THEN '  ' WHEN i > 1 THEN ' ' ELSE '' END
+  || lpad(cells[i], CAST(w[i] AS INTEGER), ' ') FOR i IN range(1, len(cells) + 1)], '') AS line FROM wide
+UNION ALL SELECT i, t FROM (VALUES (1, 'Firewall Log Analysis Summary'), (2, repeat('=', 30)),
+  (3, 'Total rows processed: ' || (SELECT sum(count) FROM flows)),
+  (4, 'Total unique flows identified: ' || (SELECT count(*) FROM flows)), (5, ''),
+  (6, 'Top 10 Flows by Count:'), (7, repeat('-', 25)), (19, ''),
+  (20, 'Top 10 Flows by Total Traffic (Received + Sent):'), (21, repeat('-', 50))) v(i, t)""",
+    "suggestion_lines": f"""WITH {LOGS}, {_flows('logs')},
+top AS (
+  SELECT row_number() OVER (ORDER BY count DESC, srcname, dstname, dstportname) AS rank, * FROM flows QUALIFY rank IN (1, 3, 6)
+), lines AS (
+  SELECT unnest(['# Rule generated from log analysis on T1', '# Rule generated from log analysis on T2', '', '']) AS line FROM top
+  UNION ALL SELECT unnest([c, c]) FROM (SELECT 'CONFIG FILTER RULE INSERT index=9 type=filter position=1 rulename='
+    || CASE rank WHEN 3 THEN 'third comment="why not"' ELSE '"Rule for ' || srcname || ' to ' || dstname || '"' END
+    || ' action=pass service=' || dstportname || ' srctarget=' || srcname || ' dsttarget=' || dstname AS c FROM top)
+)
+SELECT line, count(*) AS n FROM lines GROUP BY line""",
+    "rule_file_names": "SELECT CAST(o_orderkey + 1 AS VARCHAR) AS key, true AS own_name, true AS counted FROM orders",
+    "nat_signs": f"""WITH {RULES}
+SELECT _row, CASE WHEN _row % 5 = 0 OR _row % 7 = 0 OR _row % 11 = 0 OR _row % 17 = 0 THEN 'NAT' ELSE 'FILTER' END AS kind FROM rules""",
+    "rule_slots": f"""WITH {RULES}, slots AS (
+  SELECT _row, CASE WHEN _row % 2 = 0 THEN CASE _row % 3 WHEN 0 THEN '7' WHEN 1 THEN 'bad' ELSE '4' END
+    WHEN _row % 9 = 1 THEN 'bad' ELSE CAST(_row % 8 AS VARCHAR) END AS slot FROM rules
+)
+SELECT _row, slot = 'bad' AS failed, CASE WHEN slot <> 'bad' THEN 'CONFIG FILTER RULE INSERT index=' || slot
+  || ' type=filter position=' || _row || ' rulename=r action=pass srctarget=a' END AS command FROM slots""",
+    "long_commands": f"""WITH {RULES}
+SELECT _row, CASE WHEN _row % 3 < 2 THEN 1023 + _row % 3 END AS chars, _row % 3 = 2 AS failed FROM rules""",
+    "host_order": f"WITH {HOSTS} SELECT ip, row_number() OVER (ORDER BY ip COLLATE C) AS n FROM hosts",
+    "missing_summary": f"WITH {FINAL_IDS[:-2]} SELECT rule_name, from_src, to_dest, service, action, comment FROM missing",
+    "blank_rules": f"""WITH {SIGNATURES}, said AS (SELECT * FROM signatures WHERE _row % 3 <> 0)
+SELECT kind, source, destination, 'any' AS port, protocol, action, count(*) AS n, min(_row) AS first_line FROM said
+GROUP BY ALL HAVING count(*) > 1""",
+    "dup_report_nat": f"""WITH {SIGNATURES}, dups AS (SELECT * FROM members WHERE n > 1 AND kind = 'nat'),
+heads AS (SELECT * FROM dups WHERE _row = first_line),
+nat AS (SELECT _row, row_number() OVER (ORDER BY _row) AS nat_line FROM rules WHERE kind = 'NAT')
+SELECT first_line AS first_row, 7 AS sub, nat_line AS place,
+  '| `N/A` | `' || _row || '` | `' || nat_line || '` | `' || name || '` |' AS line FROM dups JOIN nat USING (_row)
+UNION ALL SELECT _row, sub, nat_line, CASE sub WHEN 3 THEN '### Duplicate - Signature: (Source: `' || source || '`, Destination: `' || destination
+  || '`, Port: `' || port || '`, Protocol: `' || protocol || '`, Action: `' || action || '`)'
+  WHEN 5 THEN '| File | Line (File) | Line (NAT) | Rule Name |' WHEN 6 THEN '|---|---|---|---|' WHEN 1 THEN '---' ELSE '' END
+FROM heads JOIN nat USING (_row), (VALUES (0), (1), (2), (3), (4), (5), (6)) v(sub)
+WHERE sub >= 3 OR _row <> (SELECT min(_row) FROM heads)""",
 }

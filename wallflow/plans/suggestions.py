@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,15 +13,30 @@ from wallflow.operators.rendering import render
 
 
 def suggest_rules(
-    flows: DataFrame, known: DataFrame, *, k: int = 10, action: str = "pass", slot: int = 9, position: int = 1
+    flows: DataFrame,
+    known: DataFrame,
+    *,
+    k: int = 10,
+    action: str = "pass",
+    slot: int = 9,
+    position: int = 1,
+    ranks: Sequence[int] | None = None,
+    names: Mapping[int, str] | None = None,
+    comments: Mapping[int, str] | None = None,
 ) -> DataFrame:
     """One rule per top flow: what it lacks, and its command if it can be built.
 
-    Only ``k`` rows get this far, so ranking them in one task is no burden.
+    ``ranks`` (1 is the busiest flow) chooses which of the ``k`` become rules;
+    ``names`` and ``comments`` give the rules of some ranks a name or another
+    comment. Only ``k`` rows get this far, so ranking them in one task is no burden.
     """
+    wanted = [r for r in range(1, k + 1) if ranks is None or r in set(ranks)]
     top = top_by_count(flows, k).withColumn(
         "_row", F.row_number().over(Window.orderBy(F.desc("count"), *KEYS)).cast("long")
     )
+    said = [(r, (names or {}).get(r, ""), (comments or {}).get(r)) for r in wanted]
+    about = flows.sparkSession.createDataFrame(said, "_row long, rule_name string, _said string")
+    top = top.join(F.broadcast(about), "_row")
     rules = top.select(
         "_row",
         *KEYS,
@@ -28,10 +45,11 @@ def suggest_rules(
         F.col("dstname").alias("to_dest"),
         F.col("dstportname").alias("service"),
         F.lit(action).alias("action"),
-        F.concat(F.lit("Rule for "), F.col("srcname"), F.lit(" to "), F.col("dstname")).alias("comment"),
+        "rule_name",
+        F.coalesce("_said", F.concat(F.lit("Rule for "), F.col("srcname"), F.lit(" to "), F.col("dstname"))).alias("comment"),
         F.lit(position).cast("long").alias("position"),
     )
-    fields = rules.select("_row", "from_src", "to_dest", "service", "action", "comment", "position", *KEYS, "count")
+    fields = rules.select("_row", "rule_name", "from_src", "to_dest", "service", "action", "comment", "position", *KEYS, "count")
     missing = (
         missing_references(rules, known)
         .groupBy("_row")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from wallflow.functions.fields import named
 from wallflow.operators.flows import flow_totals, sorted_flows, top_by_count, top_by_traffic
@@ -18,7 +20,7 @@ _CSV = {"header": True, "escape": '"', "emptyValue": "", "nullValue": ""}
 
 
 def whole_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
-    """Those of the double columns that hold whole numbers only."""
+    """Those of the columns that hold whole numbers only."""
     checks = [F.coalesce(F.every(F.col(c) == F.floor(c)), F.lit(True)).alias(c) for c in columns]
     row = df.agg(*checks).first()
     return {c for c in columns if row[c]}
@@ -27,8 +29,11 @@ def whole_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
 def write_flows(flows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Flow table as CSV in key order. Whole totals are written without decimals."""
     whole = whole_columns(flows, TOTALS)
+    # A decimal loses the zeros on its end, but for one place.
+    exact = [c for c in TOTALS if isinstance(flows.schema[c].dataType, DecimalType)]
     shown = {
-        **{c: F.col(c).cast("long") for c in whole},
+        **{c: F.regexp_replace(F.col(c).cast("string"), r"(\.[0-9]+?)0+$", "$1") for c in exact},
+        **{c: F.col(c).cast("decimal(38,0)") for c in whole},
         **{c: F.col(c).cast("string") for c in ("min_time", "max_time")},
     }
     out = sorted_flows(flows).select(*[shown.get(c, named(c)).alias(c) for c in flows.columns])
@@ -40,8 +45,8 @@ def _table(rows: Sequence[Row], columns: Sequence[str]) -> str:
     texts, gaps = [], []
     for c in columns:
         values = [r[c] for r in rows]
-        numeric = any(isinstance(v, int | float) for v in values)
-        if any(isinstance(v, float) for v in values):
+        numeric = any(isinstance(v, int | float | Decimal) for v in values)
+        if any(isinstance(v, float | Decimal) for v in values):
             if all(v == int(v) for v in values):
                 values = [int(v) for v in values]
             else:
