@@ -205,3 +205,10 @@ def test_plan_moves_the_rules_once(spark, tmp_path):
     assert text.count("FileScan parquet") == 1 and "BroadcastHashJoin" in text
     assert sum("hashpartitioning(_block" in line for line in text.splitlines()) == 1
     assert not any("cmd_rest" in line for line in text.splitlines() if "SinglePartition" in line)
+
+
+def test_numbering_moves_no_rule_again(spark):
+    columns = ["from_src", "to_dest", "action", "comment"]
+    got = conversion.convert_rules(frame(spark, random_rules(5, 50, columns), columns), known(spark))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_block" not in plan and "SinglePartition" not in plan.split("BroadcastExchange")[0]

@@ -39,11 +39,15 @@ def test_written_out_comparison(spark):
     assert [r["note"] for r in rows.collect()] == [source[w[0] - 1].get("note") for w in want]
 
 
-def test_any_comparison(spark):
+def random_comparison():
     rng = random.Random(1)
     cells = {"from_src": ["a", "b", "c", ""], "to_dest": ["x", ""], "service": ["http", "", "ssh"], "action": ["pass", "Allow", ""]}
     made = lambda n: [{c: rng.choice(v) for c, v in cells.items()} for _ in range(n)]
-    source, final = made(90), made(12)
+    return made(90), made(12)
+
+
+def test_any_comparison(spark):
+    source, final = random_comparison()
     got = comparison.missing_rule_commands(frame(spark, source), frame(spark, final), start=5).orderBy("position").collect()
     ids = [(r["id_source"], r["id_destination"], r["id_service"], r["id_action"]) for r in got]
     key = lambda r: tuple(r[c] for c in IDENTITY)
@@ -186,3 +190,11 @@ def test_missing_references_by_row(spark):
     got = dependencies.missing_references(rules, universe).collect()
     assert sorted(tuple(r) for r in got) == sorted([("OBJECT", "a", 1), ("OBJECT", "b", 1), ("INTERFACE", "web", 1)]) or (
         sorted((r["_row"], r["kind"], r["name"]) for r in got) == [(1, "INTERFACE", "web"), (1, "OBJECT", "a"), (1, "OBJECT", "b")])
+
+
+def test_a_large_comparison_moves_only_blocks_with_missing_rules(spark, monkeypatch):
+    source, final = random_comparison()
+    want = sorted(tuple(r) for r in comparison.missing_rules(frame(spark, source), frame(spark, final)).collect())
+    for fits in (lambda df: False, lambda df: "_block" in df.columns):
+        monkeypatch.setattr(comparison, "fits_broadcast", fits)
+        assert sorted(tuple(r) for r in comparison.missing_rules(frame(spark, source), frame(spark, final)).collect()) == want

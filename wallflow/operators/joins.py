@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wallflow.session import materialise
@@ -16,6 +16,11 @@ BROADCAST_BYTES = 64 << 20
 # Keys with more rows than this are split over several tasks.
 ROWS_PER_TASK = 1_000_000
 
+# A sketch of key frequencies: as many keys in its memory, and as many reported
+# at most. A key that it misses is as slow as any skewed key, not wrong.
+TRACKED_KEYS = 100_000
+MOST_HOT = 10_000
+
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` is below both bounds. It is counted in full, by a sum of one row per task."""
@@ -36,24 +41,31 @@ def hot_keys(
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, hot: DataFrame, spread: str, **limits: int
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    hot: DataFrame,
+    spread: str,
+    hot_by: Sequence[str] = (),
+    **limits: int,
 ) -> DataFrame:
     """Equi-join whose hot keys are split by ``spread`` on the left side.
 
     ``right`` has one row per key; for a hot key it is repeated once per part.
-    Right for inner, left, left_semi and left_anti. Keys must not be null. The
-    list of hot keys is broadcast if it fits; if not, it is joined by shuffle,
+    Right for inner, left, left_semi and left_anti. Keys must not be null.
+    ``hot_by`` are the columns of ``hot`` if not the keys. The list of hot keys is broadcast if it fits; if not, it is joined by shuffle,
     where adaptive execution splits the left side.
     """
-    keys = list(keys)
+    keys, hot_by = list(keys), list(hot_by or keys)
     hot = materialise(hot, "hot-keys")
     hot = F.broadcast(hot) if fits_broadcast(hot, **limits) else hot
     part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64(spread), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
     )
-    left = left.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
+    left = left.join(hot, hot_by, "left").withColumn("_part", part).drop("_parts")
     right = (
-        right.join(hot, keys, "left")
+        right.join(hot, hot_by, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
         .drop("_parts")
     )
@@ -72,11 +84,19 @@ def lookup_join(
 ) -> DataFrame:
     """Join with a table of one row per key: broadcast if it fits, else salted.
 
+    One pass writes the lookups and finds their hot keys by an approximate top-k sketch.
     ``small`` passes on the result of an earlier ``fits_broadcast``.
     """
     if fits_broadcast(right, **limits) if small is None else small:
         return left.join(F.broadcast(right), list(keys), how)
-    # Read by the counts and by the join.
-    left = materialise(left, "lookups")
-    stats = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return salted_join(left, right, keys, how, hot_keys(stats, keys, "_n", rows_per_task), spread)
+    # While the lookups are written for the join, a sketch finds the keys that many of them share.
+    by_hash = F.xxhash64(*[F.col(k) for k in keys])
+    seen = Observation()
+    sketch = F.call_function("approx_top_k", by_hash, F.lit(MOST_HOT), F.lit(TRACKED_KEYS)).alias("top")
+    left = materialise(left.observe(seen, sketch), "lookups")
+    hot = [(r["item"], -(-r["count"] // rows_per_task)) for r in seen.get["top"] or [] if r["count"] > rows_per_task]
+    table = left.sparkSession.createDataFrame(hot, "_key long, _parts int")
+    out = salted_join(
+        left.withColumn("_key", by_hash), right.withColumn("_key", by_hash), [*keys, "_key"], how, table, spread, ["_key"]
+    )
+    return out.drop("_key")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wallflow.functions.fields import field_value, pick, rule_kind
-from wallflow.operators.ordering import number_rows
+from wallflow.operators.joins import fits_broadcast
+from wallflow.operators.ordering import block_of, number_rows
 from wallflow.operators.rendering import render
 from wallflow.session import materialise
 
@@ -50,10 +51,17 @@ def missing_rules(source: DataFrame, final: DataFrame, *, start: int = 1) -> Dat
 
     The first row of each missing identity is kept. Positions are consecutive.
     The thin table of identities is written out: numbering reads it twice, and
-    should not compare the sets twice.
+    should not compare the sets twice. The wide source stays where it is if the
+    rows to keep can be broadcast. If not, only those of its blocks that hold
+    one are moved.
     """
     missing = materialise(missing_identities(source, final).select("_row"), "identities")
-    firsts = number_rows(missing, "_row", out="position", start=start)
+    firsts = materialise(number_rows(missing, "_row", out="position", start=start), "positions")
+    if fits_broadcast(firsts):
+        return source.join(F.broadcast(firsts), "_row")
+    blocks = materialise(firsts.select(block_of(F.col("_row")).alias("_block")).distinct(), "blocks")
+    if fits_broadcast(blocks):
+        source = source.withColumn("_block", block_of(F.col("_row"))).join(F.broadcast(blocks), "_block", "left_semi").drop("_block")
     return source.join(firsts, "_row")
 
 

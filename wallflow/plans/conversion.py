@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wallflow.functions.fields import is_separator
@@ -22,6 +22,7 @@ from wallflow.operators.rendering import (
 from wallflow.session import materialise
 
 SAFE, PENDING = "SAFE", "PENDING"
+BEFORE = "safe_before_in_block"
 _RULE = "RULE"
 _HOST_NAME = "^H_[0-9]{1,3}(?:_[0-9]{1,3}){3}\\z"
 # What decides if a rule is safe, and what is only needed to show it. The second
@@ -158,11 +159,27 @@ def positioned_rules(checked: DataFrame, start: int = 1) -> DataFrame:
             needed = F.when(F.col("_row") >= first_row, F.lit(d)).otherwise(needed)
         safe = _candidate(digits) & (F.col("fits_digits") >= needed)
         totals = checked.groupBy("_block").agg(F.count_if(safe).alias("_total"))
-    flagged = checked.withColumn("safe", safe).withColumn("_amount", F.col("safe").cast("long"))
+    elif BEFORE in checked.columns:
+        # The place inside the block was counted when the rules were checked.
+        offsets = ordering.block_offsets(totals)
+        offsets = F.broadcast(offsets) if fits_broadcast(offsets) else offsets
+        placed = checked.withColumn("safe", safe).join(offsets, "_block")
+        return placed.withColumn("position", F.col(BEFORE) + F.col("_offset") + F.lit(start)).drop(BEFORE, "_offset", "_block")
+    flagged = checked.drop(BEFORE).withColumn("safe", safe).withColumn("_amount", F.col("safe").cast("long"))
     numbered = ordering.add_offsets(flagged, ordering.block_offsets(totals), "_row", "_before")
     return numbered.withColumn("position", F.col("_before") + F.lit(start)).drop("_before", "_amount")
 
 
+def counted_inside(checked: DataFrame, start: int) -> DataFrame:
+    """Add ``BEFORE``: the safe rules before a rule in its block, if no position is too long for its command.
+
+    Rules come here by block, so they are not moved for it.
+    """
+    inside = Window.partitionBy("_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    safe = _candidate(len(str(max(start, 0)))).cast("long")
+    return checked.withColumn(BEFORE, F.coalesce(F.sum(safe).over(inside), F.lit(0)))
+
+
 def convert_rules(
     rules: DataFrame,
     known: DataFrame,
@@ -179,10 +196,9 @@ def convert_rules(
     ``SAFE`` rules have a command and no missing name; their positions are
     dense from ``start``. A ``PENDING`` rule shows the position it would take.
     """
-    # Counted by block and then numbered; the rules themselves are read once.
-    checked = materialise(
-        checked_rules(rules, known, default_slot=default_slot, prefix=prefix, create_hosts=create_hosts), "checked"
-    )
+    # Counted inside blocks before they are written, so that numbering moves no rule again.
+    checked = checked_rules(rules, known, default_slot=default_slot, prefix=prefix, create_hosts=create_hosts)
+    checked = materialise(counted_inside(checked, start), "checked")
     position = F.col("position")
     command = finished_command(position, prefix)
     return positioned_rules(checked, start).select(
