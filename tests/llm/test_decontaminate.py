@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,12 @@ def test_empty_tables(docs, bench):
 def test_no_python_in_the_plan(docs, bench):
     plan = leaks(docs([(1, ITEM)]), bench([(1, ITEM)]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_text_of_many_numbers(docs, bench):
+    rng = random.Random(3)
+    item = "How much is " + ", ".join(str(rng.randrange(100)) for _ in range(40)) + " together in the end?"
+    figures = " ".join(str(rng.randrange(1000)) for _ in range(20_000))
+    rows = [(1, figures), (2, figures[:40_000] + " " + item), (3, "no figures at all")]
+    got = {r.doc_id: r.agreement for r in leaks(docs(rows), bench([(1, item)])).collect()}
+    assert got[2] == 1.0 and 3 not in got

@@ -120,32 +120,32 @@ def leaks(
     ids = F.broadcast(ids) if few else ids
     found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").distinct()
     found = found.select("doc_id", template(F.col("text")).alias("_t"), values(F.col("text")).alias("_v"))
-    spots = places.select(F.col("doc_id").alias("_hit"), "item_id", "start")
+    # All places of an item in a text are one row; they are fewer than its tokens.
+    spots = places.groupBy(F.col("doc_id").alias("_hit"), "item_id").agg(F.collect_set("start").alias("_starts"))
     items = benchmark.select("item_id", template(text_of()).alias("_it"), values(text_of()).alias("_iv")).distinct()
     laid = found.join(spots, F.col("doc_id").eqNullSafe(F.col("_hit"))).drop("_hit")
     laid = laid.join(F.broadcast(items) if small else items, "item_id")
     steps = F.sequence(F.lit(1), F.size("_it"))
-    there = lambda i: F.get("_t", i + F.col("start") - 1)
-    agree = F.filter(steps, lambda i: F.coalesce(there(i) == F.element_at("_it", i), F.lit(False)))
     slot = lambda i: F.element_at("_it", i).isin(NUMBER, NAME, UNIT)
-    pairs = F.array_distinct(
-        F.transform(
+
+    def score(start: Column) -> Column:
+        there = lambda i: F.get("_t", i + start - 1)
+        agree = F.filter(steps, lambda i: F.coalesce(there(i) == F.element_at("_it", i), F.lit(False)))
+        filled = F.transform(
             F.filter(agree, slot),
-            lambda i: F.struct(
-                F.element_at("_iv", i).alias("item"), F.get("_v", i + F.col("start") - 1).alias("here")
-            ),
+            lambda i: F.struct(F.element_at("_iv", i).alias("item"), F.get("_v", i + start - 1).alias("here")),
         )
+        pairs = F.array_distinct(filled)
+        # A value of the item that is filled in two ways shows as one item value in two pairs.
+        consistent = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"])))
+        agreement = (F.size(agree) / F.size("_it")).alias("agreement")
+        return F.struct(agreement, (-start).alias("back"), consistent.alias("consistent"))
+
+    scores = F.filter(F.transform("_starts", score), lambda x: x["consistent"] & (x["agreement"] >= min_agreement))
+    top = laid.select("doc_id", "item_id", F.array_max(scores).alias("_top"), F.size(F.filter(steps, slot)).alias("slots"))
+    scored = top.filter("_top IS NOT NULL").select(
+        "doc_id", "item_id", F.col("_top.agreement").alias("agreement"), (-F.col("_top.back")).alias("start"), "slots"
     )
-    # A value of the item that is filled in two ways shows as one item value in two pairs.
-    consistent = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"])))
-    scored = laid.select(
-        "doc_id",
-        "item_id",
-        "start",
-        (F.size(agree) / F.size("_it")).alias("agreement"),
-        F.size(F.filter(steps, slot)).alias("slots"),
-        consistent.alias("_consistent"),
-    ).filter(F.col("_consistent") & (F.col("agreement") >= min_agreement))
     best = F.max(F.struct("agreement", -F.col("start"), "slots")).alias("_best")
     return (
         scored.groupBy("doc_id", "item_id")
