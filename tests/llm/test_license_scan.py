@@ -111,3 +111,10 @@ def test_wrapped_and_hyphenated_names(docs):
     texts = ["Creative\nCommons Attribution 4.0", "Creative  Commons Attribution 4.0", "cc-by-sa 4.0", "european-union public licence", "See the file COPYING for details"]
     got = scan_licenses(docs(list(enumerate(texts)))).orderBy("doc_id").collect()
     assert all(r.labels for r in got), [r.labels for r in got]
+
+
+def test_notice_wrapped_in_its_gap(docs):
+    notice = "Neither the name of {}nor the names of its contributors may be used to endorse or promote products"
+    rows = [(i, notice.format(x)) for i, x in enumerate(["Foo Inc ", "Foo\nInc ", "the University of\n * Foo\r\n * "])]
+    got = scan_licenses(docs(rows)).collect()
+    assert all("bsd-3-clause" in r.labels for r in got)

@@ -63,8 +63,9 @@ def detections(text: Column, plain: Column, table: list[dict]) -> Column:
 
     ``plain`` is the text with one space between its words.
     """
+    # A point in a rule is any character, a line break too.
     known = F.from_json(
-        F.lit(json.dumps([{**rule, "keyword": keyword(rule)} for rule in table])), "array<struct<label: string, priority: int, keyword: string, regex: string>>"
+        F.lit(json.dumps([{**rule, "keyword": keyword(rule), "regex": f"(?s){rule['regex']}"} for rule in table])), "array<struct<label: string, priority: int, keyword: string, regex: string>>"
     )
     none = F.lit(None).cast(f"array<{_HIT}>")
 
