@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from wallflow.llm.packing import Tokens, best_fit, local_search, pack, sequences
+from wallflow.llm.packing import Tokens, _improved, best_fit, local_search, pack, sequences
 
 tokenizers = pytest.importorskip("public_tokenizers")
 PATH = tokenizers.path("byte_bpe_50k.json")
@@ -122,3 +122,18 @@ def test_sequences_hold_the_tokens(docs):
 
 def test_empty_table(docs):
     assert pack(docs([]), PATH).collect() == []
+
+
+def test_search_ends_where_no_two_bins_can_be_improved():
+    rng = random.Random(6)
+    lengths = Counter(rng.randrange(20, 70) for _ in range(200))
+    first = best_fit(lengths, 100)
+    bins = local_search(first, 100)
+    total = sum(x * n for x, n in lengths.items())
+    assert -(-total // 100) <= sum(bins.values()) <= sum(first.values())
+    if sum(bins.values()) > -(-total // 100):
+        kinds = [c for c in bins if sum(c) < 100]
+        for a in kinds:
+            for b in kinds:
+                if (a != b or bins[a] > 1) and (-sum(a), a) <= (-sum(b), b):
+                    assert _improved(a, b, 100) is None

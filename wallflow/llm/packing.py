@@ -16,6 +16,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -30,7 +31,6 @@ from wallflow.session import map_arrow, materialise
 
 CAPACITY = 1_024
 END_ID = 2
-SEARCH_STEPS = 20_000
 
 # Fixed value: the pre-tokens of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -99,42 +99,39 @@ def _improved(a: tuple[int, ...], b: tuple[int, ...], capacity: int) -> tuple[tu
     return as_bin(fuller), as_bin(other)
 
 
-def local_search(bins: Bins, capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> Bins:
-    """Improve underfull bins until no step increases squared fill, or after ``steps`` looks at a pair of bins.
+def local_search(bins: Bins, capacity: int = CAPACITY) -> Bins:
+    """Improve underfull bins until no step between any two of them increases squared fill, or no bin can be spared.
 
-    Equal bins make the same step at once, so the number of documents does not matter.
+    A bin is held against all others once, the emptiest first, and again only
+    when it is made anew. Equal bins make the same step at once, so the number
+    of documents does not matter.
     """
-    bins, open_bins = Counter(bins), None
-    while steps > 0:
-        total = sum(sum(c) * n for c, n in bins.items())
-        if sum(bins.values()) <= -(-total // capacity):
-            break
-        open_bins = sorted((c for c in bins if sum(c) < capacity), key=lambda c: (-sum(c), c))
-        changed = False
-        # The emptiest bins give, the fuller ones take.
-        for b in reversed(open_bins):
-            for a in open_bins:
-                if a == b and bins[a] < 2 or sum(a) < sum(b):
+    bins = Counter(bins)
+    fewest = -(-sum(sum(c) * n for c, n in bins.items()) // capacity)
+    fullest = lambda c: (-sum(c), c)
+    waiting = [(sum(c), c) for c in bins if sum(c) < capacity]
+    heapify(waiting)
+    while waiting and sum(bins.values()) > fewest:
+        _, bin_ = heappop(waiting)
+        # A bin may wait twice, or be gone.
+        while bins[bin_]:
+            for other in sorted((c for c in bins if bins[c] and sum(c) < capacity), key=fullest):
+                a, b = sorted((bin_, other), key=fullest)
+                if a == b and bins[a] < 2:
                     continue
-                steps -= 1
                 pair = _improved(a, b, capacity)
-                if pair is None:
-                    if steps <= 0:
-                        break
-                    continue
-                n = bins[a] // 2 if a == b else min(bins[a], bins[b])
-                for old in (a, b):
-                    bins[old] -= n
-                for new in pair:
-                    if new:
-                        bins[new] += n
-                bins = +bins
-                changed = True
-                break
-            if changed or steps <= 0:
+                if pair is not None:
+                    break
+            else:
                 break
-        if not changed:
-            break
+            n = bins[a] // 2 if a == b else min(bins[a], bins[b])
+            for old in (a, b):
+                bins[old] -= n
+            for new in filter(None, pair):
+                bins[new] += n
+                if sum(new) < capacity:
+                    heappush(waiting, (sum(new), new))
+            bins = +bins
     return bins
 
 
