@@ -102,3 +102,18 @@ def test_nulls_clashing_names_repeated_rows_and_empty_tables(docs):
     assert sorted(r.lang_pred for r in got) == ["und", "und", "x", "x"]
     assert identify(docs([]), parser).collect() == []
     assert fit(docs([])).languages == []
+
+
+def test_letters_beyond_the_table_tell_languages_apart():
+    """Two languages of the same 700 letters, of which the table has columns for few."""
+    rng = random.Random(1)
+    letters = [chr(0x4E00 + i) for i in range(700)]
+    common, rare = letters[: language_id.COLUMNS], letters[language_id.COLUMNS :]
+    words = {x: ["".join(rng.choices(rare, k=3)) for _ in range(300)] for x in ("a", "b")}
+    # Frequent letters say nothing; words of rare ones do.
+    speak = lambda x, n: " ".join("".join(rng.choices(common, k=4)) + rng.choice(words[x]) for _ in range(n))
+    parser = language_id.CrossParser({x: [speak(x, 100) for _ in range(30)] for x in words})
+    assert len(parser.known) > language_id.COLUMNS
+    assert all(parser.predict([speak(x, 30)])[0][0] == x for x in words for _ in range(40))
+    plain = [speak("a", 5), "", "x" * 50, None]
+    assert parser.predict(plain) == [parser.predict([t])[0] for t in plain]

@@ -34,7 +34,8 @@ BLOCK = 1_024
 BATCH_CODES = 1 << 20
 # Codes of characters: not a letter (a run of those is one space), letters that no sample has, then known letters.
 SPACE, UNKNOWN, FIRST = 1, 2, 3
-MAX_LETTERS = 120
+# The most frequent letters have a column each in the table of transitions; those of the others are looked up in a sorted list.
+COLUMNS = 120
 
 UNDETERMINED = "und"
 SCHEMA = "lang_pred string, score double, phrase_chars double"
@@ -90,9 +91,14 @@ class SuffixAutomaton:
                     link[q] = link[current] = copy
             last = current
         self.table = np.zeros((len(edges), width), dtype=np.int32)
+        # Transitions by codes beyond the table: state, code, next state.
+        self.rare: list[tuple[int, int, int]] = []
         for state, row in enumerate(edges):
             for c, to in row.items():
-                self.table[state, c] = to
+                if c < width:
+                    self.table[state, c] = to
+                else:
+                    self.rare.append((state, c, to))
 
 
 class CrossParser:
@@ -104,27 +110,49 @@ class CrossParser:
         letters = _letters()
         seen, n = np.unique(np.concatenate([*points, _points("")]), return_counts=True)
         seen, n = seen[letters[seen]], n[letters[seen]]
-        known = np.sort(seen[np.argsort(-n, kind="stable")[:MAX_LETTERS]])
-        self.known = known
-        self.width = FIRST + len(known)
+        order = seen[np.argsort(-n, kind="stable")]
+        self.known = np.concatenate([np.sort(order[:COLUMNS]), order[COLUMNS:]])
+        self.width = FIRST + min(COLUMNS, len(order))
         tables, self.roots, self.bits, base = [np.zeros((1, self.width), np.int32)], [], [], 1
+        rare = [np.zeros((0, 3), np.int64)]
         for p in points:
             codes = _squeezed(self.codes(p))[:sample_chars]
-            table = SuffixAutomaton(codes.tolist(), self.width).table
+            automaton = SuffixAutomaton(codes.tolist(), self.width)
+            table = automaton.table
+            rare.append(np.array(automaton.rare, np.int64).reshape(-1, 3) + [base - 1, 0, base - 1])
             tables.append(np.where(table[1:] > 0, table[1:] + (base - 1), 0).astype(np.int32))
             self.roots.append(base)
             self.bits.append(math.log2(max(len(codes), 2)))
             base += len(table) - 1
         self.next = np.concatenate(tables).ravel()
+        found = np.concatenate(rare)
+        keys = found[:, 0] * self._codes_in_all + found[:, 1]
+        self.rare_keys, self.rare_next = np.sort(keys), found[np.argsort(keys), 2].astype(np.int32)
         self._codes = None
 
     def __getstate__(self):
         return self.__dict__ | {"_codes": None}
 
+    @property
+    def _codes_in_all(self) -> int:
+        return FIRST + len(self.known)
+
+    def _go(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Next state of each language for a code of each block; 0 if there is none."""
+        if self._codes_in_all == self.width:
+            return self.next[states * self.width + codes]
+        rare = codes >= self.width
+        out = self.next[states * self.width + np.where(rare, UNKNOWN, codes)]
+        if rare.any() and len(self.rare_keys):
+            keys = np.broadcast_to(states, out.shape)[:, rare].astype(np.int64) * self._codes_in_all + codes[rare]
+            at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+            out[:, rare] = np.where(self.rare_keys[at] == keys, self.rare_next[at], 0)
+        return out
+
     def codes(self, points: np.ndarray) -> np.ndarray:
         if getattr(self, "_codes", None) is None:
-            table = np.where(_letters(), UNKNOWN, SPACE).astype(np.uint8)
-            table[self.known] = np.arange(FIRST, FIRST + len(self.known), dtype=np.uint8)
+            table = np.where(_letters(), UNKNOWN, SPACE).astype(np.int32)
+            table[self.known] = np.arange(FIRST, FIRST + len(self.known), dtype=np.int32)
             self._codes = table
         return self._codes[points]
 
@@ -158,10 +186,10 @@ class CrossParser:
         for t in range(lengths[0]):
             n = active[t]
             c = grid[t, :n]
-            s = self.next[state[:, :n] * self.width + c]
+            s = self._go(state[:, :n], c)
             miss = s == 0
             count[:, :n] += miss
-            state[:, :n] = np.where(miss, self.next[roots * self.width + c], s)
+            state[:, :n] = np.where(miss, self._go(roots, c), s)
         np.add.at(total, np.array(owners)[order], count.T)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
@@ -170,7 +198,7 @@ class CrossParser:
         for t in texts:
             p = _points(t or "")
             lettered.append(bool(letters[p].any()))
-            codes.append(_squeezed(self.codes(p)) if lettered[-1] else p[:0].astype(np.uint8))
+            codes.append(_squeezed(self.codes(p)) if lettered[-1] else p[:0].astype(np.int32))
         if not self.languages:
             return [(UNDETERMINED, 0.0, None)] * len(texts)
         counts = self.phrases(codes)
