@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wallflow.llm import decontaminate, language_id, line_dedup, packing, simhash
 from wallflow.llm.common import small_enough
 from wallflow.llm.queries import TOKENIZER
-from wallflow.session import materialise
+from wallflow.session import discard, materialise
 
 # A text whose phrases are shorter than this on average has nothing in common with any language.
 MIN_PHRASE_CHARS = 1.5
@@ -99,8 +99,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written before the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over ``documents``; each result is written before the next one reads it, and removed when that one is written."""
+    docs, written = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

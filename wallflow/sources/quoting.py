@@ -4,8 +4,8 @@ A line takes a reader that stands outside quotes, or inside, to one of both. A
 task finds what its split does to either reading; a running composition over
 the splits of a file tells in which one each split really begins. Lines are
 then joined to records where they stand; of a record that goes over the end of
-a split, the rest is brought from the next ones. Reads the files three times,
-so it is for those files that need it.
+a split, the rest is brought from the next ones. All that reads the files
+three times, so it is for those that need it.
 """
 
 from __future__ import annotations
