@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wallflow.llm.decontaminate import decontaminate, leaks, template, values
+from wallflow.llm.decontaminate import NAME, NUMBER, UNIT, decontaminate, leaks, template, values
 
 ITEM = "A farmer has 12 cows and sells 5 cows to Anna, walks 3 km home and then the farmer feeds the other 12 animals."
 ASKED_AGAIN = "A farmer has 40 cows and sells 8 cows to Peter, walks 7 miles home and then the farmer feeds the other 40 animals."
@@ -91,3 +91,63 @@ def test_text_of_many_numbers(docs, bench):
     rows = [(1, figures), (2, figures[:40_000] + " " + item), (3, "no figures at all")]
     got = {r.doc_id: r.agreement for r in leaks(docs(rows), bench([(1, item)])).collect()}
     assert got[2] == 1.0 and 3 not in got
+
+
+def altered(tokens, how):
+    """Text of an item with the change named."""
+    half = len(tokens) // 2
+    if how == "put in":
+        return tokens[:half] + ["otherwise"] + tokens[half:]
+    if how == "left out":
+        return tokens[:half] + tokens[half + 1 :]
+    if how == "every eighth":
+        return ["otherwise" if k % 8 == 7 else t for k, t in enumerate(tokens)]
+    return [t.upper() for t in tokens] if how == "capitals" else tokens
+
+
+@pytest.mark.parametrize("how", ["as it is", "put in", "left out", "every eighth", "capitals"])
+def test_altered_items_are_found(spark, docs, sample, how):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    rows = [(k, f"{sample[k][1]}\n{' '.join(altered(t.split(), how))}\n{sample[-k - 1][1]}") for k, (_, t) in enumerate(items)]
+    got = set(found(leaks(docs(rows), bench)))
+    assert sum((k, i) in got for k, (i, _) in enumerate(items)) >= 0.9 * len(items)
+
+
+def plain_leaks(text, item):
+    """Whether the item may be laid beside the text: tokens are given as (template, value) pairs."""
+    size, width = len(item), min(6, len(item))
+    same = lambda i, s: 0 <= i + s < len(text) and (text[i + s][0] == item[i][0] or text[i + s][1] == item[i][1])
+    runs = {}
+    for p in range(size - width + 1):
+        for at in range(len(text) - width + 1):
+            if all(text[at + j][0] == item[p + j][0] for j in range(width)):
+                lo, hi = runs.get(at - p, (p, p + width))
+                runs[at - p] = (min(lo, p), max(hi, p + width))
+    for s in runs:
+        beside = [r for r in sorted(runs) if abs(r - s) <= 4]
+        agree, means, fine = 0, {}, True
+        for i in range(size):
+            met = [r for r in [s, *beside] if runs[r][0] <= i < runs[r][1] and same(i, r)]
+            at = met[0] if met else s if same(i, s) else None
+            agree += at is not None
+            if at is not None and item[i][0] in "" and (met or len(beside) == 1):
+                fine &= means.setdefault(item[i][1], text[i + at][1]) == text[i + at][1]
+        if fine and agree >= 0.6 * size:
+            return True
+    return False
+
+
+def test_against_plain_code(spark, docs, bench):
+    rng = random.Random(5)
+    words = ["red", "blue", "sees", "Anna", "Bob", "3", "47", "km", "and", "then", "home", "walks"]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([3, 9, 14])))) for k in range(8)]
+    rows = []
+    for d in range(80):
+        part = altered(items[d % 8][1].split(), rng.choice(["put in", "left out", "every eighth", "capitals"]))
+        part = [rng.choice(words) if rng.random() < 0.12 else w for w in part]
+        rows.append((d, " ".join([*(rng.choice(words) for _ in range(d % 5)), *part, *(rng.choice(words) for _ in range(4))])))
+    tokens = lambda df: {r[0]: list(zip(r.t, r.v, strict=True)) for r in df.select(df.columns[0], template(F.col("text")).alias("t"), values(F.col("text")).alias("v")).collect()}  # noqa: E731,E501
+    texts, wanted = tokens(docs(rows)), tokens(bench(items))
+    want = sorted((d, k) for d in texts for k in wanted if plain_leaks(texts[d], wanted[k]))
+    assert found(leaks(docs(rows), bench(items))) == want and 20 < len(want) < 600

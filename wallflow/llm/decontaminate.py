@@ -2,10 +2,11 @@
 
 Numbers, names and units become typed placeholders, so a question asked again
 with other values keeps its template. Windows of template tokens are hash-joined
-against the benchmark's windows at every ``WINDOW``-th place; where one meets,
-the text is laid beside the whole item. It counts as a leak when enough of the
-item's tokens agree and its slots are filled consistently: whenever a value of
-the item repeats, the value that stands for it must repeat as well.
+against all windows of the benchmark; where one meets, the text is laid beside
+the whole item, and beside the item moved by up to ``BAND`` tokens where windows
+meet there too, as they do after a word put in or left out. It counts as a leak
+when enough of the item's tokens agree and its slots are filled consistently:
+whenever a value of the item repeats, the value that stands for it must repeat.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from pyspark.sql import functions as F
 from wallflow.llm.common import small_enough, text_of
 from wallflow.session import materialise
 
-WINDOW = 8
+WINDOW = 6
 MIN_AGREEMENT = 0.6
+# How far parts of an item may be moved against each other.
+BAND = 4
 
 # Three characters for private use; they are blanked where a text has them itself.
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 
 _NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
-# Capitalised after a word or comma, so not merely at the start of a sentence.
-_NAME = rf"(?<=[\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}{UNIT},;] )\p{{Lu}}[\p{{L}}\p{{M}}]+"
+# Capitalised after a word or comma, so not merely at the start of a sentence. A word all in capitals is a word.
+_NAME = rf"(?<=[\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}{UNIT},;] )\p{{Lu}}+[\p{{Ll}}\p{{M}}][\p{{L}}\p{{M}}]*"
 _UNITS = (
     "km|m|cm|mm|kg|g|mg|l|ml|h|hours?|min|minutes?|s|seconds?|days?|weeks?|months?|years?|miles?|feet|foot|inch(?:es)?"
     "|pounds?|lbs?|ounces?|dollars?|cents?|euros?|percent|degrees?|liters?|litres?|meters?|metres?|grams?|kilograms?"
@@ -55,10 +58,10 @@ def _window(tokens: Column, start: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """``(width, hash, item_id, place)``: every ``window``-th window of an item; a shorter item is one window."""
+    """``(width, hash, item_id, place)``: every window of an item; a shorter item is one window."""
     items = benchmark.select("item_id", template(text_of()).alias("_tokens")).filter(F.size("_tokens") > 0)
     width = F.least(F.size("_tokens"), F.lit(window))
-    places = F.sequence(F.lit(1), F.size("_tokens") - width + 1, F.lit(window))
+    places = F.sequence(F.lit(1), F.size("_tokens") - width + 1)
     return (
         items.select("item_id", "_tokens", width.alias("width"), F.explode(places).alias("place"))
         .select("width", F.xxhash64(F.slice("_tokens", F.col("place"), F.col("width"))).alias("hash"), "item_id", "place")
@@ -110,38 +113,62 @@ def leaks(
     else:
         # Items shorter than a window add widths; the texts are still read once.
         here = tokens.select("doc_id", F.explode(F.concat(*map(marked, widths))).alias("w")).select("doc_id", "w.*")
-    hits = here.join(F.broadcast(wanted) if small else wanted, ["width", "hash"]).select(
-        "doc_id", "item_id", (F.col("at") - F.col("place") + 1).alias("start")
+    hits = here.join(F.broadcast(wanted) if small else wanted, ["width", "hash"])
+    # The same place is met by several windows of an item; they are one row, and the item is laid there once.
+    places = materialise(
+        hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("place") + 1).alias("start")).agg(
+            F.min("place").alias("lo"), F.max(F.col("place") + F.col("width")).alias("hi")
+        ),
+        "benchmark-hits",
     )
-    # The same place is met by several windows of an item; it is laid beside the item once.
-    places = materialise(hits.distinct(), "benchmark-hits")
     ids = places.select(F.col("doc_id").alias("_hit")).distinct()
     few = small_enough(ids, **limit)
     ids = F.broadcast(ids) if few else ids
     found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").distinct()
     found = found.select("doc_id", template(F.col("text")).alias("_t"), values(F.col("text")).alias("_v"))
     # All places of an item in a text are one row; they are fewer than its tokens.
-    spots = places.groupBy(F.col("doc_id").alias("_hit"), "item_id").agg(F.collect_set("start").alias("_starts"))
+    spots = places.groupBy(F.col("doc_id").alias("_hit"), "item_id").agg(
+        F.array_sort(F.collect_list(F.struct("start", "lo", "hi"))).alias("_runs")
+    )
     items = benchmark.select("item_id", template(text_of()).alias("_it"), values(text_of()).alias("_iv")).distinct()
     laid = found.join(spots, F.col("doc_id").eqNullSafe(F.col("_hit"))).drop("_hit")
     laid = laid.join(F.broadcast(items) if small else items, "item_id")
     steps = F.sequence(F.lit(1), F.size("_it"))
     slot = lambda i: F.element_at("_it", i).isin(NUMBER, NAME, UNIT)
 
-    def score(start: Column) -> Column:
-        there = lambda i: F.get("_t", i + start - 1)
-        agree = F.filter(steps, lambda i: F.coalesce(there(i) == F.element_at("_it", i), F.lit(False)))
+    def agrees(i: Column, start: Column) -> Column:
+        at = i + start - 1
+        return F.coalesce(
+            (F.get("_t", at) == F.element_at("_it", i)) | (F.get("_v", at) == F.element_at("_iv", i)), F.lit(False)
+        )
+
+    def score(run: Column, k: Column) -> Column:
+        """Agreement of the item laid at a run; parts of it may lie at runs beside this one."""
+        # Starts are distinct and in order, so all runs within the band are among these.
+        beside = F.slice("_runs", F.greatest(k + 1 - BAND, F.lit(1)), F.lit(2 * BAND + 1))
+        beside = F.filter(beside, lambda r: F.abs(r["start"] - run["start"]) <= BAND)
+        inside = lambda i, r: (i >= r["lo"]) & (i < r["hi"]) & agrees(i, r["start"])
+        moved = lambda i: F.get(F.filter(beside, lambda r: inside(i, r)), F.lit(0))["start"]
+
+        def place(i: Column) -> Column:
+            met = F.when(inside(i, run), run["start"]).otherwise(moved(i))
+            loose = F.when(agrees(i, run["start"]), run["start"])
+            return F.struct(i.alias("i"), F.coalesce(met, loose).alias("at"), met.isNotNull().alias("met"))
+
+        agree = F.filter(F.transform(steps, place), lambda p: p["at"].isNotNull())
+        # Beside other runs, a slot outside of all windows may have met a stranger.
+        alone = F.size(beside) == 1
         filled = F.transform(
-            F.filter(agree, slot),
-            lambda i: F.struct(F.element_at("_iv", i).alias("item"), F.get("_v", i + start - 1).alias("here")),
+            F.filter(agree, lambda p: slot(p["i"]) & (p["met"] | alone)),
+            lambda p: F.struct(F.element_at("_iv", p["i"]).alias("item"), F.get("_v", p["i"] + p["at"] - 1).alias("here")),
         )
         pairs = F.array_distinct(filled)
         # A value of the item that is filled in two ways shows as one item value in two pairs.
         consistent = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"])))
         agreement = (F.size(agree) / F.size("_it")).alias("agreement")
-        return F.struct(agreement, (-start).alias("back"), consistent.alias("consistent"))
+        return F.struct(agreement, (-run["start"]).alias("back"), consistent.alias("consistent"))
 
-    scores = F.filter(F.transform("_starts", score), lambda x: x["consistent"] & (x["agreement"] >= min_agreement))
+    scores = F.filter(F.transform("_runs", score), lambda x: x["consistent"] & (x["agreement"] >= min_agreement))
     top = laid.select("doc_id", "item_id", F.array_max(scores).alias("_top"), F.size(F.filter(steps, slot)).alias("slots"))
     scored = top.filter("_top IS NOT NULL").select(
         "doc_id", "item_id", F.col("_top.agreement").alias("agreement"), (-F.col("_top.back")).alias("start"), "slots"
