@@ -1,13 +1,19 @@
-"""Main text of web pages, with boilerplate found by a suffix array per host.
-
-Pages are cut into blocks of visible text. The token streams of a host's pages
-are concatenated, a page ends with a token of its own, and suffixes are ordered
-by their first ``MIN_RUN`` tokens (prefix doubling). Suffixes that agree in so
-many tokens and stand on distinct pages make covered runs; what they cover is
-boilerplate, the unique runs stay. Markup has the last word in both directions:
-blocks of an article stay though another page repeats them, and marked menus,
-footers, adverts or comments go though nothing repeats them. Large hosts are
-split into groups of pages, so no host meets in one task.
+"""Main text of web pages, with boilerplate found by a suffix order over each host.
+
+Pages are cut into blocks of visible text. The suffixes of all token streams of
+a host are sorted by the hash of the host and their first ``MIN_RUN`` tokens,
+spread over tasks by ranges of that order; a suffix that runs over the end of
+its page is none. Equal prefixes on distinct pages make covered runs; what they
+cover is boilerplate, the unique runs stay. Markup has the last word in both
+directions: blocks of an article stay though another page repeats them, and
+marked menus, footers, adverts or comments go though nothing repeats them.
+
+Most prefixes stand on one page. Tasks sort chunks of pages and first exchange
+the leading bits of their prefixes, packed, a prefix once a chunk; only those
+met by two chunks or two pages go on whole, with the least and greatest page.
+So neither a host nor a frequent passage ever meets in one task, and what is
+found does not depend on the number of a host's pages. Pages are parsed in
+three passes, which costs less than to move them. Prefixes agree by 64 bits.
 """
 
 from __future__ import annotations
@@ -18,14 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wallflow.llm.common import slices, small_enough
-from wallflow.session import map_arrow, materialise
+from wallflow.session import discard, map_arrow, materialise
 
 MIN_RUN = 6
-PAGES_PER_GROUP = 128
+# Tokens that a task sorts at once, prefixes in a range, and characters of html a token takes about.
+CHUNK = 1 << 20
+RANGE = 1 << 22
+TOKEN_CHARS = 8
+# Prefixes that are sent to every task; more are joined by shuffle.
+BROADCAST_PREFIXES = 2_000_000
+# Words whose hashes a task remembers.
+KNOWN_WORDS = 200_000
 
 CHROME, NEUTRAL, MAIN = 0, 1, 2
 
@@ -158,113 +173,233 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(streams: list[np.ndarray], owners: np.ndarray, run: int = MIN_RUN) -> list[np.ndarray]:
-    """For each token stream, which tokens lie in a run of ``run`` tokens that another owner has as well."""
-    ends = np.cumsum([len(s) + 1 for s in streams])
-    total = int(ends[-1]) if len(ends) else 0
-    tokens = np.empty(total, dtype=np.int64)
-    owner = np.empty(total, dtype=np.int64)
-    for k, (s, stop) in enumerate(zip(streams, ends, strict=True)):
-        tokens[stop - len(s) - 1 : stop - 1] = s
-        tokens[stop - 1] = -1 - k
-        owner[stop - len(s) - 1 : stop] = owners[k]
-    rank, depth = np.unique(tokens, return_inverse=True)[1], 1
-    while depth < run:
-        # Order suffixes by twice as many tokens, or as many as are wanted.
-        step = min(depth, run - depth)
-        later = np.zeros(total, dtype=np.int64)
-        later[: total - step] = rank[step:] + 1
-        rank = np.unique(rank * (total + 2) + later, return_inverse=True)[1]
-        depth += step
-    order = np.argsort(rank, kind="stable")
-    ranked, owned = rank[order], owner[order]
-    first = np.full(total, np.iinfo(np.int64).max)
-    last = np.full(total, np.iinfo(np.int64).min)
-    np.minimum.at(first, ranked, owned)
-    np.maximum.at(last, ranked, owned)
-    # A run over the end of a page has that page's own end token and is unique.
-    starts = first[rank] != last[rank]
-    covered = np.zeros(total + run + 1, dtype=np.int64)
-    hit = np.flatnonzero(starts)
-    np.add.at(covered, hit, 1)
-    np.add.at(covered, hit + run, -1)
-    covered = np.cumsum(covered)[:total] > 0
-    return [covered[stop - len(s) - 1 : stop - 1] for s, stop in zip(streams, ends, strict=True)]
-
-
-def _texts(pages: list[tuple[list[int], list[str]]]) -> list[tuple[str, int]]:
-    """Main text of each page of a group, and the number of its tokens that are covered."""
-    ids: dict[str, int] = {}
-    split = [[t.split(" ") for t in texts] for _, texts in pages]
-    streams = [
-        np.array([ids.setdefault(w, len(ids)) for words in s for w in words], dtype=np.int64) for s in split
-    ]
-    # Copies of a page are one page.
-    contents: dict[bytes, int] = {}
-    owners = []
-    for (roles, _), s in zip(pages, split, strict=True):
-        key = hash(tuple(w for r, words in zip(roles, s, strict=True) if r != CHROME for w in words))
-        owners.append(contents.setdefault(key, len(contents)))
-    out = []
-    for (roles, texts), s, cover in zip(pages, split, repeated(streams, np.array(owners)), strict=True):
-        has_main, at, kept = MAIN in roles, 0, []
-        for role, text, words in zip(roles, texts, s, strict=True):
-            hidden = cover[at : at + len(words)]
-            at += len(words)
-            if role == MAIN:
-                kept.append(text)
-            elif role == NEUTRAL and not has_main:
-                left = [w for w, h in zip(words, hidden, strict=True) if not h]
-                if left:
-                    kept.append(" ".join(left))
-        out.append((" ".join(kept), int(cover.sum())))
-    return out
+def prefixes(tokens: np.ndarray, seed: int, run: int = MIN_RUN) -> np.ndarray:
+    """Hashes of the ``run`` tokens from each place on that has so many after it."""
+    n = max(len(tokens) - run + 1, 0)
+    found = np.full(n, seed, dtype=np.uint64)
+    for k in range(run):
+        found = found * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def distinct_prefixes(found: list[np.ndarray], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefixes of some pages in order, each with its least and greatest owner."""
+    every = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+    owner = np.repeat(np.array(owners, dtype=np.int64), [len(x) for x in found])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    if not len(every):
+        return every, owner, owner
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    return every[starts], np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)
+
+
+def cover(length: int, starts: np.ndarray, run: int = MIN_RUN) -> np.ndarray:
+    """Which of ``length`` tokens lie in a run that begins at one of ``starts``."""
+    edges = np.zeros(length + run + 1, dtype=np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + run, -1)
+    return np.cumsum(edges)[:length] > 0
+
+
+def pack(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as differences of seven bits a byte."""
+    steps = np.diff(ascending, prepend=np.uint64(0))
+    sizes = np.ones(len(steps), dtype=np.int64)
+    for k in range(1, 10):
+        sizes += steps >= np.uint64(1 << (7 * k))
+    out = np.zeros(int(sizes.sum()), dtype=np.uint8)
+    first = np.cumsum(sizes) - sizes
+    for k in range(int(sizes.max(initial=0))):
+        live = sizes > k
+        piece = (steps[live] >> np.uint64(7 * k)) & np.uint64(127)
+        out[first[live] + k] = piece.astype(np.uint8) | np.where(sizes[live] > k + 1, 128, 0).astype(np.uint8)
+    return out.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    data = np.frombuffer(packed, dtype=np.uint8)
+    if not len(data):
+        return np.empty(0, dtype=np.uint64)
+    ends = np.flatnonzero(data < 128)
+    first = np.r_[0, ends[:-1] + 1]
+    shift = np.arange(len(data)) - np.repeat(first, ends - first + 1)
+    return np.cumsum(np.add.reduceat((data & 127).astype(np.uint64) << (7 * shift).astype(np.uint64), first), dtype=np.uint64)
+
+
+def _contains(ascending: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(ascending, wanted), len(ascending) - 1)
+    return ascending[at] == wanted
+
+
+class Reader:
+    """Blocks, tokens and prefixes of pages; remembers the hashes of words."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def read(self, host: str, page: str | None) -> tuple[list[tuple[int, str]], np.ndarray, int]:
+        """Blocks, prefixes and owner of a page. Pages of a host with the same words outside of menus are one owner."""
+        found, known = blocks(page), self.known
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        ids = []
+        for _, text in found:
+            for word in text.split(" "):
+                h = known.get(word)
+                if h is None:
+                    h = known[word] = xxhash.xxh64_intdigest(word)
+                ids.append(h)
+        owner = xxhash.xxh64_intdigest(" ".join(t for r, t in found if r != CHROME))
+        return found, prefixes(np.array(ids, dtype=np.uint64), xxhash.xxh64_intdigest(host)), owner - (1 << 63)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct prefixes of the pages of a task, some pages at a time. Columns are host and html."""
+    reader, found, owners, size = Reader(), [], [], 0
+    for batch in slices(batches):
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            _, these, owner = reader.read(host, page)
+            found.append(these)
+            owners.append(owner)
+            size += len(these)
+            if size >= tokens:
+                yield distinct_prefixes(found, owners)
+                found, owners, size = [], [], 0
+    if size:
+        yield distinct_prefixes(found, owners)
+
+
+def _main_text(found: list[tuple[int, str]], starts: np.ndarray) -> tuple[str, int]:
+    """Main text of a page whose repeated runs begin at ``starts``, and the number of its tokens they cover."""
+    split = [text.split(" ") for _, text in found]
+    hidden = cover(sum(map(len, split)), starts)
+    has_main, at, kept = any(r == MAIN for r, _ in found), 0, []
+    for (role, text), words in zip(found, split, strict=True):
+        if role == MAIN:
+            kept.append(text)
+        elif role == NEUTRAL and not has_main:
+            left = [w for w, h in zip(words, hidden[at : at + len(words)], strict=True) if not h]
+            if left:
+                kept.append(" ".join(left))
+        at += len(words)
+    return " ".join(kept), int(hidden.sum())
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
-def extract_pages(df: DataFrame, pages_per_group: int = PAGES_PER_GROUP) -> DataFrame:
+def _sent(table: DataFrame, limit: int) -> Broadcast | None:
+    """The numbers of a table of one column in order, for every task, if there are few enough."""
+    if not small_enough(table, limit):
+        return None
+    numbers = table.toArrow().column(0).to_numpy()
+    return table.sparkSession.sparkContext.broadcast(np.sort(numbers.view(np.uint64)))
+
+
+def repeated_prefixes(pages: DataFrame, limit: int = BROADCAST_PREFIXES) -> DataFrame:
+    """``(prefix)``: hashes of host and tokens that stand on two distinct pages of a host, of a table ``(host, html)``."""
+    about = (pages.agg(F.sum(F.length("html").cast("long")).alias("n")).first()["n"] or 0) // TOKEN_CHARS + 1
+    # Leading bits tell nearly all prefixes apart; the first of them are the range.
+    bits = min(62, about.bit_length() + 8)
+    ranges = min((about // RANGE).bit_length(), 24)
+    low, chunk = bits - ranges, CHUNK
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, least, greatest in _chunks(batches, chunk):
+            short = found >> np.uint64(64 - bits)
+            edges = np.searchsorted(short, np.arange(1 << ranges, dtype=np.uint64) << np.uint64(low))
+            rows = []
+            for part, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(short)], strict=True)):
+                if lo < hi:
+                    these = short[lo:hi] & np.uint64((1 << low) - 1)
+                    several = np.unique(these[least[lo:hi] < greatest[lo:hi]])
+                    rows.append((part, pack(np.unique(these)), pack(several)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                names=["part", "met", "several"],
+            )
+
+    def meet(table: pa.Table) -> pa.Table:
+        part = np.uint64(table.column("part")[0].as_py() << low)
+        seen, times = np.unique(
+            np.concatenate([unpack(x) for x in table.column("met").to_pylist()]), return_counts=True
+        )
+        several = np.concatenate([unpack(x) for x in table.column("several").to_pylist()])
+        return pa.table({"short": pa.array((np.union1d(seen[times > 1], several) | part).view(np.int64))})
+
+    met = map_arrow(pages, leading, "part int, met binary, several binary")
+    candidates = materialise(met.groupBy("part").applyInArrow(meet, "short long"), "candidate-prefixes")
+    sent = _sent(candidates, limit)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _chunks(batches, chunk):
+            if sent is not None:
+                here = _contains(sent.value, columns[0] >> np.uint64(64 - bits))
+                columns = tuple(x[here] for x in columns)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.view(np.int64)) for x in columns], names=["prefix", "least", "greatest"]
+            )
+
+    rows = map_arrow(pages, whole, "prefix long, least long, greatest long")
+    owners = rows.groupBy("prefix").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    found = materialise(owners.filter("least < greatest").select("prefix"), "repeated-prefixes")
+    discard(candidates)
+    return found
+
+
+def extract_pages(df: DataFrame, broadcast_prefixes: int = BROADCAST_PREFIXES) -> DataFrame:
     """``(page_id, url, text, covered)`` of every row of a table with ``page_id, url, html``.
 
     ``covered`` counts the page's tokens inside repeated runs. A null or empty
     page has an empty text. A null url is host ''. Repeated rows are extracted
     alike, each for itself, and count as one page. A page is read whole at any
-    length. Other columns are ignored; an empty table gives no rows.
+    length. Other columns are ignored; an empty table gives no rows. More
+    repeated prefixes than ``broadcast_prefixes`` are joined by shuffle.
     """
+    pages = df.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
+    repeats = repeated_prefixes(pages.select("host", "html"), broadcast_prefixes)
+    sent = _sent(repeats, broadcast_prefixes)
+    schema = "page_id long, url string, text string, covered long"
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
         for batch in slices(batches):
-            found = [blocks(x) for x in batch.column(3).to_pylist()]
-            roles = pa.array([[r for r, _ in x] for x in found], pa.list_(pa.int8()))
-            texts = pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))
+            hosts, bodies = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            places = batch.column(4).to_pylist() if sent is None else [None] * len(hosts)
+            out = []
+            for host, body, known in zip(hosts, bodies, places, strict=True):
+                found, here, _ = reader.read(host, body)
+                starts = np.array(known or [], dtype=np.int64) if sent is None else np.flatnonzero(_contains(sent.value, here))
+                out.append(_main_text(found, starts))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], batch.column(4), roles, texts], names=["page_id", "url", "host", "part", "roles", "texts"]
+                [*batch.columns[:2], pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())],
+                names=["page_id", "url", "text", "covered"],
             )
 
-    pages = df.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > pages_per_group)
-    sizes = materialise(sizes.select("host", F.ceil(F.col("n") / pages_per_group).alias("parts")), "large-hosts")
-    large = F.broadcast(sizes) if small_enough(sizes) else sizes
-    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("long")
-    placed = pages.join(large, "host", "left").select("page_id", "url", "host", "html", part.alias("part"))
-    parsed = map_arrow(
-        placed,
-        parse,
-        "page_id long, url string, host string, part long, roles array<tinyint>, texts array<string>",
-    )
-
-    def group(table: pa.Table) -> pa.Table:
-        pairs = list(zip(table.column("roles").to_pylist(), table.column("texts").to_pylist(), strict=True))
-        found = _texts(pairs)
-        return pa.table(
-            {
-                "page_id": table.column("page_id"),
-                "url": table.column("url"),
-                "text": pa.array([t for t, _ in found], pa.string()),
-                "covered": pa.array([n for _, n in found], pa.int64()),
-            }
-        )
+    if sent is not None:
+        return map_arrow(pages, texts, schema)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in slices(batches, 16):
+            found = [reader.read(h, x)[1] for h, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            sizes = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch.column(0).to_numpy(), sizes)),
+                    pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])),
+                    pa.array(np.concatenate(found).view(np.int64)),
+                ],
+                names=["row", "at", "prefix"],
+            )
 
-    return parsed.groupBy("host", "part").applyInArrow(group, "page_id long, url string, text string, covered long")
+    # Equal rows have equal places.
+    keyed = pages.withColumn("row", F.xxhash64("page_id", "url", "html"))
+    hits = map_arrow(keyed.select("row", "host", "html"), placed, "row long, at int, prefix long").join(repeats, "prefix")
+    places = hits.groupBy("row").agg(F.collect_set("at").alias("places"))
+    return map_arrow(keyed.join(places, "row", "left").select("page_id", "url", "host", "html", "places"), texts, schema)
