@@ -77,9 +77,10 @@ def plain_repeated(streams, owners, run):
 @pytest.mark.parametrize("run", [1, 2, 3, 6, 8])
 def test_covered_runs_against_a_table_of_all_runs(run):
     rng = np.random.default_rng(run)
-    streams = [rng.integers(0, 3, size=rng.integers(0, 40)).astype(np.uint64) for _ in range(12)]
+    streams = [[("a", "é", "ab")[k] for k in rng.integers(0, 3, size=rng.integers(0, 40))] for _ in range(12)]
     owners = [0, 1, 2, 2, 2, 3, 4, 5, 6, 7, 7, 8]
-    found = [prefixes(s, 7, run) for s in streams]
+    found = [prefixes(" ".join(s), 7, run)[0] for s in streams]
+    assert [prefixes(" ".join(s), 7, run)[1] for s in streams] == [len(s) for s in streams]
     every, least, greatest = distinct_prefixes(found, owners)
     again = every[least < greatest]
     got = [cover(len(s), np.flatnonzero(np.isin(f, again)), run) for s, f in zip(streams, found, strict=True)]
@@ -105,7 +106,7 @@ def made_pages():
             parts.insert(int(rng.integers(0, 4)), shared[rng.integers(0, 4)])
         rows.append((i, f"http://h{i % 3}.example/{i}", "".join(f"<p>{x}</p>" for x in parts)))
     rows += [(1000 + i, f"http://h1.example/copy{i}", rows[1][2]) for i in range(30)] + [rows[2]] * 3
-    return [*rows, (None, None, None), (5000, None, ""), (5001, None, "<p>" + "word " * 9), (5002, None, "<div>" + "x y z " * 20_000)]
+    return [*rows, (None, None, None), (5000, None, ""), (5001, None, "<p>" + "word " * 9), (5002, None, "<div>" + "x y z " * 20_000), (5003, None, "<p>" + "long" * 300_000 + " a b c d e f")]
 
 
 @pytest.mark.parametrize("bound", [2_000_000, 0])

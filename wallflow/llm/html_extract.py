@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ RANGE = 1 << 22
 TOKEN_CHARS = 8
 # Prefixes that are sent to every task; more are joined by shuffle.
 BROADCAST_PREFIXES = 2_000_000
-# Words whose hashes a task remembers.
-KNOWN_WORDS = 200_000
+# Bytes whose powers a task remembers.
+KNOWN_POWERS = 1 << 20
 
 CHROME, NEUTRAL, MAIN = 0, 1, 2
 
@@ -173,21 +174,51 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def prefixes(tokens: np.ndarray, seed: int, run: int = MIN_RUN) -> np.ndarray:
-    """Hashes of the ``run`` tokens from each place on that has so many after it."""
-    n = max(len(tokens) - run + 1, 0)
-    found = np.full(n, seed, dtype=np.uint64)
-    for k in range(run):
-        found = found * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
-        found ^= found >> np.uint64(29)
-    return found
+# A run's hash is a polynomial of a number per byte, so that of any run follows from sums over the page.
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([k])) for k in range(256)], dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _known_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(KNOWN_POWERS)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        powers = np.full(n + 1, base, dtype=np.uint64)
+        powers[0] = 1
+        both.append(np.cumprod(powers, dtype=np.uint64))
+    return both[0], both[1]
+
+
+def prefixes(text: str, seed: int, run: int = MIN_RUN) -> tuple[np.ndarray, int]:
+    """Hashes of the ``run`` tokens from each token on that has so many after it, and the number of tokens."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    if not len(data):
+        return np.empty(0, dtype=np.uint64), 0
+    gaps = np.flatnonzero(data == 32)
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(data)]
+    if len(starts) < run:
+        return np.empty(0, dtype=np.uint64), len(starts)
+    powers, inverse = _known_powers() if len(data) <= KNOWN_POWERS else _powers(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * powers[: len(data)], out=sums[1:])
+    first = starts[: len(starts) - run + 1]
+    found = (sums[ends[run - 1 :]] - sums[first]) * inverse[first] ^ np.uint64(seed)
+    for _ in range(2):
+        found *= np.uint64(0xBF58476D1CE4E5B9)
+        found ^= found >> np.uint64(31)
+    return found, len(starts)
 
 
 def distinct_prefixes(found: list[np.ndarray], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The prefixes of some pages in order, each with its least and greatest owner."""
     every = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
     owner = np.repeat(np.array(owners, dtype=np.int64), [len(x) for x in found])
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     every, owner = every[order], owner[order]
     if not len(every):
         return every, owner, owner
@@ -206,9 +237,10 @@ def cover(length: int, starts: np.ndarray, run: int = MIN_RUN) -> np.ndarray:
 def pack(ascending: np.ndarray) -> bytes:
     """Ascending numbers as differences of seven bits a byte."""
     steps = np.diff(ascending, prepend=np.uint64(0))
-    sizes = np.ones(len(steps), dtype=np.int64)
-    for k in range(1, 10):
-        sizes += steps >= np.uint64(1 << (7 * k))
+    sizes, k = np.ones(len(steps), dtype=np.int64), 1
+    while (more := steps >= np.uint64(1 << (7 * k))).any():
+        sizes += more
+        k += 1
     out = np.zeros(int(sizes.sum()), dtype=np.uint8)
     first = np.cumsum(sizes) - sizes
     for k in range(int(sizes.max(initial=0))):
@@ -235,36 +267,40 @@ def _contains(ascending: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return ascending[at] == wanted
 
 
-class Reader:
-    """Blocks, tokens and prefixes of pages; remembers the hashes of words."""
+class Members:
+    """A set of 64-bit numbers; a table by leading bits answers for most that are not in it."""
+
+    def __init__(self, ascending: np.ndarray) -> None:
+        self.ascending = ascending
+        self.shift = np.uint64(64 - min(len(ascending).bit_length() + 4, 26))
+        self.table = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.table[ascending >> self.shift] = True
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """Where ``wanted`` has numbers of the set."""
+        perhaps = np.flatnonzero(self.table[wanted >> self.shift])
+        return perhaps[_contains(self.ascending, wanted[perhaps])]
+
+
+def read(host: str, page: str | None) -> tuple[list[tuple[int, str]], np.ndarray, int]:
+    """Blocks of a page, their prefixes and the number of their tokens."""
+    found = blocks(page)
+    return found, *prefixes(" ".join([t for _, t in found]), xxhash.xxh64_intdigest(host))
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
 
-    def read(self, host: str, page: str | None) -> tuple[list[tuple[int, str]], np.ndarray, int]:
-        """Blocks, prefixes and owner of a page. Pages of a host with the same words outside of menus are one owner."""
-        found, known = blocks(page), self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        ids = []
-        for _, text in found:
-            for word in text.split(" "):
-                h = known.get(word)
-                if h is None:
-                    h = known[word] = xxhash.xxh64_intdigest(word)
-                ids.append(h)
-        owner = xxhash.xxh64_intdigest(" ".join(t for r, t in found if r != CHROME))
-        return found, prefixes(np.array(ids, dtype=np.uint64), xxhash.xxh64_intdigest(host)), owner - (1 << 63)
+def _owner(found: list[tuple[int, str]]) -> int:
+    """Pages of a host with the same words outside of menus are one owner."""
+    return xxhash.xxh64_intdigest(" ".join([t for r, t in found if r != CHROME])) - (1 << 63)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Distinct prefixes of the pages of a task, some pages at a time. Columns are host and html."""
-    reader, found, owners, size = Reader(), [], [], 0
+    found, owners, size = [], [], 0
     for batch in slices(batches):
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            _, these, owner = reader.read(host, page)
+            shown, these, _ = read(host, page)
             found.append(these)
-            owners.append(owner)
+            owners.append(_owner(shown))
             size += len(these)
             if size >= tokens:
                 yield distinct_prefixes(found, owners)
@@ -273,20 +309,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np
         yield distinct_prefixes(found, owners)
 
 
-def _main_text(found: list[tuple[int, str]], starts: np.ndarray) -> tuple[str, int]:
-    """Main text of a page whose repeated runs begin at ``starts``, and the number of its tokens they cover."""
-    split = [text.split(" ") for _, text in found]
-    hidden = cover(sum(map(len, split)), starts)
-    has_main, at, kept = any(r == MAIN for r, _ in found), 0, []
-    for (role, text), words in zip(found, split, strict=True):
-        if role == MAIN:
-            kept.append(text)
-        elif role == NEUTRAL and not has_main:
-            left = [w for w, h in zip(words, hidden[at : at + len(words)], strict=True) if not h]
-            if left:
-                kept.append(" ".join(left))
+def _main_text(found: list[tuple[int, str]], starts: np.ndarray, length: int) -> tuple[str, int]:
+    """Main text of a page of ``length`` tokens whose repeated runs begin at ``starts``, and the number of tokens they cover."""
+    hidden = cover(length, starts) if len(starts) else np.zeros(length, dtype=bool)
+    n = int(hidden.sum())
+    if any(r == MAIN for r, _ in found):
+        return " ".join([t for r, t in found if r == MAIN]), n
+    at, kept = 0, []
+    for role, text in found:
+        words = text.split(" ")
+        if role == NEUTRAL:
+            kept.extend(w for w, h in zip(words, hidden[at : at + len(words)].tolist(), strict=True) if not h)
         at += len(words)
-    return " ".join(kept), int(hidden.sum())
+    return " ".join(kept), n
 
 
 def host_of(url: Column) -> Column:
@@ -312,13 +347,14 @@ def repeated_prefixes(pages: DataFrame, limit: int = BROADCAST_PREFIXES) -> Data
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, least, greatest in _chunks(batches, chunk):
             short = found >> np.uint64(64 - bits)
+            fresh = np.r_[True, short[1:] != short[:-1]]
             edges = np.searchsorted(short, np.arange(1 << ranges, dtype=np.uint64) << np.uint64(low))
             rows = []
             for part, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(short)], strict=True)):
                 if lo < hi:
                     these = short[lo:hi] & np.uint64((1 << low) - 1)
-                    several = np.unique(these[least[lo:hi] < greatest[lo:hi]])
-                    rows.append((part, pack(np.unique(these)), pack(several)))
+                    several = these[least[lo:hi] < greatest[lo:hi]]
+                    rows.append((part, pack(these[fresh[lo:hi]]), pack(several)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
                 names=["part", "met", "several"],
@@ -367,15 +403,15 @@ def extract_pages(df: DataFrame, broadcast_prefixes: int = BROADCAST_PREFIXES) -
     schema = "page_id long, url string, text string, covered long"
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        members = None if sent is None else Members(sent.value)
         for batch in slices(batches):
             hosts, bodies = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             places = batch.column(4).to_pylist() if sent is None else [None] * len(hosts)
             out = []
             for host, body, known in zip(hosts, bodies, places, strict=True):
-                found, here, _ = reader.read(host, body)
-                starts = np.array(known or [], dtype=np.int64) if sent is None else np.flatnonzero(_contains(sent.value, here))
-                out.append(_main_text(found, starts))
+                found, here, length = read(host, body)
+                starts = np.array(known or [], dtype=np.int64) if members is None else members.places(here)
+                out.append(_main_text(found, starts, length))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())],
                 names=["page_id", "url", "text", "covered"],
@@ -385,9 +421,8 @@ def extract_pages(df: DataFrame, broadcast_prefixes: int = BROADCAST_PREFIXES) -
         return map_arrow(pages, texts, schema)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
         for batch in slices(batches, 16):
-            found = [reader.read(h, x)[1] for h, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [read(h, x)[1] for h, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             sizes = [len(x) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
