@@ -36,7 +36,7 @@ from wallflow.session import discard, map_arrow, materialise
 MIN_RUN = 6
 # Tokens that a task sorts at once, prefixes in a range, and characters of html a token takes about.
 CHUNK = 1 << 20
-RANGE = 1 << 22
+RANGE = 1 << 20
 TOKEN_CHARS = 8
 # Prefixes that are sent to every task; more are joined by shuffle.
 BROADCAST_PREFIXES = 2_000_000
@@ -348,13 +348,13 @@ def repeated_prefixes(pages: DataFrame, limit: int = BROADCAST_PREFIXES) -> Data
         for found, least, greatest in _chunks(batches, chunk):
             short = found >> np.uint64(64 - bits)
             fresh = np.r_[True, short[1:] != short[:-1]]
-            edges = np.searchsorted(short, np.arange(1 << ranges, dtype=np.uint64) << np.uint64(low))
+            part = short >> np.uint64(low)
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             rows = []
-            for part, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(short)], strict=True)):
-                if lo < hi:
-                    these = short[lo:hi] & np.uint64((1 << low) - 1)
-                    several = these[least[lo:hi] < greatest[lo:hi]]
-                    rows.append((part, pack(these[fresh[lo:hi]]), pack(several)))
+            for lo, hi in zip(edges, [*edges[1:], len(short)], strict=True):
+                these = short[lo:hi] & np.uint64((1 << low) - 1)
+                several = these[least[lo:hi] < greatest[lo:hi]]
+                rows.append((int(part[lo]), pack(these[fresh[lo:hi]]), pack(several)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
                 names=["part", "met", "several"],
