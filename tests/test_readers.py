@@ -2,13 +2,16 @@
 
 import bz2
 import gzip
+import hashlib
 import random
 import time
+from datetime import datetime
+from pathlib import Path
 
 import pytest
 
 from wallflow.operators import flows
-from wallflow.plans import jobs
+from wallflow.plans import catalog, jobs
 from wallflow.sources import listing, logs, rules, streams
 
 HEAD = "srcname,dstname,dstportname,time,rcvd,sent"
@@ -257,3 +260,48 @@ def test_rule_files_left_out_are_reported(spark, tmp_path):
         got = rules.read_rules(spark, [good, empty, str(tmp_path / "gone.csv")], report=report)
     assert got.count() == 1
     assert sorted(report.left_out.values()) == ["no header", "not found"]
+
+
+def test_a_log_folder_is_written_and_read_in_bounded_portions(spark, tmp_path, monkeypatch):
+    """The long texts of the query are never all on disk, and none of their rows is lost, copies and nulls included."""
+    at = datetime(2024, 1, 1)
+    ids = [*range(1, 61), 7, 7, 20, None]
+    events = [(i, at, 5, "view" if i != 21 else None, 1.5, '{"k": 3}') for i in ids]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr("wallflow.session.scratch_root", lambda _: str(tmp_path / "scratch"))
+    monkeypatch.setattr(catalog, "PORTION_BYTES", 200_000, raising=False)
+    sizes, read = [], catalog.read_logs
+
+    def measured(spark, folder):
+        sizes.append(sum(p.stat().st_size for p in Path(folder).glob("*.csv")))
+        return read(spark, folder)
+
+    monkeypatch.setattr(catalog, "read_logs", measured)
+    got = [(r["event_id"], r["dstname"], r["rcvd"], r["said"], r["chars"]) for r in catalog.log_folder_scan(spark, str(tmp_path)).collect()]
+
+    def row(i):
+        said = None if i % 2 == 0 else "line\n" + '"x", ' * 25_000 + "view" if i % 7 == 0 else "plain"
+        return str(i), "view", 3.0, said and hashlib.md5(said.encode()).hexdigest(), said and len(said)
+
+    # A flow needs all of its names, so the row without a type goes, and one without a number is in no file.
+    assert sorted(got) == sorted(row(i) for i in ids if i not in (21, None))
+    assert len(sizes) > 1 and max(sizes) < sum(sizes) / 1.2
+    assert not list((tmp_path / "scratch").glob("logs-*"))
+
+
+def test_rows_as_long_as_the_widest_header_go_from_narrower_files(spark, tmp_path):
+    write(tmp_path, "a.csv", f'{HEAD},x,y\n"one\none",d,p,2024-01-01,1,2,3,4\nshort,d,p,2024-01-01,1,2\n"many\n",d,p,2024-01-01,1,2,3,4,5\n')
+    write(tmp_path, "b.csv", f'{HEAD}\n"two\ntwo",d,p,2024-01-01,1,2\n"over\n",d,p,2024-01-01,1,2,3,4\n"less\n",d,p,2024-01-01,1\n')
+    got = [(r["srcname"], r["sent"], r["y"]) for r in logs.read_logs(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == [("less\n", None, None), ("one\none", "2", "4"), ("short", "2", None), ("two\ntwo", "2", None)]
+
+
+def test_facts_of_files_sort_no_lines(spark, tmp_path, monkeypatch):
+    path = write(tmp_path, "a.csv", f'\n{HEAD}\n"one\none",d,p,2024-01-01,1,2\n')
+    frame, plans = type(spark.range(1)), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    facts = listing.file_facts(spark, listing.find_files(spark, path))
+    assert facts[0].header == HEAD and facts[0].open_quotes == {",", ";"}
+    assert not [p for p in plans if "SortAggregate" in p]

@@ -98,15 +98,20 @@ def scratch(spark: SparkSession):
             _remove(spark, path)
 
 
+def removed_with_scratch(path: str) -> str:
+    """``path``, which the innermost ``scratch`` removes as well."""
+    if _open_scratch:
+        _open_scratch[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     The result does not depend on any executor staying alive, keeps column
     pruning, and is computed once however often it is read.
     """
-    path = scratch_path(df.sparkSession, label)
-    if _open_scratch:
-        _open_scratch[-1].append(path)
+    path = removed_with_scratch(scratch_path(df.sparkSession, label))
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch_path = path

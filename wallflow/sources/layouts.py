@@ -62,10 +62,15 @@ def cell_names(width: int) -> list[str]:
     return [f"_c{i}" for i in range(width)]
 
 
-def cells_of_records(records: DataFrame, sep: str, width: int) -> DataFrame:
-    """``records`` with the cells of each ``value``, a CSV record that may hold line breaks in quotes."""
-    schema = ", ".join(f"{c} string" for c in cell_names(width))
+def cells_of_records(records: DataFrame, sep: str, width: int, odd: str | None = None) -> DataFrame:
+    """``records`` with the cells of each ``value``, a CSV record that may hold line breaks in quotes.
+
+    Column ``odd`` holds the record again if it has more or fewer than ``width`` cells.
+    """
+    schema = ", ".join(f"{c} string" for c in [*cell_names(width), *([odd] if odd else [])])
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+    if odd:
+        options["columnNameOfCorruptRecord"] = odd
     parsed = records.withColumn("_parsed", F.from_csv("value", schema, options))
     return parsed.select(*records.columns, "_parsed.*")
 

@@ -175,8 +175,8 @@ def unpack_error(packed: bytes | pa.Buffer, kind: str) -> str | None:
     return None
 
 
-def file_facts(spark: SparkSession, files: Sequence[File]) -> list[FileFacts]:
-    """Facts of each file.
+def file_facts(spark: SparkSession, files: Sequence[File], seps: str = ",;") -> list[FileFacts]:
+    """Facts of each file, ``open_quotes`` for the separators in ``seps``.
 
     Spark's own pass sends one row per file and task; compressed files, and
     those that Spark skips, are read as streams, by a task each.
@@ -199,16 +199,16 @@ def file_facts(spark: SparkSession, files: Sequence[File]) -> list[FileFacts]:
         F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).alias("at"),
     )
     ever = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
+    # A set beside the rest has lines grouped by hash; they would be sorted whole otherwise, long texts and all.
     found = lines.groupBy("key").agg(
         F.min_by(F.regexp_extract(value, "(?U)[^\\r]*\\S[^\\r]*", 0), F.when(value.rlike("(?U)\\S"), F.col("at"))).alias("header"),
-        ever(opens_quotes(value, ","), "comma"),
-        ever(opens_quotes(value, ";"), "semicolon"),
+        F.array_distinct(F.flatten(F.array(*[F.collect_set(F.when(opens_quotes(value, sep), sep)) for sep in seps]))).alias("open"),
         ever(~F.is_valid_utf8(value), "bad_bytes"),
         ever(value.contains("\r") & value.rlike("\r[^\r]"), "old_breaks"),
     )
     for r in found.collect():
         fact = facts[r["key"]]
         fact.header = (r["header"] or "").lstrip("\ufeff") or None
-        fact.open_quotes = frozenset(sep for sep, c in ((",", "comma"), (";", "semicolon")) if r[c])
+        fact.open_quotes = frozenset(r["open"])
         fact.bad_bytes, fact.old_breaks = r["bad_bytes"], r["old_breaks"]
     return [*facts.values()]

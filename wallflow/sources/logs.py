@@ -93,7 +93,10 @@ def _rows(spark: SparkSession, facts: list[FileFacts], layout: Layout, multi_lin
 
     def add_records(records: DataFrame) -> None:
         text = records.withColumn("value", drop_invalid_bytes(F.col("value")))
-        out.append(cells_of_records(text, ",", layout.width).withColumnRenamed("value", BAD_LINE).select(*names, BAD_LINE, *ORDER))
+        cells = cells_of_records(text, ",", layout.width, odd=BAD_LINE)
+        # A record of just so many cells is not searched for them again; as many stand for it.
+        full = F.lit("," * (layout.width - 1))
+        out.append(cells.select(*names, F.coalesce(named(BAD_LINE), full).alias(BAD_LINE), *ORDER))
 
     if split:
         joined = quoted_records(spark, [escaped(p) for p in split], ",", drop_header=True, join=multi_line is not False)
@@ -147,11 +150,11 @@ def read_logs(
     if not chosen:
         raise FileNotFoundError(f"no .csv file in {path}")
     if same_header and not any(f.streamed for f in chosen):
-        first = file_facts(spark, chosen[:1])[0]
+        first = file_facts(spark, chosen[:1], ",")[0]
         names = header_names(first.header or "")
         rows = _same_header(spark, chosen, names, True if multi_line is None else multi_line)
         return rows if with_order else rows.drop(*ORDER)
-    facts = file_facts(spark, chosen)
+    facts = file_facts(spark, chosen, ",")
     for f in facts:
         if f.damage or f.header is None:
             report.left_out[f.file.name] = f.damage or "no header"
