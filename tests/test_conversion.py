@@ -212,3 +212,23 @@ def test_numbering_moves_no_rule_again(spark):
     got = conversion.convert_rules(frame(spark, random_rules(5, 50, columns), columns), known(spark))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_block" not in plan and "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_a_large_universe_is_asked_for_names_alone(spark, tmp_path, monkeypatch):
+    columns = ["from_src", "to_dest", "action", "comment"]
+    path = str(tmp_path / "rules")
+    rows = random_rules(6, 80, columns)
+    frame(spark, [*rows, *rows[:5]], columns).write.parquet(path)
+    rules = spark.read.parquet(path)
+    # Rules that share a number count as one rule, by either way.
+    rules = rules.union(rules.filter("_row < 9"))
+    want = sorted(map(str, conversion.convert_rules(rules, known(spark)).collect()))
+    asked, lookup = [], conversion.lookup_join
+    monkeypatch.setattr(conversion, "lookup_join", lambda left, *rest: asked.append(left.columns) or lookup(left, *rest))
+    for module in (joins, conversion):
+        monkeypatch.setattr(module, "fits_broadcast", lambda df, **_: False)
+    plan = conversion.checked_rules(rules, known(spark))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert asked == [["_block", "_row", "need_kind", "need_name"]]
+    assert sum("hashpartitioning(_block" in line for line in text.splitlines()) == 2
+    assert sorted(map(str, conversion.convert_rules(rules, known(spark)).collect())) == want

@@ -24,6 +24,7 @@ from wallflow.session import materialise
 SAFE, PENDING = "SAFE", "PENDING"
 BEFORE = "safe_before_in_block"
 _RULE = "RULE"
+_NAMES = "array<struct<kind:string,name:string>>"
 _HOST_NAME = "^H_[0-9]{1,3}(?:_[0-9]{1,3}){3}\\z"
 # What decides if a rule is safe, and what is only needed to show it. The second
 # group travels as one value, which the counting pass does not read at all.
@@ -41,15 +42,18 @@ def checked_rules(
     row becomes its command parts and the names it needs, the names go through
     an anti join with the broadcast universe, what is missing is gathered per
     row, and the numbering runs inside the blocks. Only a universe too large
-    to broadcast costs further shuffles.
+    to broadcast, or hosts to create, cost further shuffles: the names alone are
+    taken from a scan of their own and looked up, and those that are missing
+    come to the blocks, where the rules wait for them.
     """
     hosts = materialise(host_addresses(rules), "hosts") if create_hosts else None
     source_columns = [c for c in rules.columns if not c.startswith("_")]
     small = fits_broadcast(known)
-    rules = rules.filter(~is_separator(rules)).withColumn("_block", ordering.block_of(F.col("_row")))
+    thin = not small or hosts is not None
+    rules = scanned = rules.filter(~is_separator(rules)).withColumn("_block", ordering.block_of(F.col("_row")))
     rules = rules.repartition("_block").select(
         "*",
-        references(rules).alias("_references"),
+        (F.array().cast(_NAMES) if thin else references(rules)).alias("_references"),
         dropped_service(rules).alias("dropped_service"),
         F.to_json(F.struct(*[F.col(f"`{c}`") for c in source_columns])).alias("_original"),
     )
@@ -76,14 +80,20 @@ def checked_rules(
         F.when(is_rule, F.struct(*_SHOWN)).alias("_shown"),
     )
     known = known.select(F.col("kind").alias("need_kind"), F.col("name").alias("need_name"))
-    unmet = lookup_join(needs, known, ["need_kind", "need_name"], "left_anti", "_row", small)
+    looked_up = needs
+    if thin:
+        # explode() would have Spark infer a size filter and so evaluate the array twice.
+        named = scanned.select("_block", "_row", F.explode_outer(references(scanned)).alias("_need"))
+        looked_up = named.select("_block", "_row", F.col("_need.kind").alias("need_kind"), F.col("_need.name").alias("need_name"))
+        looked_up = looked_up.filter(F.col("need_name").isNotNull())
+    unmet = lookup_join(looked_up, known, ["need_kind", "need_name"], "left_anti", "_row", small)
     if hosts is not None:
         unmet = _without_generated_hosts(unmet, hosts)
+    if thin:
+        unmet = needs.unionByName(unmet.repartition("_block"), allowMissingColumns=True)
     missing = F.when(
         F.col("need_kind") != _RULE, F.struct(F.col("need_kind").alias("kind"), F.col("need_name").alias("name"))
     )
-    if not small or hosts is not None:
-        unmet = unmet.repartition("_block")
     gathered = unmet.groupBy("_block", "_row").agg(
         *[F.any_value(c, True).alias(c) for c in [*_DECIDES, "_shown"]],
         F.array_sort(F.collect_set(missing)).alias("missing"),
