@@ -1,18 +1,21 @@
 """Readers on awkward files: nothing is lost without a word."""
 
 import bz2
+import csv
 import gzip
 import hashlib
+import io
 import random
 import time
 from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from wallflow.operators import flows
 from wallflow.plans import catalog, jobs
-from wallflow.sources import listing, logs, rules, streams
+from wallflow.sources import listing, logs, regular, rules, streams
 
 HEAD = "srcname,dstname,dstportname,time,rcvd,sent"
 
@@ -305,3 +308,109 @@ def test_facts_of_files_sort_no_lines(spark, tmp_path, monkeypatch):
     facts = listing.file_facts(spark, listing.find_files(spark, path))
     assert facts[0].header == HEAD and facts[0].open_quotes == {",", ";"}
     assert not [p for p in plans if "SortAggregate" in p]
+
+
+def regular_file(rng, n):
+    """Lines as a CSV writer makes them, most with six cells, and blank ones."""
+    cells = ["", "x", "NA", '""', '"two\nlines"', '"say ""hi""\n"', '",\n\n,"', '""""', "é", '"日本\n"', " y ", f'"{"long " * 60}\n"']
+    line = lambda: rng.choice([",".join(rng.choice(cells) for _ in range(rng.choice((6, 6, 6, 1, 4, 7)))), "", "  ", "\t"])
+    return "".join(line() + "\n" for _ in range(n))
+
+
+def refuse(*_, **__):
+    raise AssertionError("not the way that regular files are read")
+
+
+@pytest.mark.parametrize(("seed", "last"), [(1, "\n"), (2, ""), (3, "\n\n \n")])
+def test_regular_files_are_cut_at_any_byte(spark, tmp_path, monkeypatch, seed, last):
+    """No regular expression looks at their lines, and the rows are those of a plain reader, in its order."""
+    rng, want = random.Random(seed), []
+    for name, head in (("a.csv", HEAD), ("b.csv", "more,sent,rcvd,time,dstportname,dstname,srcname")):
+        body = f"\n \n{head}\n{regular_file(rng, 200)}end,\"1\n2\",3{last}"
+        path = write(tmp_path, name, body)
+        width = head.count(",") + 1
+        for row in list(csv.reader(io.StringIO(body, newline="")))[3:]:
+            if len(row) > width or (len(row) < 2 and not "".join(row).strip(" \t") and '""' not in row):
+                continue
+            named = dict(zip(head.split(","), row))
+            want.append((path.rsplit("/", 1)[1], *[None if named.get(c) in (None, *flows.NULL_WORDS) else named[c] for c in [*HEAD.split(","), "more"]]))
+    monkeypatch.setattr(logs, "quoted_records", refuse)
+    monkeypatch.setattr(listing, "opens_quotes", refuse)
+
+    def read():
+        rows = logs.read_logs(spark, str(tmp_path), with_order=True).coalesce(1).sortWithinPartitions(*logs.ORDER)
+        return rows.select(F.substring_index("_path", "/", -1), *HEAD.split(","), "more")
+
+    blank = lambda r: not any((c or "").strip() for c in r[1:])
+    for size in (1 << 20, 4001, 331, 97):
+        assert [r for r in rows_at(spark, read, size) if not blank(r)] == [r for r in want if not blank(r)]
+
+
+def plain_quotes(text):
+    """Whether each quote stands where a writer puts it, whether a quoted cell holds a line break, and whether the last one ends."""
+    inside = broken = closed = False
+    fresh = True
+    for c in text:
+        if inside:
+            if c == '"':
+                inside, closed = False, True
+            broken |= inside and c == "\n"
+        elif c == '"' and (fresh or closed):
+            # Behind a closing quote it makes that one double.
+            inside, closed = True, False
+        elif c == '"' or (closed and c not in ",\n"):
+            return False, broken, True
+        else:
+            closed = False
+        fresh = not inside and not closed and c in ",\n"
+    return True, broken, not inside
+
+
+def test_regular_files_are_told_from_others(spark, tmp_path):
+    """Files of every kind of quote, looked at in ranges so short that a word of 64 bytes is never full, or is."""
+    rng, texts = random.Random(5), {}
+    for i in range(400):
+        part = "".join(rng.choice(['"', '""', ",", "\n", "x", ',"', '",']) for _ in range(rng.randrange(1, 9)))
+        texts[f"f{i}"] = rng.choice(["a,b\n", 'h,"i"\n' * 15, f'"{"long" * 40}\n",b\n']) + part
+    files = [(write(tmp_path, name, text), name) for name, text in texts.items()]
+    texts |= {"cr": 'a,"b\n"\r\n', "nul": 'a,"b\n\x00"\n', "é": 'é,"é\n"\n', "empty": ""}
+    files += [(write(tmp_path, name, texts[name]), name) for name in ("cr", "nul", "é", "empty")]
+    files.append((write(tmp_path, "bad", b'a,"b\n\xc3"\n'), "bad"))
+    want = {name: facts[1] for name, text in texts.items() if all((facts := plain_quotes(text))[::2]) and name not in ("cr", "nul", "empty")}
+    assert 100 < len(want) < 380 and 20 < sum(want.values()) < len(want)
+    for size in (1 << 20, 65, 7):
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            found = regular.shapes(spark, files[-25 if size < 65 else 0 :], ",")
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        expected = {name: want[name] for _, name in files[-25 if size < 65 else 0 :] if name in want}
+        assert {name: shape["ranges"] is not None for name, shape in found.items()} == expected
+
+
+def test_rows_of_regular_files_are_not_taken_for_few(spark, tmp_path, monkeypatch):
+    path = write(tmp_path, "a.csv", f'{HEAD}\n"two\nlines",d,p,2024-01-01,1,2\n' * 3)
+    monkeypatch.setattr(logs, "quoted_records", refuse)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = logs.read_logs(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 1 << 50
+    assert got.count() == 5
+    Path(path).write_text("")
+    with pytest.raises(Exception, match="changed while it was read"):
+        got.count()
+
+
+def test_long_texts_are_quoted_as_a_csv_writer_does(spark, tmp_path):
+    ends = ["view", 'a"b', '""', "x ", "\ty\n", " ", "", "é"]
+    rows = spark.createDataFrame([(i, e) for i, e in enumerate(ends)], "n int, e string").coalesce(1)
+    parts = [F.lit('line\n"x", '), F.lit('"z" '), F.col("e")]
+    rows.select(F.concat(*parts), "n").write.option("escape", '"').csv(str(tmp_path / "writer"))
+    lines = rows.select(F.concat(catalog._quoted_cell(parts), F.lit(","), F.col("n").cast("string")))
+    catalog._write_lines(lines, "said,n", str(tmp_path / "lines"))
+    text = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*.csv")))
+    assert text("lines") == "said,n\nsaid,n\n" + text("writer")

@@ -42,7 +42,9 @@ def check_columns(logs: DataFrame) -> None:
 
 
 def null_words_to_null(c: Column) -> Column:
-    return F.when(~c.isin(NULL_WORDS), c)
+    # A long text is none of them, and need not be hashed to know it.
+    longest = max(len(w.encode()) for w in NULL_WORDS)
+    return F.when((F.octet_length(c) > longest) | ~c.isin(NULL_WORDS), c)
 
 
 def as_number(df: DataFrame, column: str, exact: bool = False) -> Column:

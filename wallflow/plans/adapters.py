@@ -23,9 +23,12 @@ def text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logs(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """Events as log rows, made by so many tasks; else by as many as read the table, which may be one."""
     k = F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("int")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    events = events.repartition(tasks, *events.columns) if tasks else events
+    return events.select(
         text("user-", F.col("user_id")).alias("srcname"),
         F.col("event_type").alias("dstname"),
         text("svc-", k % 5).alias("dstportname"),
@@ -40,10 +43,10 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG_COLUMNS = ["srcname", "dstname", "dstportname", "time", "rcvd", "sent"]
 
 
-def dirty_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_logs(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """The same as text, with bad times, bad numbers and missing keys."""
     n = F.col("event_id")
-    return logs(spark, sf_dir).select(
+    return logs(spark, sf_dir, tasks).select(
         F.when(n % 79 != 0, F.col("srcname")).alias("srcname"),
         "dstname",
         "dstportname",

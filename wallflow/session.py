@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -74,8 +75,14 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-# Paths written since the innermost ``scratch`` began.
-_open_scratch: list[list[str]] = []
+class _Scratch(threading.local):
+    """Paths that this thread has written since each of its ``scratch`` blocks began."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scratch = _Scratch()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -90,18 +97,18 @@ def scratch(spark: SparkSession):
     For jobs whose outputs are files; a table returned from the block must not
     be lazy.
     """
-    _open_scratch.append([])
+    _scratch.open.append([])
     try:
         yield
     finally:
-        for path in _open_scratch.pop():
+        for path in _scratch.open.pop():
             _remove(spark, path)
 
 
 def removed_with_scratch(path: str) -> str:
-    """``path``, which the innermost ``scratch`` removes as well."""
-    if _open_scratch:
-        _open_scratch[-1].append(path)
+    """``path``, which the innermost ``scratch`` of this thread removes as well."""
+    if _scratch.open:
+        _scratch.open[-1].append(path)
     return path
 
 

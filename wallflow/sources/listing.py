@@ -82,7 +82,7 @@ def _local(status) -> str | None:
     return uri.getPath() if (uri.getScheme() or "file") == "file" else None
 
 
-def _on_machines(path: str) -> str | None:
+def on_machines(path: str) -> str | None:
     """The same from a path that Spark lists."""
     match = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
     return (path[5:] if path.startswith("file:") else None) if match else path
@@ -148,6 +148,7 @@ class FileFacts:
     bad_bytes: bool = False
     old_breaks: bool = False
     damage: str | None = None
+    ranges: list[dict] | None = None
 
 
 def _damage_elsewhere(spark: SparkSession, files: Sequence[File]) -> dict[str, str]:
@@ -182,7 +183,7 @@ def file_facts(spark: SparkSession, files: Sequence[File], seps: str = ",;") ->
     those that Spark skips, are read as streams, by a task each.
     """
     facts = {f.key: FileFacts(f) for f in files}
-    opened = {f.key: f.path if f.streamed else _on_machines(f.path) for f in files if f.streamed or kind_of(f.name)}
+    opened = {f.key: f.path if f.streamed else on_machines(f.path) for f in files if f.streamed or kind_of(f.name)}
     if streams := [(path, key) for key, path in opened.items() if path]:
         for r in probe(spark, streams).collect():
             facts[r["key"]].damage, facts[r["key"]].header = r["reason"], r["header"]

@@ -13,9 +13,10 @@ from wallflow.functions.fields import named
 from wallflow.functions.text import drop_invalid_bytes
 from wallflow.operators.flows import null_words_to_null
 from wallflow.sources.layouts import WIDTH, Layout, cell_names, cells_of_records, lay_out
-from wallflow.sources.listing import File, FileFacts, ReadReport, escaped, file_facts, find_files
+from wallflow.sources.listing import File, FileFacts, ReadReport, escaped, file_facts, find_files, on_machines
 from wallflow.sources.quoting import quoted_records
-from wallflow.sources.streams import stream_records
+from wallflow.sources.regular import regular_cells, shapes
+from wallflow.sources.streams import kind_of, stream_records
 
 BAD_LINE = "_corrupt_record"
 ORDER = ["_path", "_start", "_seq"]
@@ -80,7 +81,7 @@ def _same_header(spark: SparkSession, files: list[File], names: list[str], multi
 
 
 def _rows(spark: SparkSession, facts: list[FileFacts], layout: Layout, multi_line: bool | None) -> DataFrame:
-    """Cells of all files: a scan, and two more branches for files that a scan cannot read as they are."""
+    """Cells of files: a scan, and two more branches for files that a scan cannot read as they are."""
     needs = lambda f: f.bad_bytes or (multi_line is not False and "," in f.open_quotes)
     plain = [f.file.path for f in facts if not f.file.streamed and not needs(f)]
     split = [f.file.path for f in facts if not f.file.streamed and needs(f) and not f.old_breaks]
@@ -117,6 +118,18 @@ def _rows(spark: SparkSession, facts: list[FileFacts], layout: Layout, multi_lin
     return rows
 
 
+def _facts(spark: SparkSession, files: list[File], multi_line: bool | None) -> list[FileFacts]:
+    """Facts of each file; regular files that Python code in tasks can open are looked at as bytes, which is faster."""
+    paths = {} if multi_line is False else {f.key: on_machines(f.path) for f in files if not f.streamed and not kind_of(f.name)}
+    found = shapes(spark, [(p, key) for key, p in paths.items() if p], ",")
+    facts = {f.file.key: f for f in file_facts(spark, [f for f in files if f.key not in found], ",")}
+    for f in files:
+        if shape := found.get(f.key):
+            quotes = frozenset([","] if shape["ranges"] else [])
+            facts[f.key] = FileFacts(f, shape["header"], open_quotes=quotes, ranges=shape["ranges"])
+    return [facts[f.key] for f in files]
+
+
 def read_logs(
     spark: SparkSession,
     path: str,
@@ -133,7 +146,7 @@ def read_logs(
     table from file to header says which cell is which column, so the plan does
     not grow with the headers. Files in which a quoted cell holds a line break,
     or with bytes that are no UTF-8 (which are dropped), are read as records by
-    all cores, see ``quoting``. ``multi_line`` decides for all files whether
+    all cores, see ``regular`` and ``quoting``. ``multi_line`` decides for all files whether
     quotes may hold line breaks. ``same_header`` promises
     that all files have the first one's header, which saves the pass; a file
     that breaks the promise fails the read. Compressed files that do not unpack
@@ -154,7 +167,7 @@ def read_logs(
         names = header_names(first.header or "")
         rows = _same_header(spark, chosen, names, True if multi_line is None else multi_line)
         return rows if with_order else rows.drop(*ORDER)
-    facts = file_facts(spark, chosen, ",")
+    facts = _facts(spark, chosen, multi_line)
     for f in facts:
         if f.damage or f.header is None:
             report.left_out[f.file.name] = f.damage or "no header"
@@ -164,7 +177,17 @@ def read_logs(
     if not facts:
         raise ValueError(f"no log file with a header at {path}")
     layout = Layout({f.file.key: tuple(header_names(f.header)) for f in facts})
-    cells = lay_out(_rows(spark, facts, layout, multi_line), layout, null_words_to_null, behind=[BAD_LINE, *ORDER])
-    # Short rows stay, padded with nulls; rows with more fields than their header go.
-    logs = cells.filter(~_too_long(F.col(BAD_LINE), F.col(WIDTH))).drop(BAD_LINE, WIDTH)
+    # Of a record with one cell alone an empty line would be no different.
+    regular = [f for f in facts if f.ranges and len(layout.headers[f.file.key]) > 1]
+    parts = []
+    if regular:
+        headers = [layout.headers[f.file.key] for f in regular]
+        found = regular_cells(spark, [(f.ranges, len(h), layout.places(h)) for f, h in zip(regular, headers, strict=True)], ",")
+        parts.append(found.select(*[null_words_to_null(F.col(f"_c{i}")).alias(c) for i, c in enumerate(layout.columns)], *ORDER))
+    apart = {f.file.key for f in regular}
+    if others := [f for f in facts if f.file.key not in apart]:
+        cells = lay_out(_rows(spark, others, layout, multi_line), layout, null_words_to_null, behind=[BAD_LINE, *ORDER])
+        # Short rows stay, padded with nulls; rows with more fields than their header go.
+        parts.append(cells.filter(~_too_long(F.col(BAD_LINE), F.col(WIDTH))).drop(BAD_LINE, WIDTH))
+    logs = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     return logs if with_order else logs.drop(*ORDER)
