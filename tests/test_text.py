@@ -94,3 +94,8 @@ def test_capped_name_and_defaults(spark):
     assert evaluate(spark, values, text.capped_name) == ["x" * 64, "x" * 61 + "...", "é" * 61 + "..."]
     assert evaluate(spark, ["", None, "a"], lambda c: text.or_default(c, "any")) == ["any", "any", "a"]
     assert evaluate(spark, ["6,17", "6", ",x"], text.first_of_list) == ["6", "6", ""]
+
+
+def test_numbers_of_characters(spark):
+    values = ["", "abc", "é", "日本", "a\U0001f600b", "x" * 100_000, "x" * 100_000 + "\u00ff", "\x7f\x80", None]
+    assert evaluate(spark, values, text.characters) == [None if v is None else len(v) for v in values]
